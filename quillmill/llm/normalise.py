@@ -46,18 +46,25 @@ LOOK_ALIKES = {
 }
 
 
-def _plain(ch: str) -> str:
-    """The character without full width or the ban on a line break, canonical pieces apart, in Latin shape."""
+def _plain(ch: str, look: bool = True, fold: bool = False) -> str:
+    """The character without full width or the ban on a line break, canonical pieces apart.
+
+    look: letters of other scripts in Latin shape. fold: without case.
+    """
     kind, _, pieces = unicodedata.decomposition(ch).partition(" ")
     if kind in ("<wide>", "<noBreak>"):
         ch = "".join(chr(int(x, 16)) for x in pieces.split())
-    return "".join(LOOK_ALIKES.get(x, x) for x in unicodedata.normalize("NFD", ch))
+    ch = unicodedata.normalize("NFD", ch)
+    if fold:
+        ch = unicodedata.normalize("NFD", ch.casefold())
+    return "".join(LOOK_ALIKES.get(x, x) for x in ch) if look else ch
 
 
 class Tables:
     """Lookup tables made by rule from the Unicode data: expansions, mark classes, compositions."""
 
-    def __init__(self) -> None:
+    def __init__(self, look: bool = True, fold: bool = False) -> None:
+        self.fold = fold
         hangul = range(0xAC00, 0xD7A4)
         self.start, self.length = np.zeros(TOP + 1, np.int64), np.ones(TOP + 1, np.uint8)
         pool = list(range(TOP + 1))
@@ -67,12 +74,12 @@ class Tables:
             self.drop[a : b + 1] = True
         self.drop[TOP] = False
         pairs = {}
-        for c in range(0x80, TOP):
+        for c in range(0x41 if fold else 0x80, TOP):
             if 0x3400 <= c < 0xA000 or c in hangul or 0xD800 <= c < 0xF900 or 0x17000 <= c < 0x1B000 or 0x20000 <= c < 0x2F800:
                 continue
             ch = chr(c)
             self.ccc[c] = unicodedata.combining(ch)
-            if (unicodedata.decomposition(ch) or ch in LOOK_ALIKES) and (to := _plain(ch)) != ch:
+            if (fold or unicodedata.decomposition(ch) or ch in LOOK_ALIKES) and (to := _plain(ch, look, fold)) != ch:
                 self.start[c], self.length[c] = len(pool), len(to)
                 pool += map(ord, to)
             d = unicodedata.decomposition(ch).split()
@@ -94,16 +101,16 @@ class Tables:
         return np.where(tail, a + b - 0x11A7, out).astype(np.uint32)
 
 
-@lru_cache(1)
-def tables() -> Tables:
-    return Tables()
+@lru_cache(4)
+def tables(look: bool = True, fold: bool = False) -> Tables:
+    return Tables(look, fold)
 
 
-def normalise_codes(codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def normalise_codes(codes: np.ndarray, offsets: np.ndarray, look: bool = True, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """The consistent form of flat code points, with the new row offsets."""
-    if not len(codes) or codes.max() < 0x80:
+    if not len(codes) or not fold and codes.max() < 0x80:
         return codes, offsets
-    t = tables()
+    t = tables(look, fold)
     row = row_of(offsets)
     low = np.minimum(codes, TOP)
     gone = t.drop[low] | ((codes >= 0xE0100) & (codes < 0xE01F0))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import chunking, normalise
+from quillmill.llm import chunking, leaks, normalise, spans
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,7 +29,24 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.oversized_items(chunking.items_with_limits(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=12)
+    return tiles.where("longest >= 12").select("item_id", "doc_id").distinct()
+
+
+def p6_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=8)
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"), 400).select("doc_id").distinct()
+
+
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"), 400)
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_found": p6_found, "p6_tiles": p6_tiles, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {
     "p2_found": """
