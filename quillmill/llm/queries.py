@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import chunking, leaks, normalise, spans
+from quillmill.llm import chunking, leaks, mixing, normalise, packing, scans, spans
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,30 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.oversized_items(chunking.items_with_limits(spark, sf_dir))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.chapter_containers(spark, sf_dir).where("n_parts > 1").select("book_id", "idx").distinct()
+
+
+def p3_chapter_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.chapter_containers(spark, sf_dir)
+
+
+def p3_piece_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_containers(spark, sf_dir)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.scan_faults(spark, sf_dir)
+
+
+def p4_mended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.mended_books(spark, sf_dir)
+
+
+def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.clean_titles(spark, sf_dir)
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=12)
     return tiles.where("longest >= 12").select("item_id", "doc_id").distinct()
@@ -38,6 +62,14 @@ def p6_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=8)
 
 
+def p7_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, sf_dir)[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(spark, sf_dir)[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"), 400).select("doc_id").distinct()
 
@@ -46,9 +78,18 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"), 400)
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p6_found": p6_found, "p6_tiles": p6_tiles, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_chapter_containers": p3_chapter_containers, "p3_piece_containers": p3_piece_containers, "p4_found": p4_found, "p4_mended": p4_mended, "p4_titles": p4_titles, "p6_found": p6_found, "p6_tiles": p6_tiles, "p7_chosen": p7_chosen, "p7_report": p7_report, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {
+    "p3_found": """
+WITH lim AS (SELECT max_size FROM size_limits WHERE limit_name = 'chapter_container'),
+c AS (SELECT DISTINCT book_id, idx, line_idx, word_count FROM chapters),
+n AS (SELECT c.*, (SELECT min(d.line_idx) FROM c d WHERE d.book_id = c.book_id AND d.line_idx > c.line_idx) AS nxt FROM c WHERE word_count IS NULL),
+b AS (SELECT book_id, arg_max(text, uploaded_at) AS text FROM books GROUP BY book_id),
+w AS (SELECT book_id, idx, len(list_filter(regexp_split_to_array(array_to_string(list_slice(string_split(text, chr(10)), line_idx + 1, nxt), chr(10)), '[\\s\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+'), lambda x: x <> '')) AS size
+      FROM (SELECT book_id, idx, line_idx, coalesce(nxt, 1000000000) AS nxt FROM n) JOIN b USING (book_id)),
+s AS (SELECT book_id, idx, word_count AS size FROM c WHERE word_count IS NOT NULL UNION ALL SELECT book_id, idx, size FROM w)
+SELECT DISTINCT book_id, idx FROM s, lim WHERE size > max_size""",
     "p2_found": """
 WITH lim AS (SELECT max_size FROM size_limits WHERE limit_name = 'book_line'),
 v AS (SELECT voice_id, max(max_chars) AS m FROM voices GROUP BY voice_id),
