@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import chunking, leaks, mixing, normalise, packing, scans, spans
+from quillmill.llm import chunking, leaks, mixing, normalise, packing, quality, scans, spans
 from quillmill.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,15 @@ def p4_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.clean_titles(spark, sf_dir)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = quality.text_quality(table(spark, sf_dir, "books"), table(spark, sf_dir, "outline_entries"))
+    return stats.where(F.col("shape").isin("list", "table", "junk")).select("book_id", "shape").distinct()
+
+
+def p5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.text_quality(table(spark, sf_dir, "books"), table(spark, sf_dir, "outline_entries"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), seed=12)
     return tiles.where("longest >= 12").select("item_id", "doc_id").distinct()
@@ -78,7 +87,7 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"), 400)
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_chapter_containers": p3_chapter_containers, "p3_piece_containers": p3_piece_containers, "p4_found": p4_found, "p4_mended": p4_mended, "p4_titles": p4_titles, "p6_found": p6_found, "p6_tiles": p6_tiles, "p7_chosen": p7_chosen, "p7_report": p7_report, "p8_found": p8_found, "p8_spans": p8_spans}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_chapter_containers": p3_chapter_containers, "p3_piece_containers": p3_piece_containers, "p4_found": p4_found, "p4_mended": p4_mended, "p4_titles": p4_titles, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_tiles": p6_tiles, "p7_chosen": p7_chosen, "p7_report": p7_report, "p8_found": p8_found, "p8_spans": p8_spans}
 
 SQL: dict[str, str] = {
     "p3_found": """
