@@ -185,8 +185,7 @@ def chunk_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("capped_pieces")
 def capped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = S.with_capped_pieces(books(spark, sf_dir), "text", "pieces", 400)
-    return made.select("book_id", F.posexplode("pieces").alias("piece_no", "piece"))
+    return S.capped_pieces(books(spark, sf_dir), "book_id", "text", 400)
 
 
 @register(

@@ -7,7 +7,7 @@ split at the marks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import ABBREVIATIONS, HEADING_WORD, WS, col, count_words, end_cleanly, trim
@@ -32,7 +32,8 @@ def sentences(c: Column | str) -> Column:
     """The sentences of a text, trimmed, blanks left out; none for blank or empty text."""
     text = F.translate(col(c), CUT, " ")
     seg = F.regexp_extract_all(text, F.lit(SEGMENT), F.lit(1))
-    marked = F.transform(seg, lambda s, i: F.when((i + 1 < F.size(seg)) & _ends(s, F.get(seg, i + 1)), F.concat(s, F.lit(CUT))).otherwise(s))
+    following = F.slice(seg, F.lit(2), F.greatest(F.size(seg) - 1, F.lit(0)))  # a lambda that named seg would compute it anew for each element
+    marked = F.zip_with(seg, following, lambda s, n: F.when(n.isNotNull() & _ends(s, n), F.concat(s, F.lit(CUT))).otherwise(s))
     parts = F.transform(F.split(F.array_join(marked, ""), CUT), trim)
     return F.filter(parts, lambda s: s != "")
 
@@ -64,42 +65,39 @@ def greedy_index(sizes: Column, groups: Column, limit: Column | int) -> Column:
     return F.aggregate(zipped, zero, step, lambda a: a["idx"])
 
 
-def with_chunks(df: DataFrame, text: str, into: str = "chunks", limit: int = 300) -> DataFrame:
-    """``df`` with array<struct<text, chapter_index, ends_chapter>>: sentences packed to ``limit`` words.
+def chunk_table(df: DataFrame, key: str, text: str, limit: int = 300) -> DataFrame:
+    """(key, i, text, chapter_index, ends_chapter, words): sentences packed to ``limit`` words.
 
     A paragraph that opens like a chapter starts a new chapter and a new chunk; a longer sentence
     stands alone; a sentence without a closing mark gets a full stop; the last chunk never ends a
-    chapter. Blank text has no chunk, null text null. Each step is a column of its own, so that no
-    expression is evaluated twice.
+    chapter. Blank and null texts have no chunk. The fold runs over one array per text; exploding
+    and gathering again need one shuffle by key in all.
     """
-    heading = lambda p: F.length(p).between(3, 80) & p.rlike(HEADING_WORD)
-    out = df.withColumn("__p", paragraphs(text))
-    out = out.withColumn("__h", F.aggregate("__p", F.array().cast("array<int>"), lambda a, p: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)) + ((F.size(a) > 0) & heading(p)).cast("int")))))
-    out = out.withColumn("__s", F.flatten(F.zip_with("__p", "__h", lambda p, n: F.transform(sentences(p), lambda s: F.struct(s.alias("s"), n.alias("g"), count_words(s).alias("w"))))))
-    out = out.withColumn("__i", greedy_index(F.transform("__s", lambda x: x["w"]), F.transform("__s", lambda x: x["g"]), limit))
-    new = lambda i: (i == 0) | (F.get("__i", i) != F.get("__i", i - 1))
-    ended = lambda x: F.when(x.rlike(r"[.!?,;:]\z"), x).otherwise(F.concat(x, F.lit(".")))
-    out = out.withColumn("__t", F.array_join(F.transform("__s", lambda x, i: F.concat(F.when(i == 0, "").when(new(i), CUT).otherwise(" "), ended(x["s"]))), ""))
-    out = out.withColumn("__g", F.transform(F.filter("__s", lambda x, i: new(i)), lambda x: x["g"]))
-    texts = F.when(F.size("__s") > 0, F.split("__t", CUT)).when(F.col("__s").isNotNull(), F.array().cast("array<string>"))
-    made = F.transform(texts, lambda t, i: F.struct(end_cleanly(t).alias("text"), F.get("__g", i).alias("chapter_index"), (F.coalesce(F.get("__g", i + 1), F.get("__g", i)) > F.get("__g", i)).alias("ends_chapter")))
-    return out.withColumn(into, made).drop("__p", "__h", "__s", "__i", "__t", "__g")
-
-
-def chunk_table(df: DataFrame, key: str, text: str, limit: int = 300) -> DataFrame:
-    """(key, i, text, chapter_index, ends_chapter, words)."""
-    c = with_chunks(df.select(key, F.col(text).alias("__text")), "__text", "c", limit).select(key, F.posexplode("c").alias("i", "c"))
-    return c.select(key, "i", F.col("c.text").alias("text"), F.col("c.chapter_index").alias("chapter_index"), F.col("c.ends_chapter").alias("ends_chapter"), count_words("c.text").alias("words"))
+    heading = F.length("__p").between(3, 80) & F.col("__p").rlike(HEADING_WORD)
+    p = df.select(key, F.posexplode(paragraphs(text)).alias("__n", "__p"))
+    p = p.withColumn("__h", F.sum(((F.col("__n") > 0) & heading).cast("int")).over(Window.partitionBy(key).orderBy("__n")))
+    s = p.select(key, "__n", "__h", F.posexplode(sentences("__p")).alias("__m", "__s"))
+    item = F.struct("__n", "__m", F.col("__h").cast("int").alias("g"), count_words("__s").alias("w"), "__s")
+    folded = s.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("__items"))
+    idx = greedy_index(F.transform("__items", lambda x: x["w"]), F.transform("__items", lambda x: x["g"]), limit)
+    rows = folded.select(key, F.explode(F.zip_with("__items", idx, lambda x, k: F.struct(x.alias("x"), k.alias("k")))).alias("e"))
+    last = F.col("e.x.__s")
+    ended = F.when(last.rlike(r"[.!?,;:]\z"), last).otherwise(F.concat(last, F.lit(".")))
+    rows = rows.select(key, F.col("e.k").alias("i"), F.col("e.x.g").alias("g"), F.struct("e.x.__n", "e.x.__m", ended.alias("s")).alias("o"))
+    out = rows.groupBy(key, "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["s"]), " ").alias("t"), F.first("g").alias("chapter_index"))
+    ends = F.coalesce(F.lead("chapter_index").over(Window.partitionBy(key).orderBy("i")) > F.col("chapter_index"), F.lit(False))
+    return out.select(key, "i", end_cleanly("t").alias("text"), "chapter_index", ends.alias("ends_chapter")).withColumn("words", count_words("text"))
 
 
 def chunk_lead(df: DataFrame, key: str, text: str, limit: int = 60, lead: int = 25) -> DataFrame:
     """The chunk table with its first chunk cut again to ``lead`` words, so that reading can start soon."""
     all_ = chunk_table(df, key, text, limit)
     long = (F.col("i") == 0) & (F.col("words") > lead)
-    short = with_chunks(all_.where(long).withColumnsRenamed({"text": "__head"}), "__head", "c", lead)
-    n = F.size("c")
-    led = short.select(key, "chapter_index", "ends_chapter", n.alias("__n"), F.posexplode("c").alias("__k", "c")).select(key, F.lit(0).alias("i"), "__k", F.col("c.text").alias("text"), "chapter_index", (F.col("ends_chapter") & (F.col("__k") == F.col("__n") - 1)).alias("ends_chapter"))
-    extra = led.groupBy(key).agg((F.count("*") - 1).cast("int").alias("more"))
+    first = all_.where(long)
+    short = chunk_table(first.select(key, "text"), key, "text", lead).select(key, F.col("i").alias("__k"), "text")
+    extra = short.groupBy(key).agg((F.count("*") - 1).cast("int").alias("more"))
+    led = short.join(first.select(key, "chapter_index", "ends_chapter"), key).join(extra, key)
+    led = led.select(key, F.lit(0).alias("i"), "__k", "text", "chapter_index", (F.col("ends_chapter") & (F.col("__k") == F.col("more"))).alias("ends_chapter"))
     rest = all_.where(~long).withColumn("__k", F.lit(0)).select(key, "i", "__k", "text", "chapter_index", "ends_chapter")
     both = led.unionByName(rest).join(extra, key, "left")
     place = F.when(F.col("i") == 0, F.col("__k")).otherwise(F.col("i") + F.coalesce("more", F.lit(0)))
@@ -124,13 +122,15 @@ def hard_cut(c: Column, limit: int | Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(c), F.lit(1)) - 1) / lim).cast("int")), lambda i: F.substring(c, i * lim + 1, lim))
 
 
-def with_capped_pieces(df: DataFrame, text: str, into: str = "pieces", limit: int = 400) -> DataFrame:
-    """``df`` with the pieces of ``text`` within ``limit`` characters: sentences packed; longer ones by
-    clauses, then words, then by force. Blank text has no piece."""
+def capped_pieces(df: DataFrame, key: str, text: str, limit: int = 400) -> DataFrame:
+    """(key, piece_no, piece) within ``limit`` characters: sentences packed; longer ones by clauses, then
+    words, then by force. Blank and null texts have no piece."""
     short = lambda x: F.length(x) <= limit
-    out = df.withColumn("__t", trim(text)).withColumn("__a", sentences("__t"))
-    out = out.withColumn("__b", F.flatten(F.transform("__a", lambda s: F.when(short(s), F.array(s)).otherwise(F.split(s, f"(?<=[,;:]){WS}+")))))
-    pieces = lambda x: F.flatten(F.transform(F.split(x, f"{WS}+"), lambda w: F.when(short(w), F.array(w)).otherwise(hard_cut(w, limit))))
-    out = out.withColumn("__c", F.flatten(F.transform("__b", lambda x: F.when(short(x), F.array(x)).otherwise(pieces(x)))))
-    made = F.when(F.col("__t") == "", F.array().cast("array<string>")).when(short(F.col("__t")), F.array("__t")).otherwise(pack_into(F.col("__c"), limit))
-    return out.withColumn(into, made).drop("__t", "__a", "__b", "__c")
+    t = df.select(key, trim(text).alias("__t")).where("__t <> ''")
+    s = t.where(~short(F.col("__t"))).select(key, F.posexplode(sentences("__t")).alias("__n", "__s"))
+    c = s.select(key, "__n", F.posexplode(F.when(short(F.col("__s")), F.array("__s")).otherwise(F.split("__s", f"(?<=[,;:]){WS}+"))).alias("__m", "__c"))
+    words = F.flatten(F.transform(F.split("__c", f"{WS}+"), lambda w: F.when(short(w), F.array(w)).otherwise(hard_cut(w, limit))))
+    parts = c.select(key, F.struct("__n", "__m", F.when(short(F.col("__c")), F.array("__c")).otherwise(words).alias("p")).alias("x"))
+    gathered = parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["p"])).alias("p"))
+    packed = gathered.select(key, F.posexplode(pack_into(F.col("p"), limit)).alias("piece_no", "piece"))
+    return packed.unionByName(t.where(short(F.col("__t"))).select(key, F.lit(0).alias("piece_no"), F.col("__t").alias("piece")))
