@@ -4,10 +4,12 @@ Every function takes and returns Columns, so Catalyst sees through it. Null text
 a docstring says otherwise.
 """
 
-from __future__ import annotations
+import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The white space of the upload format, as a regex class body.
 WS_BODY = r"\t\n\x0B\f\r    -     　﻿"
@@ -347,22 +349,11 @@ def strip_accents(c: Column | str) -> Column:
     return _strip_accents(col(c))
 
 
-def _make_strip() -> object:
-    import unicodedata
+@F.pandas_udf(StringType())
+def _strip_accents(s: pd.Series) -> pd.Series:
+    def one(t):
+        if t is None or t.isascii():
+            return t
+        return "".join(x for x in unicodedata.normalize("NFKD", t) if not "\u0300" <= x <= "\u036f")
 
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def strip(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if t is None or t.isascii():
-                return t
-            return "".join(x for x in unicodedata.normalize("NFKD", t) if not "̀" <= x <= "ͯ")
-
-        return s.map(one)
-
-    return strip
-
-
-def _strip_accents(c: Column) -> Column:
-    return _make_strip()(c)
+    return s.map(one)
