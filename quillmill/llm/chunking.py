@@ -93,7 +93,7 @@ def cut_oversized(df: DataFrame, text: str, limit: Column | str, overlap: Column
     taken = {"n_parts", "part", "start", "overlap_len", "piece"} & set(df.columns)
     if taken:
         raise ValueError(f"columns of these names are there already: {sorted(taken)}")
-    df = df.withColumns({"__limit": F.greatest(lim.cast("int"), F.lit(1)), "__overlap": F.greatest(F.coalesce(over.cast("int"), F.lit(0)), F.lit(0))})
+    df = df.withColumns({"__limit": F.when(lim.isNotNull(), F.greatest(lim.cast("int"), F.lit(1))), "__overlap": F.greatest(F.coalesce(over.cast("int"), F.lit(0)), F.lit(0))})
     long = F.length(text) > F.col("__limit")
     small = df.where(~F.coalesce(long, F.lit(False))).withColumn("__p", F.array(F.struct(F.lit(0).alias("part"), F.lit(0).alias("start"), F.lit(0).alias("overlap"), F.col(text).alias("piece"))))
 

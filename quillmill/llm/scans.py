@@ -455,7 +455,7 @@ def clean_title(title: str | None, channel: Channel) -> str | None:
     if title is None:
         return None
     t = unicodedata.normalize("NFC", title).strip()
-    if re.fullmatch(r"(?:\S ){3,}\S(?:\s+(?:\S )*\S)*", t) and len(re.findall(r"\S\S", t)) == 0:
+    if t.count(" ") >= 4 and not re.search(r"\S\S", t):
         t = " ".join(w.replace(" ", "") for w in re.split(r"\s{2,}", t))
     t = re.sub(r"\s+", " ", t)
     spots = [(m.group(), m.start()) for m in WORD.finditer(t)]
