@@ -19,7 +19,7 @@ def split_budget(weights: list[int], total: int, floor: int) -> list[int]:
         size = sum(weights[i] for i in free)
         low = [i for i in free if (weights[i] * left // size if size else 0) < floor]
         if not low:
-            out |= {i: weights[i] * left // size for i in free}
+            out |= {i: weights[i] * left // size if size else 0 for i in free}
             break
         for i in low:
             out[i] = floor

@@ -71,7 +71,7 @@ class _Reader(html.parser.HTMLParser):
         self.kind, self.level = "p", None
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("script", "style", "head"):
+        if tag in ("script", "style", "head", "title"):
             self.skip += 1
         elif re.fullmatch("h[1-6]", tag):
             self.flush()
@@ -89,7 +89,7 @@ class _Reader(html.parser.HTMLParser):
             self.buffer.append(" ")
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "head"):
+        if tag in ("script", "style", "head", "title"):
             self.skip = max(0, self.skip - 1)
         elif tag in ("ol", "ul"):
             self.flush()
