@@ -38,13 +38,15 @@ MAX_EDITS = 3
 MARKS = "-‐¬\xad"
 
 # What a scanner reads, and what was printed; small letters and digits, then capitals.
-READ_SMALL = [("c", "e"), ("f", "t"), ("b", "h"), ("0", "o"), ("5", "s"), ("l", "i"), ("1", "l"), ("1", "i"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("6", "b"), ("vv", "w"), ("9", "g"), ("m", "in"), ("m", "rn"), ("e", "c"), ("h", "b"), ("d", "cl"), ("i", "l")]
+READ_SMALL = [("c", "e"), ("f", "t"), ("b", "h"), ("0", "o"), ("5", "s"), ("l", "i"), ("1", "l"), ("1", "i"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("6", "b"), ("vv", "w"), ("9", "g"), ("m", "in"), ("m", "rn"), ("h", "li"), ("e", "c"), ("h", "b"), ("d", "cl"), ("i", "l")]
 READ_CAPITAL = [("F", "E"), ("N", "H"), ("5", "S"), ("0", "O"), ("6", "G"), ("8", "B"), ("1", "I"), ("l", "I"), ("O", "D"), ("M", "RN"), ("VV", "W"), ("f", "t")]
 EDIT_COST = -math.log(0.01)
 
 WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 DIGITS = str.maketrans("lI|!OoSsBZzGg", "1111005582266")
 NUMBER = re.compile(r"^\W{0,2}\s*(P[ao0][g9][ec]\s)?\s*([\dlI|!OoSsBZzGg]{1,4})\s*\W{0,2}$")
+SMALL_ROMAN = re.compile(r"^\W{0,2}\s*(?:P[ao0][g9][ec]\s)?\s*([ivxlI1|]{1,7})\s*\W{0,2}$")
+ROMAN_FORM = re.compile(r"^(x{0,3})(ix|iv|v?i{0,3})$")
 BESIDE = re.compile(r"^(?:([\dlI|!OoSsBZzGg]{1,4})\s{2,}(\S.*)|(\S.*?)\s{2,}([\dlI|!OoSsBZzGg]{1,4}))$")
 CUT = re.compile(r"([^\W\d_](?:[^\W_]|-(?=\w))*|[^\W_]+)([" + re.escape(MARKS) + r"])\s*$")
 FIRST = re.compile(r"^\s*([^\W_]+(?:-[^\W_]+)*)")
@@ -170,31 +172,45 @@ def near(a: str, b: str) -> bool:
     return sum(x != y for x, y in zip(a[k:], b[k + 1 :])) <= len(a) // 8
 
 
+def small_roman(s: str) -> int:
+    """The value of a page number in small roman letters, an i perhaps read as l or 1; 0 for anything else."""
+    m = SMALL_ROMAN.match(s)
+    m = m and ROMAN_FORM.match(re.sub("[lI1|]", "i", m[1]))
+    if not m:
+        return 0
+    return 10 * len(m[1]) + {"ix": 9, "iv": 4}.get(m[2], 5 * m[2].count("v") + m[2].count("i"))
+
+
 def furniture(lines: list[str], title: str | None = None) -> set[int]:
     """Numbers of the lines that are running headers or page numbers."""
     numbers: list[tuple[int, int, bool]] = []
-    heads: dict[int, str] = {}
+    decked: set[int] = set()  # numbers that look like nothing but page numbers
     for i, raw in enumerate(lines):
         s = raw.strip()
         if not s or len(s) > 90:
             continue
+        if len(s) <= 14 and (v := small_roman(s)):
+            numbers.append((i, v, True))
+            decked.add(i)
+            continue
         if m := NUMBER.match(s):
             if any(c.isdigit() for c in m[2]) or m[1] or s != m[2]:
                 v = m[2].translate(DIGITS)
                 if v.isdigit():
                     numbers.append((i, int(v), True))
+                    if m[1] or not s[0].isalnum():
+                        decked.add(i)
                     continue
         if (m := BESIDE.match(s)) and (any(c.isdigit() for c in (m[1] or m[4]))):
             v = (m[1] or m[4]).translate(DIGITS)
             if v.isdigit():
                 numbers.append((i, int(v), False))
-                heads[i] = m[2] or m[3]
     values = {i: v for i, v, _ in numbers}
     order = [i for i, _, _ in numbers]
     out: set[int] = set()
     for k, (i, v, alone) in enumerate(numbers):
         around = [values[order[j]] - v == j - k or 0 < (values[order[j]] - v) * (1 if j > k else -1) <= 2 * abs(j - k) for j in range(max(0, k - 3), min(len(order), k + 4)) if j != k]
-        if any(around) or (alone and len(numbers) <= 2):
+        if any(around) or (alone and (len(numbers) <= 2 or (i in decked and len(decked) >= 2))):
             out.add(i)
     full = [i for i, x in enumerate(lines) if x.strip()]
     place = {i: n for n, i in enumerate(full)}
