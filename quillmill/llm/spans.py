@@ -35,6 +35,8 @@ from quillmill.session import cut
 
 #: Characters of text in one FM-index.
 SHARD_CHARS = 1_500_000
+#: Characters that visit one copy of an index, as a multiple of the above.
+VISITS_PER_INDEX = 6
 
 
 def winnow(codes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -82,8 +84,11 @@ def fingerprints(docs: DataFrame, least: int) -> DataFrame:
     return long.mapInArrow(run, schema)
 
 
-def _routes(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """For each class with a shared fingerprint: (rep, shard, places) and (rep, shard, home) of its visits."""
+def _routes(classes: DataFrame, least: int) -> DataFrame:
+    """(rep, shard, copy, pos, home, asks): for each class with a shared fingerprint the shards it goes to.
+
+    home: it is part of that shard's index; asks: its spans are searched there.
+    """
     k = max(1, least // 3)
     at = classes.select("rep", F.explode("fps").alias("f")).select("rep", F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"))
     frequent = at.groupBy("fp").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("fp", "n")
@@ -99,12 +104,18 @@ def _routes(classes: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
         "shard",
         F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks")))),
     )
-    placed = placed.select("rep", "pos", "shard")
+    placed = placed.select("rep", "pos", "chars", "shard")
     in_shard = shared.select("rep", "fp").distinct().join(placed.select("rep", "shard"), "rep")
     targets = in_shard.select("fp", "shard").distinct()
     visits = shared.select("rep", "fp").join(targets, "fp").select("rep", "shard").distinct()
-    visits = visits.join(placed.select("rep", "pos", F.col("shard").alias("own")), "rep").select("rep", "shard", "pos", (F.col("own") == F.col("shard")).alias("home"))
-    return placed, visits
+    visits = visits.join(placed.select("rep", "pos", "chars", F.col("shard").alias("own")), "rep").select("rep", "shard", "pos", "chars", (F.col("own") == F.col("shard")).alias("home"))
+    visits = cut(visits)
+    # a shard that very many visit is indexed in several tasks, among which its visitors are spread
+    load = visits.groupBy("shard").agg(F.ceil(F.sum("chars") / (VISITS_PER_INDEX * SHARD_CHARS)).cast("int").alias("copies"))
+    visits = visits.join(load.where("copies > 1"), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    mine = F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")
+    tasks = F.when(F.col("home"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(mine))
+    return visits.select("rep", "shard", "pos", "home", mine.alias("mine"), F.explode(tasks).alias("copy")).select("rep", "shard", "copy", "pos", "home", (F.col("copy") == F.col("mine")).alias("asks"))
 
 
 def _regions(pos: np.ndarray, n: int, least: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -126,35 +137,49 @@ def _regions(pos: np.ndarray, n: int, least: int) -> list[tuple[int, int, list[t
     return out
 
 
-def match_shard(reps: list, texts: list[np.ndarray], places: list, home: list[bool], least: int) -> list[list[tuple[int, int]]]:
-    """For each visitor of a shard the spans of the least length that stand in another indexed text."""
-    regions = [_regions(np.asarray(p), len(t), least) for p, t in zip(places, texts)]
-    index_codes, index_owner = [], []
-    for r, t in enumerate(texts):
-        if home[r]:
-            for a, b, _ in regions[r]:
-                index_codes += [t[a:b] + np.uint32(1), np.zeros(1, np.uint32)]
-                index_owner.append(np.full(b - a + 1, r, np.int32))
-    if not index_codes:
-        return [[] for _ in reps]
-    fm = FMIndex(np.concatenate(index_codes), np.concatenate(index_owner))
-    base = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    query = fm.symbols(np.concatenate(texts) + np.uint32(1)) if base[-1] else np.empty(0, np.int64)
-    found: list[list[tuple[int, int]]] = [[] for _ in reps]
-    todo = np.array([(r, base[r] + lo, base[r] + hi, True) for r, rs in enumerate(regions) for _, _, es in rs for lo, hi in es], np.int64).reshape(-1, 4)
-    while len(todo):
-        r, lo, hi, whole = todo.T
-        end = np.where(whole == 1, hi, lo + (hi - lo) * 85 // 100)
-        start = fm.reach(query, end, lo - least, r)
-        good = end - start >= least
-        for a, s, e in zip(r[good].tolist(), start[good].tolist(), end[good].tolist()):
-            found[a].append((s - int(base[a]), e - int(base[a])))
-        zero = np.zeros(len(r), np.int64)
-        # a good end settles all ends from start + least on; a bad one those up to start - 1 + least
-        left = np.stack([r, lo, np.where(good, start + least - 1, end - 1), zero], 1)
-        right = np.stack([r, np.where(good, end + 1, start + least), hi, zero], 1)
-        todo = np.concatenate([left[left[:, 1] <= left[:, 2]], right[right[:, 1] <= right[:, 2]]])
-    return [_merge(f) for f in found]
+class Shard:
+    """The index over the places of a shard's own texts, and the search for visitors' spans in it."""
+
+    def __init__(self, texts: list[np.ndarray], places: list, least: int) -> None:
+        self.least = least
+        codes, owner = [], []
+        for r, (t, p) in enumerate(zip(texts, places)):
+            for a, b, _ in _regions(np.asarray(p), len(t), least):
+                codes += [t[a:b] + np.uint32(1), np.zeros(1, np.uint32)]
+                owner.append(np.full(b - a + 1, r, np.int32))
+        self.fm = FMIndex(np.concatenate(codes), np.concatenate(owner)) if codes else None
+
+    def ask(self, texts: list[np.ndarray], places: list, own: list[int]) -> list[list[tuple[int, int]]]:
+        """For each text the spans of the least length that stand in an indexed text other than its own (-1: none is)."""
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        if self.fm is None or not base[-1]:
+            return found
+        me, least = np.asarray(own, np.int64), self.least
+        query = self.fm.symbols(np.concatenate(texts) + np.uint32(1))
+        ranges = [(r, base[r] + lo, base[r] + hi, 1) for r, (t, p) in enumerate(zip(texts, places)) for _, _, es in _regions(np.asarray(p), len(t), least) for lo, hi in es]
+        todo = np.array(ranges, np.int64).reshape(-1, 4)
+        while len(todo):
+            r, lo, hi, whole = todo.T
+            end = np.where(whole == 1, hi, lo + (hi - lo) * 85 // 100)
+            start = self.fm.reach(query, end, lo - least, me[r])
+            good = end - start >= least
+            for a, s, e in zip(r[good].tolist(), start[good].tolist(), end[good].tolist()):
+                found[a].append((s - int(base[a]), e - int(base[a])))
+            zero = np.zeros(len(r), np.int64)
+            # a good end settles all ends from start + least on; a bad one those up to start - 1 + least
+            left = np.stack([r, lo, np.where(good, start + least - 1, end - 1), zero], 1)
+            right = np.stack([r, np.where(good, end + 1, start + least), hi, zero], 1)
+            todo = np.concatenate([left[left[:, 1] <= left[:, 2]], right[right[:, 1] <= right[:, 2]]])
+        return [_merge(f) for f in found]
+
+
+def match_shard(texts: list[np.ndarray], places: list, home: list[bool], least: int) -> list[list[tuple[int, int]]]:
+    """The spans of all visitors of one shard, those at home among them."""
+    at = [r for r, h in enumerate(home) if h]
+    number = {r: n for n, r in enumerate(at)}
+    shard = Shard([texts[r] for r in at], [places[r] for r in at], least)
+    return shard.ask(texts, places, [number.get(r, -1) for r in range(len(texts))])
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -177,37 +202,52 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
     marked = cut(fingerprints(docs, least))
     members = marked.select("digest", "doc_id", "n_chars").distinct()
     classes = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps"))
-    _, visits = _routes(classes.select(F.col("digest").alias("rep"), "fps"), least)
+    visits = _routes(classes.select(F.col("digest").alias("rep"), "fps"), least)
     # one copy of each text that visits a shard
     one = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    routes = visits.groupBy("rep").agg(F.collect_list(F.struct("shard", "home")).alias("visits"), F.first("pos").alias("pos"))
+    routes = visits.groupBy("rep").agg(F.collect_list(F.struct("shard", "copy", "home", "asks")).alias("visits"), F.first("pos").alias("pos"))
     routes = routes.join(one, F.col("rep") == F.col("digest")).select("doc_id", "rep", "visits", "pos")
     sent = docs.where(F.length("text") >= least).join(routes, "doc_id").where(F.md5("text") == F.col("rep")).dropDuplicates(["rep"])
-    sent = sent.select("rep", "text", "pos", F.explode("visits").alias("v")).select(F.col("v.shard").alias("shard"), F.col("v.home").alias("home"), "rep", "pos", "text")
+    sent = sent.select("rep", "text", "pos", F.explode("visits").alias("v")).select("v.shard", "v.copy", "v.home", "v.asks", "rep", "pos", "text")
     schema = "rep string, spans array<struct<start:int,end:int>>"
     wanted = _arrow_schema(documents.sparkSession, schema)
-
-    def flush(rows: list) -> pa.RecordBatch | None:
-        texts = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for _, t, _, _ in rows]
-        spans = match_shard([x[0] for x in rows], texts, [x[2] for x in rows], [x[3] for x in rows], least)
-        kept = [(x[0], [{"start": a, "end": b} for a, b in s]) for x, s in zip(rows, spans) if s]
-        return pa.RecordBatch.from_pydict({"rep": [k for k, _ in kept], "spans": [s for _, s in kept]}, schema=wanted) if kept else None
+    columns = ("shard", "copy", "home", "asks", "rep", "text", "pos")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
+        key, shard, homes, asking, size = None, None, [], [], 0
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal shard, asking, size
+            if shard is None:
+                shard = Shard([t for _, t, _, _ in homes], [p for _, _, p, _ in homes], least)
+                homes.clear()
+            found = shard.ask([t for _, t, _, _ in asking], [p for _, _, p, _ in asking], [o for _, _, _, o in asking])
+            kept = [(x[0], [{"start": a, "end": b} for a, b in f]) for x, f in zip(asking, found) if f]
+            asking, size = [], 0
+            if kept:
+                yield pa.RecordBatch.from_pydict({"rep": [k for k, _ in kept], "spans": [f for _, f in kept]}, schema=wanted)
+
         for batch in it:
-            cols = [batch.column(c).to_pylist() for c in ("shard", "rep", "text", "pos", "home")]
-            for s, *row in zip(*cols):
-                if s != shard and rows:
-                    if (out := flush(rows)) is not None:
-                        yield out
-                    rows = []
-                shard = s
-                rows.append(row)
-        if rows and (out := flush(rows)) is not None:
-            yield out
-
-    matched = sent.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(run, schema)
+            for s, c, home, asks, rep, text, pos in zip(*(batch.column(x).to_pylist() for x in columns)):
+                if (s, c) != key:
+                    if asking:
+                        yield from answer()
+                    key, shard, n = (s, c), None, 0
+                    homes.clear()
+                row = (rep, np.frombuffer(text.encode("utf-32-le"), np.uint32), pos, n if home else -1)
+                if home:
+                    homes.append(row)
+                    n += 1
+                if asks:
+                    asking.append(row)
+                    size += len(row[1])
+                if not home and size > SHARD_CHARS:
+                    yield from answer()
+        if asking:
+            yield from answer()
+
+    # those at home come first, so that the index stands before visitors stream through it
+    matched = sent.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("home").desc()).mapInArrow(run, schema)
     per_class = matched.select("rep", F.explode("spans").alias("s")).groupBy("rep").agg(F.sort_array(F.collect_set("s")).alias("all"))
     start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     merged = F.aggregate(
