@@ -172,3 +172,43 @@ def speech_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds a word as measured once 40 words are known, else the usual pace."""
     c = table(spark, sf_dir, "chunks").where("words is not null").select("job_key", "i", "words").distinct().groupBy("job_key").agg(F.sum("words").alias("words"))
     return c.select("job_key", F.when(F.col("words") >= 40, F.round(F.col("words") * 0.38 / F.col("words"), 4)).otherwise(F.lit(0.38)).alias("seconds_per_word"), "words")
+
+
+@register("orphan_chunks", "SELECT DISTINCT job_key, i FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_key = c.job_key AND j.total IS NOT NULL)")
+def orphan_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks without a job that says how many there are."""
+    jobs = table(spark, sf_dir, "jobs").where("total is not null").select("job_key").distinct()
+    return table(spark, sf_dir, "chunks").select("job_key", "i").distinct().join(jobs, "job_key", "left_anti")
+
+
+@register("line_marks", """SELECT DISTINCT o.book_id, o.line_idx, o.kind, c.idx AS chapter FROM outline_entries o LEFT JOIN (SELECT DISTINCT book_id, line_idx, idx FROM chapters) c ON c.book_id = o.book_id AND c.line_idx = o.line_idx""")
+def line_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outline entries with the chapter that starts on their line."""
+    c = table(spark, sf_dir, "chapters").select("book_id", "line_idx", F.col("idx").alias("chapter")).distinct()
+    return table(spark, sf_dir, "outline_entries").select("book_id", "line_idx", "kind").distinct().join(c, ["book_id", "line_idx"], "left").distinct()
+
+
+@register("chapter_levels", """WITH o AS (SELECT DISTINCT book_id, line_idx, level FROM outline_entries WHERE kind = 'heading'), c AS (SELECT DISTINCT book_id, line_idx, title FROM chapters WHERE title IS NOT NULL)
+SELECT book_id, title, min(coalesce(level, 2)) AS level FROM c LEFT JOIN o USING (book_id, line_idx) GROUP BY book_id, title""")
+def chapter_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least level measured for each chapter title, 2 where none was."""
+    o = table(spark, sf_dir, "outline_entries").where("kind = 'heading'").select("book_id", "line_idx", "level").distinct()
+    c = table(spark, sf_dir, "chapters").where("title is not null").select("book_id", "line_idx", "title").distinct()
+    return c.join(o, ["book_id", "line_idx"], "left").groupBy("book_id", "title").agg(F.min(F.coalesce("level", F.lit(2))).alias("level"))
+
+
+@register("voices_by_job", "SELECT DISTINCT j.job_key, v.name, v.engine FROM jobs j JOIN voices v ON v.voice_id = j.voice_id AND split_part(j.voice_id, ':', 1) = v.engine")
+def voices_by_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The voice of each job by engine and id."""
+    j = table(spark, sf_dir, "jobs").select("job_key", "voice_id", F.split_part("voice_id", F.lit(":"), F.lit(1)).alias("engine")).distinct()
+    return j.join(table(spark, sf_dir, "voices").select("voice_id", "engine", "name"), ["voice_id", "engine"]).select("job_key", "name", "engine").distinct()
+
+
+@register("stub_speech")
+def stub_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stand-in engine over every chunk with text: seconds, level and pauses measured from its samples."""
+    from quillmill.operators import hooks, signal
+
+    c = table(spark, sf_dir, "chunks").where("pieces is not null").select("job_key", "i", F.array_join("pieces", " ").alias("text"), F.lit(1.0).alias("speed")).where("trim(text) <> ''").distinct()
+    s = hooks.synthesise(c)
+    return s.select("job_key", "i", (F.size("samples") / 100).alias("seconds"), F.round(signal.dbfs(signal.rms("samples")), 4).alias("dbfs"), signal.bounds("samples", 0.01)["last"].alias("last"))

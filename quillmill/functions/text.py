@@ -339,6 +339,20 @@ def continues_heading(title: Column | str, following: Column | str) -> Column:
     return t.rlike(TRAILING_WORD) | F.when(small, runs_on).otherwise(single)
 
 
+def has_vocal_tag(tags: Column | str, vocal: tuple[str, ...] = ("vocal", "voice", "singing", "singer", "lyrics", "song", "rap", "choir", "spoken", "speech", "acapella", "chant")) -> Column:
+    """Whether some tag of a track names a voice."""
+    t = F.lower(F.coalesce(col(tags), F.lit("")))
+    return F.exists(F.array(*[F.lit(v) for v in vocal]), lambda v: F.contains(t, v))
+
+
+def highlight(text: Column | str, needles: Column) -> Column:
+    """array<struct<text, hit>>: the text cut around the needles where they first stand, overlaps left out."""
+    t = col(text)
+    mark = F.aggregate(needles, t, lambda a, n: F.when(F.length(n) > 0, F.replace(a, n, F.concat(F.lit("\x02"), n, F.lit("\x03")))).otherwise(a))
+    parts = F.filter(F.split(mark, "(?=\x02)|(?<=\x03)"), lambda p: p != "")
+    return F.transform(parts, lambda p: F.struct(F.translate(p, "\x02\x03", "").alias("text"), p.startswith("\x02").alias("hit")))
+
+
 def norm_text(c: Column | str) -> Column:
     """Small letters without accents, everything but letters and digits as one blank (for grounding checks)."""
     return trim(F.regexp_replace(strip_accents(F.lower(col(c))), "[^a-z0-9]+", " "))

@@ -151,3 +151,21 @@ def test_sinks_and_folds(spark, tmp_path):
     assert got == {1: ("start", None), 2: ("x", None)}
     sinks.write_job_bundle(spark.createDataFrame([("j", 1)], "job_key string, total int"), spark.createDataFrame([("j", 0, ["a"])], "job_key string, i int, pieces array<string>"), str(tmp_path / "b"))
     assert spark.read.json(str(tmp_path / "b/chunks")).first().pieces == ["a"]
+
+
+def test_highlight_and_tags(spark):
+    got = spark.createDataFrame([("One two. Three four.",)], "x string").select(T.highlight("x", F.array(F.lit("two."), F.lit("zzz"))).alias("y")).first().y
+    assert [tuple(p) for p in got] == [("One ", False), ("two.", True), (" Three four.", False)]
+    assert one(spark, "Calm, Female Vocals", T.has_vocal_tag) is True and one(spark, "calm piano", T.has_vocal_tag) is False
+
+
+def test_hooks(spark):
+    from quillmill.operators import hooks, signal
+
+    df = spark.createDataFrame([(1, "Hello there. More", 1.0), (2, "", 1.0)], "k int, text string, speed double")
+    rows = {r.k: r.samples for r in hooks.synthesise(df).collect()}
+    assert len(rows[1]) == round(3 * 38) and rows[2] == []
+    p = signal.pauses(spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0, 1.0, 0.0])], "k int, s array<float>"), "k", "s", 0.1, 2, 1, 3)
+    assert [tuple(r) for r in p.collect()] == [(1, 1, 3)]
+    with pytest.raises(KeyError):
+        hooks.synthesise(df, "nobody")
