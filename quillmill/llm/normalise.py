@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.codepoints import batches, row_of, to_arrow, to_codepoints
+from quillmill.session import cut
 
 #: Code points above this have no entry in the tables.
 TOP = 0x30000
@@ -211,6 +212,7 @@ def same_look_pairs(df: DataFrame, key: str = "book_id", column: str = "text") -
         .select(F.col(key).alias("k"), F.md5(column).alias("raw"), F.md5("__form").alias("form"))
         .distinct()
     )
+    digests = cut(digests)  # else the texts would be normalised once for the forms and again for the pairs
     forms = digests.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
     several = digests.join(forms, "form", "left_semi")
     a, b = several.alias("a"), several.alias("b")
