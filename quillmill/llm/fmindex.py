@@ -104,20 +104,8 @@ class FMIndex:
         at = np.minimum(np.searchsorted(self.alphabet, codes), self.sigma - 1)
         return np.where(self.alphabet[at] == codes, at, 0)
 
-    def reach(self, query: np.ndarray, end: np.ndarray, floor: np.ndarray, owner: np.ndarray) -> np.ndarray:
-        """Matching statistics: for each end the least start, not below ``floor``, such that
-        ``query[start:end]`` stands in a text of another owner. query: symbols."""
-        start = end.copy()
-        live = np.flatnonzero(start > floor)
-        lo, hi, at, me, low = np.zeros(len(live), np.int64), np.full(len(live), self.n, np.int64), start[live], owner[live], floor[live]
-        while len(live):
-            c = query[at - 1]
-            lo, hi = self.step(c, lo, hi)
-            first = np.minimum(lo, self.n - 1)
-            ok = (c > 0) & (lo < hi) & ((self.owner[first] != me) | (self.other[first] < hi))
-            at = at - ok
-            more = ok & (at > low)
-            if not more.all():
-                start[live[~more]] = at[~more]
-                live, lo, hi, at, me, low = live[more], lo[more], hi[more], at[more], me[more], low[more]
-        return start
+    def back(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """One step of backward search: the new ranges, and whether each holds a text of another owner."""
+        lo, hi = self.step(symbol, lo, hi)
+        first = np.minimum(lo, self.n - 1)
+        return lo, hi, (symbol > 0) & (lo < hi) & ((self.owner[first] != owner) | (self.other[first] < hi))

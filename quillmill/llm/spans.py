@@ -34,7 +34,9 @@ from quillmill.llm.leaks import _arrow_schema, mix, windows
 from quillmill.session import cut
 
 #: Characters of text in one FM-index.
-SHARD_CHARS = 1_500_000
+SHARD_CHARS = 2_500_000
+#: Ends that one test may settle; long texts are tested in several places at once.
+RANGE = 2048
 #: Characters that visit one copy of an index, as a multiple of the above.
 VISITS_PER_INDEX = 6
 
@@ -155,22 +157,40 @@ class Shard:
         base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
         if self.fm is None or not base[-1]:
             return found
-        me, least = np.asarray(own, np.int64), self.least
-        query = self.fm.symbols(np.concatenate(texts) + np.uint32(1))
-        ranges = [(r, base[r] + lo, base[r] + hi, 1) for r, (t, p) in enumerate(zip(texts, places)) for _, _, es in _regions(np.asarray(p), len(t), least) for lo, hi in es]
+        me, least, fm = np.asarray(own, np.int64), self.least, self.fm
+        query = fm.symbols(np.concatenate(texts) + np.uint32(1))
+        ranges = [(r, base[r] + a, base[r] + min(a + RANGE - 1, hi), 0) for r, (t, p) in enumerate(zip(texts, places)) for _, _, es in _regions(np.asarray(p), len(t), least) for lo, hi in es for a in range(lo, hi + 1, RANGE)]
         todo = np.array(ranges, np.int64).reshape(-1, 4)
-        while len(todo):
-            r, lo, hi, whole = todo.T
-            end = np.where(whole == 1, hi, lo + (hi - lo) * 85 // 100)
-            start = self.fm.reach(query, end, lo - least, me[r])
-            good = end - start >= least
-            for a, s, e in zip(r[good].tolist(), start[good].tolist(), end[good].tolist()):
-                found[a].append((s - int(base[a]), e - int(base[a])))
-            zero = np.zeros(len(r), np.int64)
-            # a good end settles all ends from start + least on; a bad one those up to start - 1 + least
-            left = np.stack([r, lo, np.where(good, start + least - 1, end - 1), zero], 1)
-            right = np.stack([r, np.where(good, end + 1, start + least), hi, zero], 1)
-            todo = np.concatenate([left[left[:, 1] <= left[:, 2]], right[right[:, 1] <= right[:, 2]]])
+        # tests under way: text, range of ends, end under test, place reached, kind of test, range in the index
+        live = np.empty((8, 0), np.int64)
+        over: list[np.ndarray] = []
+        waiting = 0
+        while len(todo) or live.shape[1] or over:
+            if len(todo):
+                # first the last end, then the first one, which a bad test pushes far ahead, then near the last
+                r, lo, hi, kind = todo.T
+                end = np.where(kind == 0, hi, np.where(kind == 1, lo, lo + (hi - lo) * 8 // 10))
+                new = np.stack([r, lo, hi, end, end, kind, np.zeros(len(r), np.int64), np.full(len(r), fm.n, np.int64)])
+                live, todo = np.concatenate([live, new], 1), todo[:0]
+            at = live[4]
+            lo, hi, ok = fm.back(query[at - 1], live[6], live[7], me[live[0]])
+            live[4] = at - ok
+            live[6], live[7] = lo, hi
+            more = ok & (live[4] > live[1] - least)
+            if not more.all():
+                over.append(live[:6, ~more])
+                waiting += over[-1].shape[1]
+                live = live[:, more]
+            if over and (waiting * 8 > live.shape[1] or not live.shape[1]):
+                r, lo, hi, end, start, kind = np.concatenate(over, 1)
+                over, waiting = [], 0
+                good = end - start >= least
+                for a, s, e in zip(r[good].tolist(), start[good].tolist(), end[good].tolist()):
+                    found[a].append((s - int(base[a]), e - int(base[a])))
+                # a good end settles all ends from start + least on; a bad one those up to start - 1 + least
+                left = np.stack([r, lo, np.where(good, start + least - 1, end - 1), np.where(good | (kind == 0), 1, 2)], 1)
+                right = np.stack([r, np.where(good, end + 1, start + least), hi, np.where(good | (kind == 1), 2, 1)], 1)
+                todo = np.concatenate([left[left[:, 1] <= left[:, 2]], right[right[:, 1] <= right[:, 2]]])
         return [_merge(f) for f in found]
 
 
@@ -241,7 +261,7 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
                 if asks:
                     asking.append(row)
                     size += len(row[1])
-                if not home and size > SHARD_CHARS:
+                if not home and size > VISITS_PER_INDEX * SHARD_CHARS:
                     yield from answer()
         if asking:
             yield from answer()
