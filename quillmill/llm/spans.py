@@ -34,7 +34,7 @@ from quillmill.llm.leaks import _arrow_schema, mix, windows
 from quillmill.session import cut
 
 #: Characters of text in one FM-index.
-SHARD_CHARS = 2_500_000
+SHARD_CHARS = 2_000_000
 #: Ends that one test may settle; long texts are tested in several places at once.
 RANGE = 2048
 #: Characters that visit one copy of an index, as a multiple of the above.
