@@ -14,6 +14,7 @@ from pyspark.sql.types import StringType
 # The white space of the upload format, as a regex class body.
 WS_BODY = r"\t\n\x0B\f\r    -     　﻿"
 WS = f"[{WS_BODY}]"
+WS_CHARS = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 NOT_WS = f"[^{WS_BODY}]"
 
 # Patterns of structured lines.
@@ -48,8 +49,8 @@ def col(c: Column | str) -> Column:
 
 
 def trim(c: Column | str) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+\\z", "")
+    """Without white space at both ends; looks at the ends alone, not at every character."""
+    return F.btrim(col(c), F.lit(WS_CHARS))
 
 
 def words(c: Column | str) -> Column:
