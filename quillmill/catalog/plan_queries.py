@@ -82,15 +82,14 @@ def outer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("level_map", f"""WITH p AS (SELECT c.title AS line, o.level, row_number() OVER (ORDER BY c.book_id, c.line_idx, o.level, c.title) - 1 AS ord FROM (SELECT DISTINCT book_id, line_idx, title FROM chapters WHERE title IS NOT NULL) c JOIN (SELECT DISTINCT book_id, line_idx, level FROM outline_entries WHERE kind = 'heading') o USING (book_id, line_idx)),
 k AS (SELECT {Q.heading_key('line')} AS key, level, ord FROM p WHERE ord < 5000 AND level BETWEEN 1 AND 3) SELECT key, arg_max(level, ord) AS level FROM k WHERE key <> '' GROUP BY key""")
 def level_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The level that the first 5,000 measured headings, in the order of their books, give each key."""
+    """The level that the measured headings of each book, 5,000 at most, give each key."""
     from pyspark.sql import Window
 
     c = table(spark, sf_dir, "chapters").where("title is not null").select("book_id", "line_idx", "title").distinct()
     o = table(spark, sf_dir, "outline_entries").where("kind = 'heading'").select("book_id", "line_idx", "level").distinct()
-    by = ["book_id", "line_idx", F.col("level").asc_nulls_last(), "title"]
-    first = c.join(o, ["book_id", "line_idx"]).orderBy(*by).limit(5000)  # so the numbering sees 5,000 rows, however many there are
-    p = first.select(F.col("title").alias("line"), "level", (F.row_number().over(Window.orderBy(*by)) - 1).alias("ord"))
-    return X.level_map(p)
+    w = Window.partitionBy("book_id").orderBy("line_idx", F.col("level").asc_nulls_last(), "title")
+    p = c.join(o, ["book_id", "line_idx"]).select("book_id", F.col("title").alias("line"), "level", (F.row_number().over(w) - 1).alias("ord"))
+    return X.level_map(p, "book_id")
 
 
 @register("cached_prefix", """WITH d AS (SELECT DISTINCT job_key, i, pieces IS NOT NULL AND len(pieces) > 0 AS hit FROM chunks), m AS (SELECT job_key, min(i) FILTER (NOT hit) AS miss, count(*) AS n, count(*) FILTER (hit) AS hits FROM (SELECT job_key, i, bool_or(hit) AS hit FROM d GROUP BY ALL) GROUP BY job_key)

@@ -83,7 +83,7 @@ def answers_in_order(asked: DataFrame, answers: DataFrame, key: str, at: str) ->
     return joined.where("answer is not null"), joined.where("answer is null").drop("answer")
 
 
-def level_map(pairs: DataFrame, most: int = 5000) -> DataFrame:
-    """(key, level): the last of levels 1 to 3 given to each heading key, of the first ``most`` entries (line, level, ord)."""
-    p = pairs.where((F.col("ord") < most) & F.col("level").between(1, 3)).select(T.heading_key("line").alias("key"), "level", "ord").where("key <> ''")
-    return p.groupBy("key").agg(F.max_by("level", "ord").alias("level"))
+def level_map(pairs: DataFrame, doc: str, most: int = 5000) -> DataFrame:
+    """(doc, key, level): the last of levels 1 to 3 given to each heading key of a document, of its first ``most`` entries (doc, line, level, ord)."""
+    p = pairs.where((F.col("ord") < most) & F.col("level").between(1, 3)).select(doc, T.heading_key("line").alias("key"), "level", "ord").where("key <> ''")
+    return p.groupBy(doc, "key").agg(F.max_by("level", "ord").alias("level"))
