@@ -63,7 +63,7 @@ SELECT line, {Q.heading_like('t')} AS heading_like, (length(t) BETWEEN 3 AND 80
 {Q.has('t', NOT_THE_BOOK_SQL)} AS not_the_book, {Q.has('t', FOLIO_SQL)} AS folio, (len({Q.words('line')}) >= 12 OR {Q.has('t', '[.!?]["”’)]?$')}) AS prose FROM u""",
 )
 def line_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = L.line_table(table(spark, sf_dir, "books")).select("line").where(F.length("line") <= 120).distinct()
+    u = L.line_table(table(spark, sf_dir, "books")).select("line").distinct()
     tests = {"heading_like": T.is_heading_like, "chapter_heading": T.is_chapter_heading, "title_like": T.title_like, "real_heading": T.is_real_heading, "not_the_book": T.is_not_the_book, "folio": T.is_folio, "prose": T.is_prose_line}
     return u.select("line", *(f("line").alias(n) for n, f in tests.items()))
 

@@ -1,7 +1,12 @@
 """Queries read all of their input, however much there is."""
 
+import os
+
+import pytest
+from oracle import SF, bag, sql
+
 import quillmill.catalog  # noqa: F401
-from quillmill.queries import QUERIES
+from quillmill.queries import QUERIES, SQL
 
 
 def test_level_map_is_of_each_book(spark, tmp_path):
@@ -15,3 +20,20 @@ def test_level_map_is_of_each_book(spark, tmp_path):
     assert got["b0", "heading same"] == 1 and got["b1", "heading same"] == 2
     assert sum(book == "b1" for book, _ in got) == n
     assert sum(book == "long" for book, _ in got) == 5000 and ("long", "part 5000") not in got
+
+
+def test_line_tests_take_lines_of_any_length(spark, tmp_path):
+    prose, matter, short = "word " * 30, "Also by " + "x" * 130, "Chapter 1"
+    spark.createDataFrame([("b", "\n".join([prose, matter, short]))], "book_id string, text string").write.parquet(str(tmp_path / "books.parquet"))
+    got = {r.line: r for r in QUERIES["line_tests"](spark, str(tmp_path)).collect()}
+    assert set(got) == {prose, matter, short}
+    assert got[prose].prose and not got[prose].heading_like and not got[prose].real_heading
+    assert got[matter].not_the_book and not got[matter].title_like
+
+
+def test_line_tests_same_rows_as_sql_without_length(spark):
+    if not os.path.isdir(SF):
+        pytest.skip("no test tables here")
+    theirs = sql(SQL["line_tests"].replace(" WHERE length(line) <= 120", ""))
+    assert theirs.line.str.len().max() > 120
+    assert bag(QUERIES["line_tests"](spark, SF).toPandas()) == bag(theirs)
