@@ -236,7 +236,7 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sample_text", f"WITH {Q.BOOKS} SELECT book_id, CASE WHEN length(text) <= 3000 THEN text ELSE substring(text, 1, 1000) || chr(10) || substring(text, CAST(floor(length(text) / 2 - 500) AS INTEGER) + 1, 1000) || chr(10) || right(text, 1000) END AS sample FROM b")
 def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return books(spark, sf_dir).select("book_id", T.sample_text("text", 3000).alias("sample"))
+    return books(spark, sf_dir).select("book_id", T.sample_text("text").alias("sample"))
 
 
 @register("first_words", f"WITH {Q.BOOKS} SELECT book_id, array_to_string(list_slice({Q.words('text')}, 1, 350), ' ') AS test_text FROM b")

@@ -37,3 +37,13 @@ def test_line_tests_same_rows_as_sql_without_length(spark):
     theirs = sql(SQL["line_tests"].replace(" WHERE length(line) <= 120", ""))
     assert theirs.line.str.len().max() > 120
     assert bag(QUERIES["line_tests"](spark, SF).toPandas()) == bag(theirs)
+
+
+def test_sample_text_keeps_20000_characters(spark, tmp_path):
+    long = "".join(f"{i:07d} " for i in range(3000))
+    rows = [("short", long[:3001]), ("full", long[:20_000]), ("long", long)]
+    spark.createDataFrame(rows, "book_id string, text string").write.parquet(str(tmp_path / "books.parquet"))
+    got = {r.book_id: r["sample"] for r in QUERIES["sample_text"](spark, str(tmp_path)).collect()}
+    middle = len(long) // 2 - 3333
+    assert got["short"] == long[:3001] and got["full"] == long[:20_000]
+    assert got["long"] == "\n".join([long[:6666], long[middle : middle + 6666], long[-6666:]])
