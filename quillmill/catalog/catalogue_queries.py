@@ -169,9 +169,18 @@ def http_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("speech_rate", "SELECT job_key, CASE WHEN sum(words) >= 40 THEN round(sum(words) * 0.38 / sum(words), 4) ELSE 0.38 END AS seconds_per_word, CAST(sum(words) AS BIGINT) AS words FROM (SELECT DISTINCT job_key, i, words FROM chunks WHERE words IS NOT NULL) GROUP BY job_key")
 def speech_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seconds a word as measured once 40 words are known, else the usual pace."""
-    c = table(spark, sf_dir, "chunks").where("words is not null").select("job_key", "i", "words").distinct().groupBy("job_key").agg(F.sum("words").alias("words"))
-    return c.select("job_key", F.when(F.col("words") >= 40, F.round(F.col("words") * 0.38 / F.col("words"), 4)).otherwise(F.lit(0.38)).alias("seconds_per_word"), "words")
+    """Seconds a word as the stand-in engine's samples measure them once 40 words are known, else the usual pace at the job's speed."""
+    from quillmill.operators import hooks
+
+    chunks = table(spark, sf_dir, "chunks")
+    speeds = table(spark, sf_dir, "jobs").groupBy("job_key").agg(F.max("speed").alias("speed"))
+    jobs = chunks.select("job_key").distinct().join(speeds, "job_key", "left").withColumn("speed", F.coalesce("speed", F.lit(1.0)))
+    rendered = chunks.select("job_key", "i", "received_at", F.array_join("pieces", " ").alias("text"), "words").where("trim(text) <> ''")
+    last = rendered.groupBy("job_key", "i").agg(F.max(F.struct("received_at", "text", "words")).alias("c")).join(jobs, "job_key")
+    known = hooks.durations(last.select("job_key", "c.text", "c.words", "speed")).groupBy("job_key").agg(F.sum("seconds").alias("seconds"), F.sum("words").alias("words"))
+    words = F.coalesce("words", F.lit(0).cast("bigint"))
+    rate = F.when(words >= 40, F.round(F.col("seconds") / words, 4)).otherwise(F.round(0.38 / F.greatest(F.lit(0.5), "speed"), 4))
+    return jobs.join(known, "job_key", "left").select("job_key", rate.alias("seconds_per_word"), words.alias("words"))
 
 
 @register("orphan_chunks", "SELECT DISTINCT job_key, i FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.job_key = c.job_key AND j.total IS NOT NULL)")

@@ -50,6 +50,18 @@ def synthesise(chunks: DataFrame, engine: str = "stand-in") -> DataFrame:
     return chunks.mapInPandas(run, chunks.withColumn("samples", F.lit(None).cast("array<float>")).schema)
 
 
+def durations(chunks: DataFrame, engine: str = "stand-in", rate: int = 100) -> DataFrame:
+    """chunks (text, speed, ...) with ``seconds`` counted from the engine's samples in place of the text."""
+    speak = ENGINES[engine]
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            samples = speak(pdf["text"].tolist(), pdf["speed"].astype(float).tolist())
+            yield pdf.drop(columns="text").assign(seconds=[len(x) / rate for x in samples])
+
+    return chunks.mapInPandas(run, chunks.drop("text").withColumn("seconds", F.lit(0.0)).schema)
+
+
 def stale(measured: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """Keys whose recorded size in bytes differs from the file's, or that have no file."""
     return measured.join(files.select(key, F.col("bytes").alias("__now")), key, "left").where(~F.col("bytes").eqNullSafe(F.col("__now"))).select(key)

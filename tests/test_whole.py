@@ -47,3 +47,12 @@ def test_sample_text_keeps_20000_characters(spark, tmp_path):
     middle = len(long) // 2 - 3333
     assert got["short"] == long[:3001] and got["full"] == long[:20_000]
     assert got["long"] == "\n".join([long[:6666], long[middle : middle + 6666], long[-6666:]])
+
+
+def test_speech_rate_is_measured(spark, tmp_path):
+    at = "timestamp'2024-07-19 00:00:00'"
+    chunks = [("fast", 0, ["word " * 50], 50), ("fast", 0, ["word " * 50], 50), ("fast", 1, ["word " * 50], 25), ("fast", 2, None, 90), ("few", 0, ["One two."], 2), ("none", 0, None, None)]
+    spark.createDataFrame(chunks, "job_key string, i int, pieces array<string>, words int").selectExpr("*", f"{at} as received_at").write.parquet(str(tmp_path / "chunks.parquet"))
+    spark.createDataFrame([("fast", 2.0), ("few", 1.25), ("none", 0.25)], "job_key string, speed double").write.parquet(str(tmp_path / "jobs.parquet"))
+    got = {r.job_key: (r.seconds_per_word, r.words) for r in QUERIES["speech_rate"](spark, str(tmp_path)).collect()}
+    assert got == {"fast": (round(100 * 0.19 / 75, 4), 75), "few": (0.304, 2), "none": (0.76, 0)}
