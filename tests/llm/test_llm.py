@@ -149,6 +149,11 @@ def test_channel_finds_the_printed_word():
     assert [ch.decode([w])[0] for w in ("thc", "riot", "wiriter", "0ld", "gardcn", "cliririer", "5ilver", "harbour", "Zorimund", "II", "1909")] == ["the", "not", "winter", "old", "garden", "dinner", "silver", None, None, None, None]
 
 
+def test_words_read_wrongly_in_four_places_have_candidates():
+    found = scans.Channel(["correspondence"]).candidates("c0rresp0ndcncc")
+    assert [(w, at) for w, _, at in found] == [("correspondence", 1)]
+
+
 def test_neighbours_choose_between_candidates():
     ch = scans.Channel(["lamp", "iamp", "we", "a"], {"lamp": 5, "iamp": 5, "we": 9, "a": 9}, {("we", "iamp"): 5, ("a", "lamp"): 5})
     assert {c for c, _, _ in ch.candidates("1amp")} == {"lamp", "iamp"}
