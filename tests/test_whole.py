@@ -6,7 +6,6 @@ import pytest
 from oracle import SF, bag, sql
 
 import quillmill.catalog  # noqa: F401
-from quillmill.llm.scans import Channel
 from quillmill.queries import QUERIES, SQL
 
 
@@ -57,8 +56,3 @@ def test_speech_rate_is_measured(spark, tmp_path):
     spark.createDataFrame([("fast", 2.0), ("few", 1.25), ("none", 0.25)], "job_key string, speed double").write.parquet(str(tmp_path / "jobs.parquet"))
     got = {r.job_key: (r.seconds_per_word, r.words) for r in QUERIES["speech_rate"](spark, str(tmp_path)).collect()}
     assert got == {"fast": (round(100 * 0.19 / 75, 4), 75), "few": (0.304, 2), "none": (0.76, 0)}
-
-
-def test_words_read_wrongly_in_four_places_have_candidates():
-    found = Channel(["correspondence"]).candidates("c0rresp0ndcncc")
-    assert [(w, at) for w, _, at in found] == [("correspondence", 1)]
