@@ -5,9 +5,13 @@ boundary near its midpoint (sentence end, clause end, word end), both halves are
 at last each piece gets the overlap of the piece before it in front. The cores of the pieces tile
 the text, so joining them without the overlaps gives the text back.
 
+Nothing stands before the first piece, so it may fill the limit, and it is never shorter than the
+overlap; so every later piece repeats the whole stated overlap.
+
 Defined results: null text or limit and texts within the limit are one piece as they are (null text:
-a null piece); a limit below 1 counts as 1; an overlap of half the limit or more is reduced to just
-under half; a text without any boundary is cut in the middle, but not before a combining mark.
+a null piece); a limit below 1 counts as 1; an overlap of the limit or more counts as one less than
+the limit, as each piece must get on by a character; a text without any boundary is cut in the
+middle, but not before a combining mark.
 """
 
 from __future__ import annotations
@@ -53,27 +57,33 @@ def boundary_strength(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def overlap_within(limit: int, overlap: int) -> int:
+    """The stated overlap, or what leaves a piece of ``limit`` one character of its own."""
+    return max(0, min(overlap, limit - 1))
+
+
 def bisect(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
-    """The cuts, first 0 and last the length, so that every core is at most ``limit - overlap`` long."""
+    """The cuts, first 0 and last the length: the first core is at most ``limit`` long, the others ``limit - overlap``."""
     n = len(strength)
     limit = max(1, limit)
     if n <= limit:
         return [0, n]
-    core = limit - min(overlap, (limit - 1) // 2)
+    least = max(1, overlap_within(limit, overlap))
+    core = limit - overlap_within(limit, overlap)
     done, stack = [0], [(0, n)]
     while stack:
         a, b = stack.pop()
-        if b - a <= core:
+        if b - a <= (core if a else limit):
             done.append(b)
             continue
-        mid, reach = (a + b) // 2, max(1, (b - a) // 4)
-        for lo, hi in ((max(a + 1, mid - reach), min(b, mid + reach + 1)), (a + 1, b)):
+        mid, reach, start = (a + b) // 2, max(1, (b - a) // 4), max(a + 1, least)
+        for lo, hi in ((max(start, mid - reach), min(b, mid + reach + 1)), (start, b)):
             window = strength[lo:hi]
             best = window.max(initial=-1)
             if best > 0:
                 break
         if best < 0:
-            lo, hi, window = a + 1, b, strength[a + 1 : b]
+            lo, hi, window = start, b, strength[start:b]
         at = lo + np.flatnonzero(window == max(best, window.max()))
         cut = int(at[np.abs(at - mid).argmin()])
         stack += [(cut, b), (a, cut)]
@@ -83,11 +93,11 @@ def bisect(strength: np.ndarray, limit: int, overlap: int) -> list[int]:
 PIECE = "array<struct<part:int,start:int,overlap:int,piece:string>>"
 
 
-def cut_oversized(df: DataFrame, text: str, limit: Column | str, overlap: Column | str | int) -> DataFrame:
+def cut_oversized(df: DataFrame, text: str, limit: Column | str, overlap: Column | str | int, whole: bool = True) -> DataFrame:
     """Every row of ``df`` with its pieces: ``n_parts``, ``part``, ``start``, ``overlap_len``, ``piece``.
 
-    ``start`` is where the piece's core begins. Rows within the limit stay in the JVM; only the
-    oversized ones are sent to Python, each partition on its own, with no shuffle.
+    ``start`` is where the piece's core begins. Rows within the limit stay in the JVM, or are left out
+    unless ``whole``; only the oversized ones are sent to Python, each partition on its own, with no shuffle.
     """
     lim, over = (F.col(limit) if isinstance(limit, str) else limit), (F.col(overlap) if isinstance(overlap, str) else F.lit(overlap))
     taken = {"n_parts", "part", "start", "overlap_len", "piece"} & set(df.columns)
@@ -105,14 +115,15 @@ def cut_oversized(df: DataFrame, text: str, limit: Column | str, overlap: Column
             rows = []
             for k, t in enumerate(batch.column(text).to_pylist()):
                 cuts = bisect(strength[offsets[k] : offsets[k + 1]], int(limits[k]), int(overs[k]))
-                o = min(int(overs[k]), (int(limits[k]) - 1) // 2)
+                o = overlap_within(int(limits[k]), int(overs[k]))
                 rows.append([{"part": j, "start": a, "overlap": min(o, a), "piece": t[a - min(o, a) : b]} for j, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))])
             made = pa.array(rows, pa.list_(pa.struct([("part", pa.int32()), ("start", pa.int32()), ("overlap", pa.int32()), ("piece", pa.string())])))
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, "__p"])
 
     large = df.where(long)
     large = large.mapInArrow(run, large.withColumn("__p", F.lit(None).cast(PIECE)).schema)
-    return small.unionByName(large).withColumn("n_parts", F.size("__p")).withColumn("__e", F.explode("__p")).withColumns({"part": F.col("__e.part"), "start": F.col("__e.start"), "overlap_len": F.col("__e.overlap"), "piece": F.col("__e.piece")}).drop("__p", "__e", "__limit", "__overlap")
+    both = small.unionByName(large) if whole else large
+    return both.withColumn("n_parts", F.size("__p")).withColumn("__e", F.explode("__p")).withColumns({"part": F.col("__e.part"), "start": F.col("__e.start"), "overlap_len": F.col("__e.overlap"), "piece": F.col("__e.piece")}).drop("__p", "__e", "__limit", "__overlap")
 
 
 def size_limit(spark: SparkSession, sf_dir: str, name: str) -> tuple[int | None, int]:
@@ -139,5 +150,4 @@ def items_with_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oversized_items(items: DataFrame) -> DataFrame:
     """The pieces of the items that had to be cut, each item once however often its rows are repeated."""
-    cut = cut_oversized(items.where(F.length("text") > F.col("max_len")), "text", "max_len", "overlap")
-    return cut.where("n_parts > 1").drop("text").distinct()
+    return cut_oversized(items, "text", "max_len", "overlap", whole=False).drop("text").distinct()

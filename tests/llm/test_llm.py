@@ -69,8 +69,17 @@ def test_cuts_tile_the_text(limit, overlap):
         cuts = chunking.bisect(chunking.boundary_strength(codes, offsets), limit, overlap)
         assert cuts[0] == 0 and cuts[-1] == len(t) and cuts == sorted(cuts)
         if len(t) > limit:
-            o = min(overlap, (limit - 1) // 2)
+            o = min(overlap, limit - 1)
             assert all(b - a + min(o, a) <= limit and b > a for a, b in zip(cuts, cuts[1:]))
+            assert all(a >= o for a in cuts[1:])  # every later piece repeats the whole overlap
+
+
+def test_overlap_of_half_the_limit_is_kept(spark):
+    t = "Some words, that go on. And on and on " * 20
+    rows = chunking.cut_oversized(spark.createDataFrame([(t, 80)], "t string, m int"), "t", "m", 40).orderBy("part").collect()
+    assert [r.overlap_len for r in rows] == [0] + [40] * (len(rows) - 1) and all(len(r.piece) <= 80 for r in rows)
+    assert all(b.piece[:40] == a.piece[-40:] for a, b in zip(rows, rows[1:]))
+    assert "".join(r.piece[r.overlap_len :] for r in rows) == t
 
 
 def test_cut_prefers_sentence_ends(spark):
