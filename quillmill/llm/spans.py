@@ -3,17 +3,22 @@
 1. Each text gets fingerprints by winnowing (hashes of ``k`` characters, the least of every ``w`` in a
    row, with k + w - 1 = the least span), so every span of the least length that two texts share holds
    a fingerprint that both have. Records with the same text are one class from here on.
-2. Fingerprints of two classes or more name the places where a shared span can lie. Every class is
-   indexed once, in the shard of its most frequent shared fingerprint, and sent as a query to the
-   shards that index a class with which it shares a fingerprint.
-3. Per shard an FM-index is built over the texts around those places, and the queries are streamed
-   through it: backward search over the wavelet matrix gives matching statistics, that is for an end
-   the farthest start from which the text also stands in another record. That start never goes down as
-   the end goes up, so ends are tested by bisection, and each test settles a whole range of ends.
+2. Fingerprints of two classes or more name the places where a shared span can lie. Only the stretches
+   of text around them are sent on. Every class is indexed once, in the shard of its most frequent
+   shared fingerprint, and its stretches are queries to the shards that index a class with which it
+   shares a fingerprint.
+3. Per shard an FM-index is built over the stretches, and the queries are streamed through it:
+   backward search over the wavelet matrix gives matching statistics, that is for an end the farthest
+   start from which the text also stands in another record. That start never goes down as the end goes
+   up, so ends are tested by bisection, and each test settles a whole range of ends.
 4. The intervals of a class are merged over its shards.
 
-A fingerprint that very many classes share makes a group larger than a shard; it is split into
-blocks, each indexed once, and its classes are sent to every block. No cap is set anywhere.
+A fingerprint that fills more than a shard is hot. Its classes don't meet one another: the windows of
+the least length around it are counted by their hash (partial counts before the shuffle), and each
+class asks, for every window that more than one class has, one other class that has it: the least of
+them, or the greatest if it is the least itself. The classes asked are indexed, in shards by their own
+key, and the FM-index decides as before. As the least of nested sets changes seldom, a class visits few
+shards, and the work grows with the group, not with its square. No cap is set anywhere.
 
 Defined results: null and short texts share nothing; repeated rows of a record count once; several
 different texts under one id are compared like texts of different records; extra columns are ignored.
@@ -39,6 +44,8 @@ SHARD_CHARS = 2_000_000
 RANGE = 2048
 #: Characters that visit one copy of an index, as a multiple of the above.
 VISITS_PER_INDEX = 6
+#: Characters of visitors searched at a time.
+ASK_CHARS = 1_000_000
 
 
 def winnow(codes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,41 +93,105 @@ def fingerprints(docs: DataFrame, least: int) -> DataFrame:
     return long.mapInArrow(run, schema)
 
 
-def _routes(classes: DataFrame, least: int) -> DataFrame:
-    """(rep, shard, copy, pos, home, asks): for each class with a shared fingerprint the shards it goes to.
+STRETCHES = "array<struct<start:int,text:string>>"
 
-    home: it is part of that shard's index; asks: its spans are searched there.
-    """
+
+def _stretches(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(rep, cold, hot): the stretches of text around the places (doc_id, rep, pos, hot_pos) of each class."""
+    schema = f"rep string, cold {STRETCHES}, hot {STRETCHES}"
+    wanted = _arrow_schema(docs.sparkSession, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(it, "text"):
+            columns = [batch.column(c).to_pylist() for c in ("text", "pos", "hot_pos")]
+            made = [[[{"start": a, "text": t[a:b]} for a, b, _ in _regions(p, len(t), least)] for p in (cold, hot)] for t, cold, hot in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array([m[i] for m in made], wanted.field(i + 1).type) for i in (0, 1))], schema=wanted)
+
+    texts = docs.where(F.length("text") >= least).join(places, "doc_id").where(F.md5("text") == F.col("rep"))
+    # a record's repeated rows give the same stretches again
+    return texts.select("rep", "text", "pos", "hot_pos").mapInArrow(run, schema).groupBy("rep").agg(F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+
+
+def _cold_visits(shared: DataFrame, least: int) -> DataFrame:
+    """(rep, shard, pos, home): the shards that a class goes to with the places it shares there; home: all its places are indexed there."""
     k = max(1, least // 3)
-    at = classes.select("rep", F.explode("fps").alias("f")).select("rep", F.col("f.pos").alias("pos"), F.col("f.fp").alias("fp"))
-    frequent = at.groupBy("fp").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("fp", "n")
-    shared = cut(at.join(frequent, "fp"))
     homes = shared.groupBy("rep").agg(F.max(F.struct("n", "fp")).getField("fp").alias("home"), F.sort_array(F.collect_list("pos")).alias("pos"))
     # about the characters around the places that go into an index
     homes = homes.withColumn("chars", F.aggregate("pos", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-(2**30)).alias("end")), lambda a, p: F.struct((a["sum"] + p + least - F.greatest(a["end"], p + k - least)).cast("long").alias("sum"), (p + least).alias("end")), lambda a: a["sum"]))
-    homes = cut(homes)
+    homes = cut(homes.select("rep", "home", "chars"))
     total = homes.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHARS))
+    # classes of one fingerprint that are too long for a shard together; hot ones, of very many classes, are not here
     large = homes.groupBy("home").agg(F.sum("chars").alias("chars")).where(F.col("chars") > SHARD_CHARS).select("home", F.ceil(F.col("chars") / SHARD_CHARS).cast("int").alias("blocks"))
-    placed = homes.join(large, "home", "left").withColumn(
-        "shard",
-        F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks")))),
+    placed = homes.join(large, "home", "left").select(
+        "rep", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks")))).alias("own")
+    )
+    own = shared.join(placed, "rep")
+    targets = own.select("fp", F.col("own").alias("shard")).distinct()
+    visits = own.select("rep", "fp", "pos", "own").join(targets, "fp")
+    return visits.groupBy("rep", "shard", (F.col("own") == F.col("shard")).alias("home")).agg(F.sort_array(F.collect_set("pos")).alias("pos"))
+
+
+def _hot_visits(stretches: DataFrame, places: DataFrame, least: int) -> DataFrame:
+    """(rep, other, ends): for each class the other classes it asks, and the ends of the windows it asks them for."""
+    rows = stretches.where(F.size("hot") > 0).select("rep", "hot").join(places.select("rep", "hot_pos"), "rep")
+    schema = "rep string, h1 bigint, h2 bigint, end int"
+    wanted = _arrow_schema(stretches.sparkSession, schema)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for rep, hot, pos in zip(*(batch.column(c).to_pylist() for c in ("rep", "hot", "hot_pos"))):
+                for r, (a, _, ends) in zip(hot, _regions(pos, hot[-1]["start"] + len(hot[-1]["text"]), least)):
+                    codes = np.frombuffer(r["text"].encode("utf-32-le"), np.uint32)
+                    end = np.concatenate([np.arange(lo, hi + 1) for lo, hi in ends])
+                    h1, h2 = windows(codes, least)[end - least - a], windows(mix(codes.astype(np.uint64) + np.uint64(7)), least)[end - least - a]
+                    yield pa.RecordBatch.from_arrays([pa.array([rep] * len(end)), pa.array(mix(h1).view(np.int64)), pa.array(mix(h2).view(np.int64)), pa.array(end.astype(np.int32))], schema=wanted)
+
+    held = cut(rows.mapInArrow(run, schema))
+    several = held.groupBy("h1", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
+    asked = held.join(several, ["h1", "h2"]).select("rep", F.when(F.col("rep") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("other"), "end")
+    return asked.groupBy("rep", "other").agg(F.sort_array(F.collect_set("end")).alias("ends"))
+
+
+def _queries(stretches: DataFrame, places: DataFrame, shared: DataFrame, least: int, any_hot: bool) -> DataFrame:
+    """(rep, shard, home, stretches, ends array<struct<lo, hi>>): what goes to which shard; the ends are asked for."""
+    k = max(1, least // 3)
+    ends = F.transform("pos", lambda p: F.struct((F.greatest(p + k, F.lit(least))).alias("lo"), (p + least).alias("hi")))
+    near = lambda r, p: (r["start"] <= p) & (p + k <= r["start"] + F.length(r["text"]))
+    out = (
+        _cold_visits(shared.where("not hot"), least)
+        .withColumn("ends", ends)
+        .join(stretches.select("rep", "cold"), "rep")
+        .select("rep", "shard", "home", F.when(F.col("home"), F.col("cold")).otherwise(F.filter("cold", lambda r: F.exists("pos", lambda p: near(r, p)))).alias("stretches"), "ends")
     )
-    placed = placed.select("rep", "pos", "chars", "shard")
-    in_shard = shared.select("rep", "fp").distinct().join(placed.select("rep", "shard"), "rep")
-    targets = in_shard.select("fp", "shard").distinct()
-    visits = shared.select("rep", "fp").join(targets, "fp").select("rep", "shard").distinct()
-    visits = visits.join(placed.select("rep", "pos", "chars", F.col("shard").alias("own")), "rep").select("rep", "shard", "pos", "chars", (F.col("own") == F.col("shard")).alias("home"))
-    visits = cut(visits)
-    # a shard that very many visit is indexed in several tasks, among which its visitors are spread
-    load = visits.groupBy("shard").agg(F.ceil(F.sum("chars") / (VISITS_PER_INDEX * SHARD_CHARS)).cast("int").alias("copies"))
-    visits = visits.join(load.where("copies > 1"), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    if not any_hot:
+        return out
+    asked = cut(_hot_visits(stretches, places, least))
+    sized = stretches.where(F.size("hot") > 0).select("rep", F.aggregate("hot", F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"])).alias("chars"))
+    homes = asked.select(F.col("other").alias("rep")).distinct()
+    total = homes.join(sized, "rep").agg(F.sum("chars")).first()[0] or 0
+    shard = lambda c: F.xxhash64(F.lit("hot"), F.pmod(F.xxhash64(c), F.lit(max(1, -(-total // SHARD_CHARS)))))
+    no = F.array().cast("array<int>")
+    both = asked.select("rep", shard("other").alias("shard"), F.lit(False).alias("home"), "ends").unionByName(homes.select("rep", shard("rep").alias("shard"), F.lit(True).alias("home"), no.alias("ends")))
+    both = both.groupBy("rep", "shard").agg(F.max("home").alias("home"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ends")))).alias("e"))
+    hot = both.join(stretches.select("rep", "hot"), "rep")
+    runs = F.transform("e", lambda e: F.struct(e.alias("lo"), e.alias("hi")))
+    inside = lambda r: F.exists("e", lambda e: (r["start"] + least <= e) & (e <= r["start"] + F.length(r["text"])))
+    hot = hot.select("rep", "shard", "home", F.when(F.col("home"), F.col("hot")).otherwise(F.filter("hot", inside)).alias("stretches"), runs.alias("ends"))
+    return out.unionByName(hot)
+
+
+def _in_copies(queries: DataFrame) -> DataFrame:
+    """queries with ``copy`` and ``asks``: a shard that very many visit is indexed in several tasks, among which its visitors are spread."""
+    chars = F.aggregate("stretches", F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"]))
+    load = queries.groupBy("shard").agg(F.ceil(F.sum(chars) / (VISITS_PER_INDEX * SHARD_CHARS)).cast("int").alias("copies"))
+    spread = queries.join(load.where("copies > 1"), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")
     tasks = F.when(F.col("home"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(mine))
-    return visits.select("rep", "shard", "pos", "home", mine.alias("mine"), F.explode(tasks).alias("copy")).select("rep", "shard", "copy", "pos", "home", (F.col("copy") == F.col("mine")).alias("asks"))
+    return spread.withColumn("mine", mine).withColumn("copy", F.explode(tasks)).withColumn("asks", (F.col("copy") == F.col("mine")) & (F.size("ends") > 0)).drop("mine", "copies")
 
 
-def _regions(pos: np.ndarray, n: int, least: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def _regions(pos: list[int], n: int, least: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """Merged stretches of text around the places: (start, end, ranges of window ends to settle)."""
     k = max(1, least // 3)
     ends: list[list[int]] = []
@@ -139,29 +210,50 @@ def _regions(pos: np.ndarray, n: int, least: int) -> list[tuple[int, int, list[t
     return out
 
 
+def _joined(ends: list[tuple[int, int]], limit: int) -> list[tuple[int, int]]:
+    """Ranges of ends as few as may be, none beyond ``limit``."""
+    out: list[list[int]] = []
+    for a, b in sorted(ends):
+        b = min(b, limit)
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(out[-1][1], b)
+        elif a <= b:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+Stretch = tuple[int, np.ndarray]
+
+
 class Shard:
-    """The index over the places of a shard's own texts, and the search for visitors' spans in it."""
+    """The index over the stretches of a shard's own texts, and the search for visitors' spans in it."""
 
-    def __init__(self, texts: list[np.ndarray], places: list, least: int) -> None:
+    def __init__(self, homes: list[list[Stretch]], least: int) -> None:
         self.least = least
         codes, owner = [], []
-        for r, (t, p) in enumerate(zip(texts, places)):
-            for a, b, _ in _regions(np.asarray(p), len(t), least):
-                codes += [t[a:b] + np.uint32(1), np.zeros(1, np.uint32)]
-                owner.append(np.full(b - a + 1, r, np.int32))
+        for r, stretches in enumerate(homes):
+            for _, t in stretches:
+                codes += [t + np.uint32(1), np.zeros(1, np.uint32)]
+                owner.append(np.full(len(t) + 1, r, np.int32))
         self.fm = FMIndex(np.concatenate(codes), np.concatenate(owner)) if codes else None
 
-    def ask(self, texts: list[np.ndarray], places: list, own: list[int]) -> list[list[tuple[int, int]]]:
-        """For each text the spans of the least length that stand in an indexed text other than its own (-1: none is)."""
-        found: list[list[tuple[int, int]]] = [[] for _ in texts]
-        base = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+    def ask(self, visitors: list[tuple[list[Stretch], list[tuple[int, int]], int]]) -> list[list[tuple[int, int]]]:
+        """For each (stretches, ranges of ends, own) the spans of the least length that stand in an indexed text other than its own (-1: none is)."""
+        found: list[list[tuple[int, int]]] = [[] for _ in visitors]
+        flat = [(v, start, t) for v, (stretches, _, _) in enumerate(visitors) for start, t in stretches]
+        base = np.concatenate([[0], np.cumsum([len(t) for _, _, t in flat])]).astype(np.int64)
         if self.fm is None or not base[-1]:
             return found
-        me, least, fm = np.asarray(own, np.int64), self.least, self.fm
-        query = fm.symbols(np.concatenate(texts) + np.uint32(1))
-        ranges = [(r, base[r] + a, base[r] + min(a + RANGE - 1, hi), 0) for r, (t, p) in enumerate(zip(texts, places)) for _, _, es in _regions(np.asarray(p), len(t), least) for lo, hi in es for a in range(lo, hi + 1, RANGE)]
+        least, fm = self.least, self.fm
+        me = np.array([visitors[v][2] for v, _, _ in flat], np.int64)
+        query = fm.symbols(np.concatenate([t for _, _, t in flat]) + np.uint32(1))
+        ranges = []
+        for r, (v, start, t) in enumerate(flat):
+            shift = int(base[r]) - start
+            for lo, hi in _joined([(max(a, start + least), b) for a, b in visitors[v][1]], start + len(t)):
+                ranges += [(r, a + shift, min(a + RANGE - 1, hi) + shift, 0) for a in range(lo, hi + 1, RANGE)]
         todo = np.array(ranges, np.int64).reshape(-1, 4)
-        # tests under way: text, range of ends, end under test, place reached, kind of test, range in the index
+        # tests under way: stretch, range of ends, end under test, place reached, kind of test, range in the index
         live = np.empty((8, 0), np.int64)
         over: list[np.ndarray] = []
         waiting = 0
@@ -186,7 +278,8 @@ class Shard:
                 over, waiting = [], 0
                 good = end - start >= least
                 for a, s, e in zip(r[good].tolist(), start[good].tolist(), end[good].tolist()):
-                    found[a].append((s - int(base[a]), e - int(base[a])))
+                    v, first, _ = flat[a]
+                    found[v].append((s - int(base[a]) + first, e - int(base[a]) + first))
                 # a good end settles all ends from start + least on; a bad one those up to start - 1 + least
                 left = np.stack([r, lo, np.where(good, start + least - 1, end - 1), np.where(good | (kind == 0), 1, 2)], 1)
                 right = np.stack([r, np.where(good, end + 1, start + least), hi, np.where(good | (kind == 1), 2, 1)], 1)
@@ -196,10 +289,12 @@ class Shard:
 
 def match_shard(texts: list[np.ndarray], places: list, home: list[bool], least: int) -> list[list[tuple[int, int]]]:
     """The spans of all visitors of one shard, those at home among them."""
+    regions = [_regions(p, len(t), least) for t, p in zip(texts, places)]
+    stretches = [[(a, t[a:b]) for a, b, _ in rs] for t, rs in zip(texts, regions)]
     at = [r for r, h in enumerate(home) if h]
     number = {r: n for n, r in enumerate(at)}
-    shard = Shard([texts[r] for r in at], [places[r] for r in at], least)
-    return shard.ask(texts, places, [number.get(r, -1) for r in range(len(texts))])
+    asked = [(stretches[r], [e for _, _, es in regions[r] for e in es], number.get(r, -1)) for r in range(len(texts))]
+    return Shard([stretches[r] for r in at], least).ask(asked)
 
 
 def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -221,17 +316,20 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
     kind = dict(docs.dtypes)["doc_id"]
     marked = cut(fingerprints(docs, least))
     members = marked.select("digest", "doc_id", "n_chars").distinct()
-    classes = marked.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps"))
-    visits = _routes(classes.select(F.col("digest").alias("rep"), "fps"), least)
-    # one copy of each text that visits a shard
-    one = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    routes = visits.groupBy("rep").agg(F.collect_list(F.struct("shard", "copy", "home", "asks")).alias("visits"), F.first("pos").alias("pos"))
-    routes = routes.join(one, F.col("rep") == F.col("digest")).select("doc_id", "rep", "visits", "pos")
-    sent = docs.where(F.length("text") >= least).join(routes, "doc_id").where(F.md5("text") == F.col("rep")).dropDuplicates(["rep"])
-    sent = sent.select("rep", "text", "pos", F.explode("visits").alias("v")).select("v.shard", "v.copy", "v.home", "v.asks", "rep", "pos", "text")
+    classes = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"))
+    k = max(1, least // 3)
+    at = classes.select(F.col("digest").alias("rep"), "doc_id", F.explode("fps").alias("f")).select("rep", "doc_id", "f.pos", "f.fp")
+    frequent = at.groupBy("fp").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("fp", "n")
+    shared = cut(at.join(frequent, "fp").withColumn("hot", F.col("n") * (2 * least - k) > SHARD_CHARS))
+    some = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("pos"))))
+    places = shared.groupBy("rep", "doc_id").agg(some(~F.col("hot")).alias("pos"), some(F.col("hot")).alias("hot_pos"))
+    stretches = cut(_stretches(docs, places, least))
+    any_hot = shared.where("hot").limit(1).count() > 0
+    queries = _queries(stretches, places, shared.drop("doc_id"), least, any_hot)
+    queries = _in_copies(cut(queries))
     schema = "rep string, spans array<struct<start:int,end:int>>"
     wanted = _arrow_schema(documents.sparkSession, schema)
-    columns = ("shard", "copy", "home", "asks", "rep", "text", "pos")
+    columns = ("shard", "copy", "home", "asks", "rep", "stretches", "ends")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, shard, homes, asking, size = None, None, [], [], 0
@@ -239,35 +337,35 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
         def answer() -> Iterator[pa.RecordBatch]:
             nonlocal shard, asking, size
             if shard is None:
-                shard = Shard([t for _, t, _, _ in homes], [p for _, _, p, _ in homes], least)
+                shard = Shard(homes, least)
                 homes.clear()
-            found = shard.ask([t for _, t, _, _ in asking], [p for _, _, p, _ in asking], [o for _, _, _, o in asking])
+            found = shard.ask([x[1:] for x in asking])
             kept = [(x[0], [{"start": a, "end": b} for a, b in f]) for x, f in zip(asking, found) if f]
             asking, size = [], 0
             if kept:
                 yield pa.RecordBatch.from_pydict({"rep": [k for k, _ in kept], "spans": [f for _, f in kept]}, schema=wanted)
 
         for batch in it:
-            for s, c, home, asks, rep, text, pos in zip(*(batch.column(x).to_pylist() for x in columns)):
+            for s, c, home, asks, rep, held, ends in zip(*(batch.column(x).to_pylist() for x in columns)):
                 if (s, c) != key:
                     if asking:
                         yield from answer()
                     key, shard, n = (s, c), None, 0
                     homes.clear()
-                row = (rep, np.frombuffer(text.encode("utf-32-le"), np.uint32), pos, n if home else -1)
+                mine = [(r["start"], np.frombuffer(r["text"].encode("utf-32-le"), np.uint32)) for r in held]
                 if home:
-                    homes.append(row)
+                    homes.append(mine)
                     n += 1
                 if asks:
-                    asking.append(row)
-                    size += len(row[1])
-                if not home and size > VISITS_PER_INDEX * SHARD_CHARS:
+                    asking.append((rep, mine, [(e["lo"], e["hi"]) for e in ends], n - 1 if home else -1))
+                    size += sum(len(t) for _, t in mine)
+                if not home and size > ASK_CHARS:
                     yield from answer()
         if asking:
             yield from answer()
 
     # those at home come first, so that the index stands before visitors stream through it
-    matched = sent.repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("home").desc()).mapInArrow(run, schema)
+    matched = queries.select(*columns).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("home").desc()).mapInArrow(run, schema)
     per_class = matched.select("rep", F.explode("spans").alias("s")).groupBy("rep").agg(F.sort_array(F.collect_set("s")).alias("all"))
     start = F.struct(F.array().cast("array<struct<start:int,end:int>>").alias("done"), F.lit(-1).alias("a"), F.lit(-1).alias("b"))
     merged = F.aggregate(

@@ -337,9 +337,9 @@ def test_spans_of_a_shard(least):
         assert spans.match_shard(t, places, [bool(p) for p in places], least) == brute_spans(docs, least)
 
 
-@pytest.mark.parametrize("shard", [10**6, 60])
+@pytest.mark.parametrize("shard", [10**6, 600, 200, 60])
 def test_shared_spans(spark, monkeypatch, shard):
-    monkeypatch.setattr(spans, "SHARD_CHARS", shard)  # the small one splits hot groups into blocks and copies
+    monkeypatch.setattr(spans, "SHARD_CHARS", shard)  # the small ones make hot fingerprints, blocks and copies
     monkeypatch.setattr(spans, "VISITS_PER_INDEX", 2)
     common = "".join(RND.choice("abcdefgh") for _ in range(40))
     docs = [f"{RND.random()}{common[RND.randint(0, 9):RND.randint(28, 40)]}{RND.random()}" for _ in range(25)] + ["q" * 50, "r" * 19]
@@ -352,6 +352,24 @@ def test_shared_spans(spark, monkeypatch, shard):
     assert spans.shared_spans(df.limit(0), 20).count() == 0
 
 
+def test_a_hot_fingerprint_stays_linear(spark, monkeypatch):
+    monkeypatch.setattr(spans, "SHARD_CHARS", 2000)
+    footer = "".join(RND.choice("abcdefgh") for _ in range(60))
+    sent = {}
+    split = spans._in_copies
+    monkeypatch.setattr(spans, "_in_copies", lambda q: split(sent.setdefault("q", q)))
+    chars = []
+    for n in (250, 1000):
+        docs = [f"{RND.random()}{RND.random()}{footer}{RND.random()}" for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in spans.shared_spans(df, 40).collect()}
+        assert len(got) == n and all(any(a <= d.index(footer) and b >= d.index(footer) + 60 for a, b in got[i]) for i, d in enumerate(docs))
+        if n == 250:
+            assert got == {i: s for i, s in enumerate(brute_spans(docs, 40)) if s}
+        chars.append(sum(len(r.text) for q in sent.pop("q").collect() for r in q.stretches))
+    assert chars[1] < 6 * chars[0]  # four times the records; all pairs of blocks would be sixteen times
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_queries_run(spark, name):
     import os
