@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.codepoints import batches, to_codepoints
@@ -97,28 +97,32 @@ STRETCHES = "array<struct<start:int,text:string>>"
 
 
 def _stretches(docs: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """(rep, cold, hot): the stretches of text around the places (doc_id, rep, pos, hot_pos) of each class."""
-    schema = f"rep string, cold {STRETCHES}, hot {STRETCHES}"
+    """(rep, places, cold, hot): each class by its digest, its places, and the stretches of text around those that are not hot and those that are."""
+    schema = f"rep binary, places array<struct<pos:int,fp:bigint,n:bigint,hot:boolean>>, cold {STRETCHES}, hot {STRETCHES}"
     wanted = _arrow_schema(docs.sparkSession, schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it, "text"):
-            columns = [batch.column(c).to_pylist() for c in ("text", "pos", "hot_pos")]
-            made = [[[{"start": a, "text": t[a:b]} for a, b, _ in _regions(p, len(t), least)] for p in (cold, hot)] for t, cold, hot in zip(*columns)]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), *(pa.array([m[i] for m in made], wanted.field(i + 1).type) for i in (0, 1))], schema=wanted)
+            made: tuple[list, list] = ([], [])
+            for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
+                for hot in (False, True):
+                    made[hot].append([{"start": a, "text": t[a:b]} for a, b, _ in _regions([p["pos"] for p in places if p["hot"] == hot], len(t), least)])
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("places").cast(wanted.field(1).type), *(pa.array(m, wanted.field(i).type) for i, m in enumerate(made, 2))], schema=wanted)
 
-    texts = docs.where(F.length("text") >= least).join(places, "doc_id").where(F.md5("text") == F.col("rep"))
-    # a record's repeated rows give the same stretches again
-    return texts.select("rep", "text", "pos", "hot_pos").mapInArrow(run, schema).groupBy("rep").agg(F.first("cold").alias("cold"), F.first("hot").alias("hot"))
+    texts = docs.where(F.length("text") >= least).join(places, "doc_id").withColumn("digest", F.md5("text")).where(F.xxhash64("digest") == F.col("h"))
+    # a text's copies and a record's repeated rows give the same stretches again
+    made = texts.select(F.unhex("digest").alias("rep"), "text", "places").mapInArrow(run, schema)
+    return made.groupBy("rep").agg(*(F.first(c).alias(c) for c in ("places", "cold", "hot")))
 
 
-def _cold_visits(shared: DataFrame, least: int) -> DataFrame:
+def _chars(stretches: str) -> Column:
+    return F.aggregate(stretches, F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"]))
+
+
+def _cold_visits(stretches: DataFrame) -> DataFrame:
     """(rep, shard, pos, home): the shards that a class goes to with the places it shares there; home: all its places are indexed there."""
-    k = max(1, least // 3)
-    homes = shared.groupBy("rep").agg(F.max(F.struct("n", "fp")).getField("fp").alias("home"), F.sort_array(F.collect_list("pos")).alias("pos"))
-    # about the characters around the places that go into an index
-    homes = homes.withColumn("chars", F.aggregate("pos", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-(2**30)).alias("end")), lambda a, p: F.struct((a["sum"] + p + least - F.greatest(a["end"], p + k - least)).cast("long").alias("sum"), (p + least).alias("end")), lambda a: a["sum"]))
-    homes = cut(homes.select("rep", "home", "chars"))
+    cold = F.filter("places", lambda p: ~p["hot"])
+    homes = stretches.where(F.size("cold") > 0).select("rep", F.array_max(F.transform(cold, lambda p: F.struct(p["n"].alias("n"), p["fp"].alias("fp"))))["fp"].alias("home"), _chars("cold").alias("chars"))
     total = homes.agg(F.sum("chars")).first()[0] or 0
     shards = max(1, -(-total // SHARD_CHARS))
     # classes of one fingerprint that are too long for a shard together; hot ones, of very many classes, are not here
@@ -126,16 +130,17 @@ def _cold_visits(shared: DataFrame, least: int) -> DataFrame:
     placed = homes.join(large, "home", "left").select(
         "rep", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("home"), F.lit(shards))).otherwise(F.xxhash64("home", F.pmod(F.xxhash64("rep"), F.col("blocks")))).alias("own")
     )
-    own = shared.join(placed, "rep")
+    shared = stretches.select("rep", F.explode(cold).alias("p")).select("rep", "p.fp", "p.pos")
+    own = cut(shared.join(placed, "rep"))
     targets = own.select("fp", F.col("own").alias("shard")).distinct()
     visits = own.select("rep", "fp", "pos", "own").join(targets, "fp")
     return visits.groupBy("rep", "shard", (F.col("own") == F.col("shard")).alias("home")).agg(F.sort_array(F.collect_set("pos")).alias("pos"))
 
 
-def _hot_visits(stretches: DataFrame, places: DataFrame, least: int) -> DataFrame:
+def _hot_visits(stretches: DataFrame, least: int) -> DataFrame:
     """(rep, other, ends): for each class the other classes it asks, and the ends of the windows it asks them for."""
-    rows = stretches.where(F.size("hot") > 0).select("rep", "hot").join(places.select("rep", "hot_pos"), "rep")
-    schema = "rep string, h1 bigint, h2 bigint, end int"
+    rows = stretches.where(F.size("hot") > 0).select("rep", "hot", F.transform(F.filter("places", lambda p: p["hot"]), lambda p: p["pos"]).alias("hot_pos"))
+    schema = "rep binary, h1 bigint, h2 bigint, end int"
     wanted = _arrow_schema(stretches.sparkSession, schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +150,7 @@ def _hot_visits(stretches: DataFrame, places: DataFrame, least: int) -> DataFram
                     codes = np.frombuffer(r["text"].encode("utf-32-le"), np.uint32)
                     end = np.concatenate([np.arange(lo, hi + 1) for lo, hi in ends])
                     h1, h2 = windows(codes, least)[end - least - a], windows(mix(codes.astype(np.uint64) + np.uint64(7)), least)[end - least - a]
-                    yield pa.RecordBatch.from_arrays([pa.array([rep] * len(end)), pa.array(mix(h1).view(np.int64)), pa.array(mix(h2).view(np.int64)), pa.array(end.astype(np.int32))], schema=wanted)
+                    yield pa.RecordBatch.from_arrays([pa.array([rep] * len(end), pa.binary()), pa.array(mix(h1).view(np.int64)), pa.array(mix(h2).view(np.int64)), pa.array(end.astype(np.int32))], schema=wanted)
 
     held = cut(rows.mapInArrow(run, schema))
     several = held.groupBy("h1", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi")
@@ -153,21 +158,21 @@ def _hot_visits(stretches: DataFrame, places: DataFrame, least: int) -> DataFram
     return asked.groupBy("rep", "other").agg(F.sort_array(F.collect_set("end")).alias("ends"))
 
 
-def _queries(stretches: DataFrame, places: DataFrame, shared: DataFrame, least: int, any_hot: bool) -> DataFrame:
+def _queries(stretches: DataFrame, least: int) -> DataFrame:
     """(rep, shard, home, stretches, ends array<struct<lo, hi>>): what goes to which shard; the ends are asked for."""
     k = max(1, least // 3)
     ends = F.transform("pos", lambda p: F.struct((F.greatest(p + k, F.lit(least))).alias("lo"), (p + least).alias("hi")))
     near = lambda r, p: (r["start"] <= p) & (p + k <= r["start"] + F.length(r["text"]))
     out = (
-        _cold_visits(shared.where("not hot"), least)
+        _cold_visits(stretches)
         .withColumn("ends", ends)
         .join(stretches.select("rep", "cold"), "rep")
         .select("rep", "shard", "home", F.when(F.col("home"), F.col("cold")).otherwise(F.filter("cold", lambda r: F.exists("pos", lambda p: near(r, p)))).alias("stretches"), "ends")
     )
-    if not any_hot:
+    if not stretches.where(F.size("hot") > 0).limit(1).count():
         return out
-    asked = cut(_hot_visits(stretches, places, least))
-    sized = stretches.where(F.size("hot") > 0).select("rep", F.aggregate("hot", F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"])).alias("chars"))
+    asked = cut(_hot_visits(stretches, least))
+    sized = stretches.where(F.size("hot") > 0).select("rep", _chars("hot").alias("chars"))
     homes = asked.select(F.col("other").alias("rep")).distinct()
     total = homes.join(sized, "rep").agg(F.sum("chars")).first()[0] or 0
     shard = lambda c: F.xxhash64(F.lit("hot"), F.pmod(F.xxhash64(c), F.lit(max(1, -(-total // SHARD_CHARS)))))
@@ -183,8 +188,7 @@ def _queries(stretches: DataFrame, places: DataFrame, shared: DataFrame, least:
 
 def _in_copies(queries: DataFrame) -> DataFrame:
     """queries with ``copy`` and ``asks``: a shard that very many visit is indexed in several tasks, among which its visitors are spread."""
-    chars = F.aggregate("stretches", F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"]))
-    load = queries.groupBy("shard").agg(F.ceil(F.sum(chars) / (VISITS_PER_INDEX * SHARD_CHARS)).cast("int").alias("copies"))
+    load = queries.groupBy("shard").agg(F.ceil(F.sum(_chars("stretches")) / (VISITS_PER_INDEX * SHARD_CHARS)).cast("int").alias("copies"))
     spread = queries.join(load.where("copies > 1"), "shard", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
     mine = F.pmod(F.xxhash64("rep"), F.col("copies")).cast("int")
     tasks = F.when(F.col("home"), F.sequence(F.lit(0), F.col("copies") - 1)).otherwise(F.array(mine))
@@ -316,18 +320,16 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
     kind = dict(docs.dtypes)["doc_id"]
     marked = cut(fingerprints(docs, least))
     members = marked.select("digest", "doc_id", "n_chars").distinct()
-    classes = marked.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("fps").alias("fps"))
     k = max(1, least // 3)
-    at = classes.select(F.col("digest").alias("rep"), "doc_id", F.explode("fps").alias("f")).select("rep", "doc_id", "f.pos", "f.fp")
-    frequent = at.groupBy("fp").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("fp", "n")
-    shared = cut(at.join(frequent, "fp").withColumn("hot", F.col("n") * (2 * least - k) > SHARD_CHARS))
-    some = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("pos"))))
-    places = shared.groupBy("rep", "doc_id").agg(some(~F.col("hot")).alias("pos"), some(F.col("hot")).alias("hot_pos"))
+    # copies of a text count here by a short key of their digest; they become one class with their text
+    at = marked.select("doc_id", F.xxhash64("digest").alias("h"), F.explode("fps").alias("f")).select("f.fp", "h", "doc_id", "f.pos")
+    frequent = at.groupBy("fp").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo <> hi").select("fp", "n")
+    found = at.join(frequent, "fp").withColumn("hot", F.col("n") * (2 * least - k) > SHARD_CHARS)
+    places = cut(found.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("pos", "fp", "n", "hot"))).alias("places")))
     stretches = cut(_stretches(docs, places, least))
-    any_hot = shared.where("hot").limit(1).count() > 0
-    queries = _queries(stretches, places, shared.drop("doc_id"), least, any_hot)
+    queries = _queries(stretches, least)
     queries = _in_copies(cut(queries))
-    schema = "rep string, spans array<struct<start:int,end:int>>"
+    schema = "rep binary, spans array<struct<start:int,end:int>>"
     wanted = _arrow_schema(documents.sparkSession, schema)
     columns = ("shard", "copy", "home", "asks", "rep", "stretches", "ends")
 
@@ -376,7 +378,7 @@ def shared_spans(documents: DataFrame, least: int = 400, doc_id: str = "doc_id",
         ),
         lambda x: F.concat(x["done"], F.array(F.struct(x["a"].alias("start"), x["b"].alias("end")))),
     )
-    per_class = per_class.select(F.col("rep").alias("digest"), merged.alias("spans"))
+    per_class = per_class.select(F.lower(F.hex("rep")).alias("digest"), merged.alias("spans"))
     copies = members.groupBy("digest").agg(F.count("*").alias("copies"))
     out = members.join(copies, "digest").join(per_class, "digest", "left")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_chars").alias("end")))

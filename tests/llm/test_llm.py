@@ -337,7 +337,7 @@ def test_spans_of_a_shard(least):
         assert spans.match_shard(t, places, [bool(p) for p in places], least) == brute_spans(docs, least)
 
 
-@pytest.mark.parametrize("shard", [10**6, 600, 200, 60])
+@pytest.mark.parametrize("shard", [10**6, 200, 60])
 def test_shared_spans(spark, monkeypatch, shard):
     monkeypatch.setattr(spans, "SHARD_CHARS", shard)  # the small ones make hot fingerprints, blocks and copies
     monkeypatch.setattr(spans, "VISITS_PER_INDEX", 2)
