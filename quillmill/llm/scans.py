@@ -1,15 +1,18 @@
 """Problem 4: repairing text from scanned pages.
 
-Per book: is it a scan (short wrapped lines of prose); which lines are page furniture (page numbers that
-count up, and short lines that come again near them, however badly read); which line ends cut a word
-(a hyphen, soft hyphen or not sign that is not part of the word); which words were misread. Words are
-corrected by a noisy channel: for each word that the lexicon does not know, the lexicon words from
-which a few character confusions lead to it are the candidates; a Viterbi search over the words of
-the line takes the confusion probabilities times the likelihood of neighbouring words, counted over
-the whole corpus. Names and numbers have no candidate and stay.
-
-The lexicon and the counts of its word pairs are broadcast: the lexicon is a fixed vocabulary and is
-refused above ``MAX_LEXICON`` words; pairs are kept only where a word has a rival.
+Per book: is it a scan (wrapped lines of prose that go on in one another); which lines are page furniture
+(page numbers that count up, and lines that come again near them, however badly read); which line ends cut
+a word (a hyphen, soft hyphen or not sign that is not part of the word); which words were misread. Words are
+corrected by a noisy channel: for each word that the lexicon does not know, the lexicon words from which
+character confusions lead to it are the candidates; a Viterbi search over the words of the line takes the
+probabilities of the confusions times the likelihood of neighbouring words. Both are counted over the whole
+corpus: the neighbours directly, the confusions by expectation maximisation over the unknown words of all
+scans, each weighed by the likelihood of its candidates. Names and numbers have no candidate and stay.
+
+One pass over the books counts words and pairs and writes the scans down; the rest reads those alone. The
+lexicon is broadcast; it is a fixed vocabulary and is refused above ``MAX_LEXICON`` words. Counts of pairs are
+kept in a count-min sketch of ``SKETCH`` cells in two rows, so what is broadcast has one size at most, however
+large the corpus.
 
 Defined results: null and empty texts have no fault; books that are not scans come back as they are;
 repeated rows (same id and text) count once; extra columns are ignored.
@@ -21,7 +24,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,15 +34,19 @@ from pyspark.sql import functions as F
 from quillmill.llm.codepoints import batches, to_codepoints
 from quillmill.llm.leaks import _alnum, _arrow_schema, mix, powers
 from quillmill.llm.normalise import TOP
-from quillmill.session import table
+from quillmill.session import cut, table
 
 MAX_LEXICON = 200_000
+#: Cells in each of the two rows of the sketch of word pairs.
+SKETCH = 1 << 19
 MARKS = "-‐¬\xad"
 
 # What a scanner reads, and what was printed; small letters and digits, then capitals.
 READ_SMALL = [("c", "e"), ("f", "t"), ("b", "h"), ("0", "o"), ("5", "s"), ("l", "i"), ("1", "l"), ("1", "i"), ("ri", "n"), ("cl", "d"), ("ii", "u"), ("rn", "m"), ("6", "b"), ("vv", "w"), ("9", "g"), ("m", "in"), ("m", "rn"), ("h", "li"), ("e", "c"), ("h", "b"), ("d", "cl"), ("i", "l")]
 READ_CAPITAL = [("F", "E"), ("N", "H"), ("5", "S"), ("0", "O"), ("6", "G"), ("8", "B"), ("1", "I"), ("l", "I"), ("O", "D"), ("M", "RN"), ("VV", "W"), ("f", "t")]
-EDIT_COST = -math.log(0.01)
+RULES = [*dict.fromkeys(READ_SMALL + [(a, b.lower()) for a, b in READ_CAPITAL])]
+#: What a confusion counts as before any is seen, and how many printed places that belief is worth.
+PRIOR, BELIEF, ROUNDS = 0.005, 200.0, 3
 
 WORD = re.compile(r"[^\W_]+(?:-[^\W_]+)*")
 DIGITS = str.maketrans("lI|!OoSsBZzGg", "1111005582266")
@@ -55,64 +62,84 @@ MERGE = [("RN", "M"), ("RI", "N"), ("CL", "D"), ("II", "U"), ("VV", "W")]
 SHAPE = str.maketrans("0915628FCHBTDQLJ", "OOISGZBEENNEOOII")
 
 
+def _cells(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The two cells of the sketch for each pair of word numbers."""
+    with np.errstate(over="ignore"):
+        h = mix((a.astype(np.uint64) << np.uint64(32)) + b.astype(np.uint64) + np.uint64(1))
+    return np.stack([h % np.uint64(SKETCH), (h >> np.uint64(32)) % np.uint64(SKETCH) + np.uint64(SKETCH)]).astype(np.int64)
+
+
 class Channel:
-    """Candidates for words and the Viterbi search over them."""
-
-    def __init__(self, lexicon: list[str], unigrams: dict[str, int] | None = None, pairs: dict[tuple[str, str], int] | None = None) -> None:
-        self.words = set(lexicon)
-        self.prefixes = {w[:k] for w in self.words for k in range(len(w) + 1)}
-        self.unigrams, self.pairs = unigrams or {}, pairs or {}
-        self.total = sum(self.unigrams.values()) + len(self.words) + 1
-        self.memo: dict[str, list[tuple[str, float, int]]] = {}
-        self.rules: dict[str, list[tuple[str, str]]] = defaultdict(list)
-        for a, b in READ_SMALL + [(a, b.lower()) for a, b in READ_CAPITAL]:
-            if (a, b) not in self.rules[a[0]]:
-                self.rules[a[0]].append((a, b))
+    """Candidates for words and the Viterbi search over them.
+
+    unigrams: how often each lexicon word stands in the corpus, in the lexicon's order; sketch: the
+    counts of pairs; costs: minus the log of each rule's probability, in the order of ``RULES``.
+    """
+
+    def __init__(self, lexicon: list[str], unigrams: np.ndarray | None = None, sketch: np.ndarray | None = None, costs: list[float] | None = None) -> None:
+        self.number = {w: n for n, w in enumerate(lexicon)}
+        self.prefixes = {w[:k] for w in lexicon for k in range(len(w) + 1)}
+        self.unigrams = np.zeros(len(lexicon), np.int64) if unigrams is None else unigrams
+        self.sketch = sketch
+        self.total = int(self.unigrams.sum()) + len(lexicon) + 1
+        self.memo: dict[str, list[tuple[str, float, int, tuple[int, ...]]]] = {}
+        self.pair_memo: dict[tuple[str, str], float] = {}
+        self.rules: dict[str, list[tuple[str, str, int, float]]] = defaultdict(list)
+        for n, (a, b) in enumerate(RULES):
+            self.rules[a[0]].append((a, b, n, costs[n] if costs else -math.log(PRIOR)))
 
     def knows(self, word: str) -> bool:
         w = word.lower()
-        return w in self.words or ("-" in w and all(p in self.words for p in w.split("-")))
+        return w in self.number or ("-" in w and all(p in self.number for p in w.split("-")))
 
-    def candidates(self, word: str) -> list[tuple[str, float, int]]:
-        """(lexicon word, cost of the confusions, place of the first one) for a word the lexicon lacks."""
+    def candidates(self, word: str) -> list[tuple[str, float, int, tuple[int, ...]]]:
+        """(lexicon word, cost of the confusions, place of the first one, the rules) for a word the lexicon lacks."""
         if (found := self.memo.get(word)) is not None:
             return found
-        out: dict[str, tuple[float, int]] = {}
-        stack = [("", 0, 0, -1)]
+        out: dict[str, tuple[float, int, tuple[int, ...]]] = {}
+        stack: list[tuple[str, int, float, int, tuple[int, ...]]] = [("", 0, 0.0, -1, ())]
         while stack:
-            made, at, edits, first = stack.pop()
+            made, at, cost, first, used = stack.pop()
             if at == len(word):
-                if edits and made in self.words and (made not in out or out[made][0] > edits):
-                    out[made] = (edits, first)
+                if used and made in self.number and (made not in out or out[made][0] > cost):
+                    out[made] = (cost, first, used)
                 continue
             same = made + word[at].lower()
             if same in self.prefixes:
-                stack.append((same, at + 1, edits, first))
-            for a, b in self.rules.get(word[at], ()):
+                stack.append((same, at + 1, cost, first, used))
+            for a, b, n, c in self.rules.get(word[at], ()):
                 if word.startswith(a, at) and made + b in self.prefixes:
-                    stack.append((made + b, at + len(a), edits + 1, at if first < 0 else first))
-        least = min((e for e, _ in out.values()), default=0)
-        found = sorted((w, e * EDIT_COST, f) for w, (e, f) in out.items() if e <= least + 1)
+                    stack.append((made + b, at + len(a), cost + c, at if first < 0 else first, (*used, n)))
+        found = sorted((w, *x) for w, x in out.items())
         if len(self.memo) > 500_000:
             self.memo.clear()
         self.memo[word] = found
         return found
 
+    def suspect(self, word: str) -> bool:
+        """Whether the word may be a misreading."""
+        return len(word) > 1 and not word.isdigit() and not self.knows(word) and not ROMAN.match(word) and bool(self.candidates(word))
+
+    def count(self, word: str) -> int:
+        n = self.number.get(word, -1)
+        return int(self.unigrams[n]) if n >= 0 else 0
+
     def likelihood(self, prev: str | None, word: str) -> float:
         """Log of the probability of ``word`` after ``prev``, backed off to its own frequency."""
-        own = (self.unigrams.get(word, 0) + 1) / self.total
+        own = (self.count(word) + 1) / self.total
         if prev is None:
             return math.log(own)
-        return math.log((self.pairs.get((prev, word), 0) + 5 * own) / (self.unigrams.get(prev, 0) + 5))
+        if (known := self.pair_memo.get((prev, word))) is None:
+            a, b = self.number.get(prev, -1), self.number.get(word, -1)
+            both = 0 if self.sketch is None or a < 0 or b < 0 else int(self.sketch[_cells(np.array([a]), np.array([b]))].min())
+            known = self.pair_memo[prev, word] = math.log((both + 5 * own) / (self.count(prev) + 5))
+            if len(self.pair_memo) > 500_000:
+                self.pair_memo.clear()
+        return known
 
     def decode(self, words: list[str]) -> list[str | None]:
         """For each word its correction, or None where it stays."""
-        options: list[list[tuple[str | None, str, float]]] = []
-        for w in words:
-            if len(w) < 2 or w.isdigit() or self.knows(w) or ROMAN.match(w):
-                options.append([(None, w.lower(), 0.0)])
-            else:
-                options.append([(c, c, cost) for c, cost, _ in self.candidates(w)] or [(None, w.lower(), 0.0)])
+        options: list[list[tuple[str | None, str, float]]] = [[(c[0], c[0], c[1]) for c in self.candidates(w)] if self.suspect(w) else [(None, w.lower(), 0.0)] for w in words]
         if all(o[0][0] is None for o in options):
             return [None] * len(words)
         scores, back = [(-cost + self.likelihood(None, w)) for _, w, cost in options[0]], []
@@ -136,17 +163,31 @@ def like(word: str, correct: str) -> str:
     return correct[:1].upper() + correct[1:] if letters and word[:1] == letters[0] and letters[0].isupper() else correct
 
 
-def is_scan(lines: list[str]) -> bool:
-    """Wrapped prose: no long line, most lines of several words, few of them ending a sentence."""
-    full = [x for x in lines if x.strip()]
-    if len(full) < 6 or max(map(len, full)) > 110:
+ENDS = ".!?…\"»“”"
+
+
+def wrapped(lines: list[str]) -> bool:
+    """Lines of about one width, of several words, few of them ending a sentence, many going on in the next."""
+    full = [x for x in map(str.strip, lines) if x]
+    if len(full) < 2:
         return False
-    width = sorted(map(len, full))[len(full) * 9 // 10]
-    if sum(len(x) >= 0.7 * width for x in full) < 0.4 * len(full):
+    sizes = sorted(map(len, full))
+    width = sizes[len(sizes) * 3 // 4]
+    if sum(0.7 * width <= n <= 1.3 * width for n in sizes) < 0.4 * len(full) or sum(x[-1] in ENDS for x in full) >= 0.55 * len(full):
+        return False
+    several = [len(x.split()) >= 4 for x in full]
+    if sum(m and sum(map(str.isalpha, x)) >= 0.6 * len(x) for x, m in zip(full, several)) < 0.5 * len(full):
+        return False
+    pairs = [(a, b) for a, b, m, n in zip(full, full[1:], several, several[1:]) if m and n]
+    return sum(a[-1] not in ENDS and b[0].islower() for a, b in pairs) >= 0.2 * len(pairs) > 0
+
+
+def is_scan(lines: list[str], knows: Callable[[str], bool]) -> bool:
+    """Wrapped lines of which most words are known."""
+    if not wrapped(lines):
         return False
-    prose = sum(len(x.split()) >= 4 and sum(map(str.isalpha, x)) >= 0.6 * len(x.strip()) for x in full)
-    ends = sum(x.rstrip()[-1] in ".!?…”\"»“" for x in full)
-    return prose >= 0.5 * len(full) and ends < 0.55 * len(full)
+    words = [w for x in lines for w in WORD.findall(x)]
+    return sum(map(knows, words)) * 2 >= len(words) > 0
 
 
 def shape(line: str) -> str:
@@ -185,13 +226,14 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
     decked: set[int] = set()  # numbers that look like nothing but page numbers
     for i, raw in enumerate(lines):
         s = raw.strip()
-        if not s or len(s) > 90:
+        if not s:
             continue
-        if len(s) <= 14 and (v := small_roman(s)):
+        bare = len(s.replace(" ", "")) <= 14  # longer lines are no number alone
+        if bare and (v := small_roman(s)):
             numbers.append((i, v, True))
             decked.add(i)
             continue
-        if m := NUMBER.match(s):
+        if bare and (m := NUMBER.match(s)):
             if any(c.isdigit() for c in m[2]) or m[1] or s != m[2]:
                 v = m[2].translate(DIGITS)
                 if v.isdigit():
@@ -199,7 +241,7 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
                     if m[1] or not s[0].isalnum():
                         decked.add(i)
                     continue
-        if (m := BESIDE.match(s)) and (any(c.isdigit() for c in (m[1] or m[4]))):
+        if ("  " in s or "\t" in s) and (m := BESIDE.match(s)) and (any(c.isdigit() for c in (m[1] or m[4]))):
             v = (m[1] or m[4]).translate(DIGITS)
             if v.isdigit():
                 numbers.append((i, int(v), False))
@@ -219,10 +261,10 @@ def furniture(lines: list[str], title: str | None = None) -> set[int]:
     keys: dict[int, str] = {}
     for i in full:
         s = STRAY.sub("", lines[i].strip())
-        if i in out or not s or len(s) > 90 or s[-1] in ".!?,;…”»" + MARKS:
+        if i in out or not s or s[-1] in ".!?,;…”»" + MARKS:
             continue
-        letters = [c for c in s if c.isalpha()]
-        if len(letters) >= 4 and (letters[0].isupper() or not letters[0].isalpha()) and len(s.split()) <= 14 + 30 * (len(letters) * 2 < len(s) + 2):
+        first = next((c for c in s if c.isalpha()), "")
+        if first.isupper() and sum(map(str.isalpha, s)) >= 4:
             keys[i] = shape(s)
     counts = Counter(keys.values())
     known = [k for k, n in counts.most_common() if n >= 2]
@@ -247,19 +289,19 @@ def title_of(filename: str | None) -> str | None:
     return re.split(r" - | by ", name)[0].strip()
 
 
-def examine(text: str, channel: Channel, title: str | None = None, mend: bool = False) -> tuple[list[tuple[int, str]], str | None]:
-    """The faults of a scanned book as (line, fault), and its mended text if asked for."""
-    if not unicodedata.is_normalized("NFC", text):
-        text = unicodedata.normalize("NFC", text)
+def examine(text: str, channel: Channel, title: str | None = None, mend: bool = False, suspects: set[int] | None = None) -> tuple[list[tuple[int, str]], str | None]:
+    """The faults of a scanned book as (line, fault), and its mended text if asked for.
+
+    suspects: the lines with a word that may be misread, where the caller knows them.
+    """
     lines = text.split("\n")
-    if not is_scan(lines):
-        return [], text if mend else None
     odd = furniture(lines, title)
     faults: set[tuple[int, str]] = {(i, "furniture") for i in odd}
     running = [i for i, x in enumerate(lines) if x.strip() and i not in odd]
-    words_of = {i: [(m.group(), m.start()) for m in WORD.finditer(lines[i])] for i in running}
-    joined: dict[int, tuple[str, str, int]] = {}  # line: whole word, correction or '', next line
+    joined: dict[int, tuple[str, bool, int]] = {}  # line: whole word, whether it may be misread, next line
     for i, j in zip(running, running[1:]):
+        if lines[i].rstrip()[-1] not in MARKS:
+            continue
         m = CUT.search(lines[i])
         if not m or not (n := FIRST.match(lines[j])):
             continue
@@ -267,16 +309,19 @@ def examine(text: str, channel: Channel, title: str | None = None, mend: bool =
         if b.isdigit() or not any(c.isalpha() for c in a):
             continue
         whole, hyphened = a + b, f"{a}-{b}"
-        if mark == "-" and not channel.knows(whole) and (hyphened.lower() in channel.words or (hyphened.lower() not in channel.words and not channel.candidates(whole) and channel.candidates(hyphened))):
-            joined[i] = (hyphened, "", j)
-            if hyphened.lower() not in channel.words:
-                joined[i] = (hyphened, "?", j)
+        known = hyphened.lower() in channel.number
+        if mark == "-" and not channel.knows(whole) and (known or (not channel.candidates(whole) and channel.candidates(hyphened))):
+            joined[i] = (hyphened, not known, j)
         else:
             faults.add((i, "broken"))
-            joined[i] = (whole, "?", j)
+            joined[i] = (whole, True, j)
     heads = {j: i for i, (_, _, j) in joined.items()}
     fixed: dict[int, list[str]] = {}
+    words_of: dict[int, list[tuple[str, int]]] = {}
     for i in running:
+        if suspects is not None and i not in suspects and i not in joined and i not in heads:
+            continue
+        words_of[i] = [(m.group(), m.start()) for m in WORD.finditer(lines[i])]
         tokens = [w for w, _ in words_of[i]]
         if not tokens:
             continue
@@ -290,9 +335,8 @@ def examine(text: str, channel: Channel, title: str | None = None, mend: bool =
                 continue
             if i in joined and k == len(answer) - 1:
                 whole, _, j = joined[i]
-                first = next((f for w, _, f in channel.candidates(whole) if w == c), 0)
-                cut_at = len(words_of[i][-1][0])
-                faults.add((i if first < cut_at else j, "misread"))
+                first = next((x[2] for x in channel.candidates(whole) if x[0] == c), 0)
+                faults.add((i if first < len(words_of[i][-1][0]) else j, "misread"))
             else:
                 faults.add((i, "misread"))
     return sorted(faults), _mended(lines, running, words_of, joined, heads, fixed) if mend else None
@@ -303,7 +347,7 @@ def _mended(lines: list[str], running: list[int], words_of: dict, joined: dict,
     paragraphs: list[str] = []
     before = -1
     for i in running:
-        line, tokens = lines[i], words_of[i]
+        line, tokens = lines[i], words_of.get(i, [])
         made, at = [], 0
         skip = 1 if i in heads else 0
         for n, (w, start) in enumerate(tokens):
@@ -337,53 +381,115 @@ def known_words(lexicon: DataFrame) -> list[str]:
     return [unicodedata.normalize("NFC", r.w) for r in rows]
 
 
-def rivals(words: list[str]) -> set[str]:
-    """Words that share a reading with another word, for which alone the neighbours matter."""
-    shapes = defaultdict(set)
-    flat = str.maketrans("cefthbo0s5il1b6g9", "eettbboossiiibbgg")
-    for w in words:
-        s = w.replace("rn", "m").replace("in", "m").replace("ri", "n").replace("cl", "d").replace("ii", "u").replace("vv", "w").translate(flat)
-        shapes[s].add(w)
-    return {w for g in shapes.values() if len(g) > 1 for w in g}
+KINDS = ["word", "cell", "printed", "unknown", "book"]
+
 
+def corpus(books: DataFrame, words: list[str], whole: bool = False) -> DataFrame:
+    """What one pass over the books gives, written once: rows of the kinds
 
-def pair_counts(books: DataFrame, words: list[str]) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
-    """How often each lexicon word stands in the corpus, and before or behind each word with a rival."""
+    word, cell: counts ``n`` of a lexicon word and of a cell of the sketch, by ``id``; printed: counts of
+    words of scans; unknown: counts of other words of scans; book: the scans (id 1), or all books if ``whole``.
+    """
     spark = books.sparkSession
-    with_rival = rivals(words)
-    shared = spark.sparkContext.broadcast((words, with_rival))
-    schema = "a int, b int, n bigint"
+    shared = spark.sparkContext.broadcast(words)
+    schema = f"kind int, id int, word string, n bigint, book_id {dict(books.dtypes)['book_id']}, filename string, digest string, text string"
     wanted = _arrow_schema(spark, schema)
 
+    def counts(kind: int, ids: np.ndarray) -> pa.RecordBatch:
+        one, n = np.unique(ids, return_counts=True)
+        cols = {"kind": np.full(len(one), kind, np.int32), "id": one.astype(np.int32), "n": n.astype(np.int64)}
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name]) if f.name in cols else pa.nulls(len(one), f.type) for f in wanted], schema=wanted)
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, with_rival = shared.value
-        hashes, order = _hash_words(pa.array(words))[0], None
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        marked = np.array([w in with_rival for w in words])
+        held = Held(shared.value)
         for batch in batches(it, "text"):
-            h, row = _hash_words(batch.column("text"))
-            at = np.minimum(np.searchsorted(ordered, h), len(ordered) - 1)
-            ids = np.where(ordered[at] == h, order[at], -1) if len(ordered) else np.full(len(h), -1)
-            one, n1 = np.unique(ids[ids >= 0], return_counts=True)
-            a, b = ids[:-1], ids[1:]
-            ok = (a >= 0) & (b >= 0) & (row[1:] == row[:-1])
-            ok[ok] = marked[a[ok]] | marked[b[ok]]
-            two, n2 = np.unique(a[ok].astype(np.int64) << 32 | b[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([one, two >> 32]).astype(np.int32)), pa.array(np.concatenate([np.full(len(one), -1), two & 0xFFFFFFFF]).astype(np.int32)), pa.array(np.concatenate([n1, n2]).astype(np.int64))],
-                schema=wanted,
-            )
-
-    rows = books.select("text").where("text is not null").mapInArrow(run, schema).groupBy("a", "b").agg(F.sum("n").alias("n")).collect()
-    return {words[r.a]: r.n for r in rows if r.b < 0}, {(words[r.a], words[r.b]): r.n for r in rows if r.b >= 0}
-
-
-def _hash_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of letters, digits and hyphens within words, small letters, and their rows."""
+            texts = [t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in batch.column("text").to_pylist()]
+            arr = pa.array(texts, pa.string())
+            h, row, start, size = _hash_words(arr)
+            ids = held.ids(h)
+            yield counts(0, ids[ids >= 0])
+            ok = (ids[:-1] >= 0) & (ids[1:] >= 0) & (row[1:] == row[:-1])
+            yield counts(1, _cells(ids[:-1][ok], ids[1:][ok]).ravel())
+            scan = np.array([wrapped(t.split("\n")) for t in texts], bool)
+            n = np.bincount(row, minlength=len(texts))
+            scan &= (np.bincount(row, weights=ids >= 0, minlength=len(texts)) * 2 >= n) & (n > 0)
+            inside = scan[row] if len(row) else np.empty(0, bool)
+            yield counts(2, ids[inside & (ids >= 0)])
+            begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            other: Counter = Counter()
+            at = np.flatnonzero(inside & (ids < 0))
+            for r, s, z in zip(row[at].tolist(), (start[at] - begin[row[at]]).tolist(), size[at].tolist()):
+                other[texts[r][s : s + z]] += 1
+            yield pa.RecordBatch.from_pylist([{"kind": 3, "word": w, "n": c} for w, c in other.items()], schema=wanted)
+            take = np.flatnonzero(scan) if not whole else np.arange(len(texts))
+            rows = [{"kind": 4, "id": int(scan[r]), "text": texts[r] if scan[r] else batch.column("text")[r].as_py(), **{c: batch.column(c)[r].as_py() for c in ("book_id", "filename", "digest")}} for r in take.tolist()]
+            yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+
+    return cut(books.select("book_id", F.col("filename").cast("string").alias("filename"), F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(run, schema))
+
+
+class Held:
+    """The lexicon's words by their hashes."""
+
+    def __init__(self, words: list[str]) -> None:
+        hashes = _hash_words(pa.array(words, pa.string()))[0] if words else np.empty(0, np.uint64)
+        if len(hashes) != len(words):  # an entry of several words, or of none, is no word of a text
+            hashes = np.array([h[0] if len(h := _hash_words(pa.array([w]))[0]) == 1 else 0 for w in words], np.uint64)
+        self.order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[self.order]
+
+    def ids(self, h: np.ndarray) -> np.ndarray:
+        """The number of each word in the lexicon, -1 for those it lacks."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.order[at], -1)
+
+
+def fit_channel(rows: DataFrame, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, list[float]]:
+    """The arguments of the channel: counts of words and pairs, and confusions fitted to the unknown words of all scans.
+
+    Each round weighs the candidates of every distinct unknown word by the channel so far, and takes the
+    expected uses of each rule over the places where its letters were printed. What reaches the driver is one
+    row per word of the lexicon, per cell of the sketch and per rule.
+    """
+    spark = rows.sparkSession
+    totals = rows.where("kind < 3").groupBy("kind", "id").agg(F.sum("n").alias("n")).collect()
+    one, two, printed = np.zeros(len(words), np.int64), np.zeros(2 * SKETCH, np.int64), np.zeros(len(words), np.int64)
+    for r in totals:
+        (one, two, printed)[r.kind][r.id] = r.n
+    places = np.array([sum(int(printed[n]) * w.count(b) for n, w in enumerate(words) if b in w) for _, b in RULES], float)
+    unknown = cut(rows.where("kind = 3").groupBy("word").agg(F.sum("n").alias("n")))
+    costs = [-math.log(PRIOR)] * len(RULES)
+    for _ in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((words, one, costs))
+
+        def weigh(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            words, one, costs = shared.value
+            channel = Channel(words, one, None, costs)
+            uses = np.zeros(len(RULES))
+            for batch in it:
+                for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                    if not channel.suspect(w):
+                        continue
+                    found = channel.candidates(w)
+                    weight = np.array([channel.count(c[0]) + 1 for c in found]) * np.exp(-np.array([c[1] for c in found]))
+                    for c, x in zip(found, weight / weight.sum()):
+                        for rule in c[3]:
+                            uses[rule] += n * x
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(RULES), dtype=np.int32)), pa.array(uses)], names=["rule", "uses"])
+
+        uses = {r.rule: r.uses for r in unknown.mapInArrow(weigh, "rule int, uses double").groupBy("rule").agg(F.sum("uses").alias("uses")).collect()}
+        costs = [-math.log(min(0.5, (uses.get(k, 0.0) + BELIEF * PRIOR) / (places[k] + BELIEF))) for k in range(len(RULES))]
+    return words, one, two, costs
+
+
+def _hash_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the runs of letters, digits and hyphens within words: hashes of the small letters, rows, starts and lengths."""
     codes, offsets = to_codepoints(arr)
+    none = np.empty(0, np.int64)
     if not len(codes):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
     low = _lower()[np.minimum(codes, TOP)]
     word = _alnum()[np.minimum(low, TOP)]
     dash = np.flatnonzero((low[1:-1] == 45) & word[:-2] & word[2:]) + 1
@@ -394,13 +500,13 @@ def _hash_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]) | word & edge[:-1])
     at = np.flatnonzero(word)
     if not len(at):
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), none, none, none
     first = np.searchsorted(at, start)
     counts = np.diff(np.append(first, len(at)))
     pos = np.arange(len(at)) - np.repeat(first, counts)
     with np.errstate(over="ignore"):
         terms = mix(low[at].astype(np.uint64) + np.uint64(1)) * powers(int(pos.max()) + 1)[pos]
-        return mix(np.add.reduceat(terms, first) + counts.astype(np.uint64)), np.searchsorted(offsets, start, "right")
+        return mix(np.add.reduceat(terms, first) + counts.astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1, start, counts
 
 
 def _lower() -> np.ndarray:
@@ -417,23 +523,30 @@ _LOWER: np.ndarray | None = None
 
 
 def examined(books: DataFrame, lexicon: DataFrame, mend: bool = False) -> DataFrame:
-    """(book_id, faults array<struct<line_idx, fault>>, mended) of every book; ``mended`` is null unless asked for."""
+    """(book_id, digest, faults array<struct<line_idx, fault>>, mended) of every scan, with ``mend`` of every book; ``mended`` is null unless asked for."""
     spark = books.sparkSession
     words = known_words(lexicon)
-    one, two = pair_counts(books, words)
-    shared = spark.sparkContext.broadcast((words, one, two))
-    schema = f"book_id {dict(books.dtypes)['book_id']}, faults array<struct<line_idx:int,fault:string>>, mended string"
+    rows = corpus(books, words, mend)
+    shared = spark.sparkContext.broadcast(fit_channel(rows, words))
+    schema = f"book_id {dict(books.dtypes)['book_id']}, digest string, faults array<struct<line_idx:int,fault:string>>, mended string"
     wanted = _arrow_schema(spark, schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(*shared.value)
+        channel, held = Channel(*shared.value), Held(shared.value[0])
         for batch in batches(it, "text"):
-            out = [examine(t, channel, title_of(f), mend) for t, f in zip(batch.column("text").to_pylist(), batch.column("filename").to_pylist())]
+            texts = batch.column("text").to_pylist()
+            h, row, start, size = _hash_words(batch.column("text"))
+            begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            suspects: list[set[int]] = [set() for _ in texts]
+            for r, s, z in zip(*(x[held.ids(h) < 0].tolist() for x in (row, start - begin[row], size))):
+                if channel.suspect(texts[r][s : s + z]):
+                    suspects[r].add(texts[r].count("\n", 0, s))
+            out = [examine(t, channel, title_of(f), mend, x) if scan else ([], t if mend else None) for t, f, scan, x in zip(texts, batch.column("filename").to_pylist(), batch.column("id").to_pylist(), suspects)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("book_id"), pa.array([[{"line_idx": i, "fault": f} for i, f in faults] for faults, _ in out], wanted.field("faults").type), pa.array([m for _, m in out], pa.string())], schema=wanted
+                [batch.column("book_id"), batch.column("digest"), pa.array([[{"line_idx": i, "fault": f} for i, f in faults] for faults, _ in out], wanted.field("faults").type), pa.array([m for _, m in out], pa.string())], schema=wanted
             )
 
-    return books.select("book_id", "filename", "text").where("text is not null").mapInArrow(run, schema)
+    return rows.where("kind = 4").select("book_id", "filename", "digest", "text", "id").mapInArrow(run, schema)
 
 
 def scan_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -445,33 +558,36 @@ def scan_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mended_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(book_id, mended, n_faults): every book's text as continuous paragraphs."""
     out = examined(table(spark, sf_dir, "books"), table(spark, sf_dir, "lexicon"), mend=True)
-    return out.select("book_id", "mended", F.size("faults").alias("n_faults")).distinct()
+    return out.dropDuplicates(["book_id", "digest"]).select("book_id", "mended", F.size("faults").alias("n_faults"))
 
 
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(book_id, idx, title, clean_title): chapter titles with their words corrected."""
+    """(book_id, idx, title, clean_title): chapter titles closed up, those of scans with their words corrected."""
     words = known_words(table(spark, sf_dir, "lexicon"))
-    one, two = pair_counts(table(spark, sf_dir, "books"), words)
-    shared = spark.sparkContext.broadcast((words, one, two))
-    titles = table(spark, sf_dir, "chapters").select("book_id", "idx", "title").distinct()
+    rows = corpus(table(spark, sf_dir, "books"), words)
+    shared = spark.sparkContext.broadcast(fit_channel(rows, words))
+    scans = rows.where("kind = 4").select("book_id").distinct().withColumn("scan", F.lit(True))
+    titles = table(spark, sf_dir, "chapters").select("book_id", "idx", "title").distinct().join(scans, "book_id", "left")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(*shared.value)
         for batch in it:
-            out = [clean_title(t, channel) for t in batch.column("title").to_pylist()]
+            out = [clean_title(t, channel if scan else None) for t, scan in zip(batch.column("title").to_pylist(), batch.column("scan").to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "clean_title"])
 
-    return titles.mapInArrow(run, titles.withColumn("clean_title", F.lit("")).schema)
+    return titles.mapInArrow(run, titles.withColumn("clean_title", F.lit("")).schema).drop("scan")
 
 
-def clean_title(title: str | None, channel: Channel) -> str | None:
-    """A title with single blanks, letter-spacing closed and its words corrected; null stays null."""
+def clean_title(title: str | None, channel: Channel | None) -> str | None:
+    """A title with single blanks, letter-spacing closed and, given a channel, its words corrected; null stays null."""
     if title is None:
         return None
     t = unicodedata.normalize("NFC", title).strip()
     if t.count(" ") >= 4 and not re.search(r"\S\S", t):
         t = " ".join(w.replace(" ", "") for w in re.split(r"\s{2,}", t))
     t = re.sub(r"\s+", " ", t)
+    if channel is None:
+        return t
     spots = [(m.group(), m.start()) for m in WORD.finditer(t)]
     out, at = [], 0
     for (w, start), c in zip(spots, channel.decode([w for w, _ in spots]) if spots else []):

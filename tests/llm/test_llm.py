@@ -160,12 +160,14 @@ def test_channel_finds_the_printed_word():
 
 def test_words_read_wrongly_in_four_places_have_candidates():
     found = scans.Channel(["correspondence"]).candidates("c0rresp0ndcncc")
-    assert [(w, at) for w, _, at in found] == [("correspondence", 1)]
+    assert [(x[0], x[2]) for x in found] == [("correspondence", 1)]
 
 
 def test_neighbours_choose_between_candidates():
-    ch = scans.Channel(["lamp", "iamp", "we", "a"], {"lamp": 5, "iamp": 5, "we": 9, "a": 9}, {("we", "iamp"): 5, ("a", "lamp"): 5})
-    assert {c for c, _, _ in ch.candidates("1amp")} == {"lamp", "iamp"}
+    sketch = np.zeros(2 * scans.SKETCH, np.int64)
+    sketch[scans._cells(np.array([2, 3]), np.array([1, 0]))] = 5  # we iamp, a lamp
+    ch = scans.Channel(["lamp", "iamp", "we", "a"], np.array([5, 5, 9, 9]), sketch)
+    assert {c[0] for c in ch.candidates("1amp")} == {"lamp", "iamp"}
     assert ch.decode(["we", "1amp"])[1] == "iamp" and ch.decode(["a", "1amp"])[1] == "lamp"
 
 
@@ -179,18 +181,37 @@ def test_faults_of_a_page():
 
 
 def test_texts_that_are_no_scans(spark):
-    flowed = "The winter was old. " * 20
-    assert scans.examine(flowed, scans.Channel(LEXICON), None, True) == ([], flowed)
-    assert scans.examine("", scans.Channel(LEXICON), None, True) == ([], "")
+    flowed = ("The winter was old. " * 20 + "\n") * 8
+    knows = scans.Channel(LEXICON).knows
+    assert not scans.is_scan(flowed.split("\n"), knows) and not scans.is_scan([""], knows) and scans.is_scan(PAGE, knows)
+    merged = [*PAGE, PAGE[2] + " " + PAGE[3] + " " + PAGE[4], *PAGE[7:]]
+    assert scans.is_scan(merged, knows) and scans.is_scan(PAGE[2:5], knows)  # one long line or few lines change nothing
     books = spark.createDataFrame([("b", None, None, 1), ("c", None, "\n".join(PAGE), 1), ("c", None, "\n".join(PAGE), 2), ("d", "x.txt", "", 1)], "book_id string, filename string, text string, faults int")
     lex = spark.createDataFrame([("# note",), ("",), (None,), *[(w.upper(),) for w in LEXICON]], "entry string")
     got = {r.book_id: len(r.faults) for r in scans.examined(books, lex).collect()}
-    assert got == {"c": 7, "d": 0}
+    assert got == {"c": 7}
+    assert {r.book_id: r.mended is not None for r in scans.examined(books, lex, True).collect()} == {"c": True, "d": True}
     assert scans.examined(books.limit(0), lex).count() == 0
     assert scans.clean_title("T H E   0 L D   G A R D C N", scans.Channel(LEXICON)).startswith("THE ")
     assert scans.clean_title(None, scans.Channel(LEXICON)) is None
 
 
+def test_confusions_are_fitted_to_the_corpus(spark):
+    lines = ["the winter was old and the harbour was silver and not", "under the garden of the stranger and the dinner was a", "chapter of the winter garden and the silver button and"] * 40
+    read = "\n".join(x.replace("the", "thc", 1) if n % 3 == 0 else x for n, x in enumerate(lines))
+    words = scans.known_words(spark.createDataFrame([(w,) for w in LEXICON], "entry string"))
+    rows = scans.corpus(spark.createDataFrame([("b", "f", read)], "book_id string, filename string, text string"), words)
+    *_, costs = scans.fit_channel(rows, words)
+    cost = dict(zip(scans.RULES, costs))
+    assert cost["c", "e"] == min(costs) and cost["c", "e"] < cost["f", "t"]
+
+
+def test_long_headers_are_furniture():
+    head = "THE LONG AND WINDING HISTORY OF THE OLD SILVER GARDEN BESIDE THE HARBOUR OF THE STRANGER AND HIS WELL-KNOWN DINNER"
+    lines = [x if "GARD" not in x else head for x in PAGE]
+    assert {i for i, x in enumerate(lines) if x == head} <= scans.furniture(lines)
+
+
 # -- quality
 
 PROSE = "The winter was old and the harbour was silver. It was not the dinner that arrived, and so the stranger of the garden waited.\n" * 5
