@@ -25,6 +25,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm.codepoints import batches, to_codepoints
-from quillmill.llm.leaks import _alnum, _arrow_schema, mix, powers
+from quillmill.llm.leaks import INVERSE, _alnum, _arrow_schema, mix, powers
 from quillmill.llm.normalise import TOP
 from quillmill.session import cut, table
 
@@ -395,37 +396,58 @@ def corpus(books: DataFrame, words: list[str], whole: bool = False) -> DataFrame
     schema = f"kind int, id int, word string, n bigint, book_id {dict(books.dtypes)['book_id']}, filename string, digest string, text string"
     wanted = _arrow_schema(spark, schema)
 
-    def counts(kind: int, ids: np.ndarray) -> pa.RecordBatch:
-        one, n = np.unique(ids, return_counts=True)
-        cols = {"kind": np.full(len(one), kind, np.int32), "id": one.astype(np.int32), "n": n.astype(np.int64)}
-        return pa.RecordBatch.from_arrays([pa.array(cols[f.name]) if f.name in cols else pa.nulls(len(one), f.type) for f in wanted], schema=wanted)
+    def counts(kind: int, n: np.ndarray) -> pa.RecordBatch:
+        ids = np.flatnonzero(n)
+        cols = {"kind": np.full(len(ids), kind, np.int32), "id": ids.astype(np.int32), "n": n[ids]}
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name]) if f.name in cols else pa.nulls(len(ids), f.type) for f in wanted], schema=wanted)
+
+    def others(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"kind": 3, "word": w, "n": c} for w, c in seen.items()], schema=wanted)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Held(shared.value)
+        words = shared.value
+        held, near = Held(words), rivals(words)
+        marked = np.array([w in near for w in words] + [False], bool)
+        total = [np.zeros(n, np.int64) for n in (len(words), 2 * SKETCH, len(words))]
+        other: Counter = Counter()
         for batch in batches(it, "text"):
             texts = [t if unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t) for t in batch.column("text").to_pylist()]
-            arr = pa.array(texts, pa.string())
-            h, row, start, size = _hash_words(arr)
+            h, row, start, size = _hash_words(pa.array(texts, pa.string()))
             ids = held.ids(h)
-            yield counts(0, ids[ids >= 0])
-            ok = (ids[:-1] >= 0) & (ids[1:] >= 0) & (row[1:] == row[:-1])
-            yield counts(1, _cells(ids[:-1][ok], ids[1:][ok]).ravel())
+            total[0] += np.bincount(ids[ids >= 0], minlength=len(words))
+            ok = (ids[:-1] >= 0) & (ids[1:] >= 0) & (row[1:] == row[:-1]) & (marked[ids[:-1]] | marked[ids[1:]])
+            total[1] += np.bincount(_cells(ids[:-1][ok], ids[1:][ok]).ravel(), minlength=2 * SKETCH)
             scan = np.array([wrapped(t.split("\n")) for t in texts], bool)
             n = np.bincount(row, minlength=len(texts))
             scan &= (np.bincount(row, weights=ids >= 0, minlength=len(texts)) * 2 >= n) & (n > 0)
             inside = scan[row] if len(row) else np.empty(0, bool)
-            yield counts(2, ids[inside & (ids >= 0)])
+            total[2] += np.bincount(ids[inside & (ids >= 0)], minlength=len(words))
             begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-            other: Counter = Counter()
             at = np.flatnonzero(inside & (ids < 0))
             for r, s, z in zip(row[at].tolist(), (start[at] - begin[row[at]]).tolist(), size[at].tolist()):
                 other[texts[r][s : s + z]] += 1
-            yield pa.RecordBatch.from_pylist([{"kind": 3, "word": w, "n": c} for w, c in other.items()], schema=wanted)
+            if len(other) > 100_000:
+                yield others(other)
+                other.clear()
             take = np.flatnonzero(scan) if not whole else np.arange(len(texts))
             rows = [{"kind": 4, "id": int(scan[r]), "text": texts[r] if scan[r] else batch.column("text")[r].as_py(), **{c: batch.column(c)[r].as_py() for c in ("book_id", "filename", "digest")}} for r in take.tolist()]
             yield pa.RecordBatch.from_pylist(rows, schema=wanted)
+        yield others(other)
+        for kind in range(3):
+            yield counts(kind, total[kind])
+
+    digest = F.md5("text") if whole else F.lit(None).cast("string")
+    return cut(books.select("book_id", F.col("filename").cast("string").alias("filename"), digest.alias("digest"), "text").where("text is not null").mapInArrow(run, schema))
 
-    return cut(books.select("book_id", F.col("filename").cast("string").alias("filename"), F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(run, schema))
+
+def rivals(words: list[str]) -> set[str]:
+    """Words that share a reading with another word, for which alone the neighbours matter."""
+    shapes = defaultdict(set)
+    flat = str.maketrans("cefthbo0s5il1b6g9", "eettbboossiiibbgg")
+    for w in words:
+        s = w.replace("rn", "m").replace("in", "m").replace("ri", "n").replace("cl", "d").replace("ii", "u").replace("vv", "w").translate(flat)
+        shapes[s].add(w)
+    return {w for g in shapes.values() if len(g) > 1 for w in g}
 
 
 class Held:
@@ -487,39 +509,35 @@ def fit_channel(rows: DataFrame, words: list[str]) -> tuple[list[str], np.ndarra
 def _hash_words(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the runs of letters, digits and hyphens within words: hashes of the small letters, rows, starts and lengths."""
     codes, offsets = to_codepoints(arr)
-    none = np.empty(0, np.int64)
-    if not len(codes):
-        return np.empty(0, np.uint64), none, none, none
-    low = _lower()[np.minimum(codes, TOP)]
-    word = _alnum()[np.minimum(low, TOP)]
-    dash = np.flatnonzero((low[1:-1] == 45) & word[:-2] & word[2:]) + 1
-    word = word.copy()
-    word[dash] = True
-    edge = np.zeros(len(codes) + 1, bool)
-    edge[offsets] = True
-    start = np.flatnonzero(word & np.concatenate([[True], ~word[:-1]]) | word & edge[:-1])
-    at = np.flatnonzero(word)
-    if not len(at):
+    none, n = np.empty(0, np.int64), len(codes)
+    if not n:
         return np.empty(0, np.uint64), none, none, none
-    first = np.searchsorted(at, start)
-    counts = np.diff(np.append(first, len(at)))
-    pos = np.arange(len(at)) - np.repeat(first, counts)
+    terms, wordy = _letters()
+    at = np.minimum(codes, TOP)
+    word = np.zeros(n + 2, bool)
+    word[1:-1] = wordy[at]
+    dash = np.flatnonzero(codes == 45) + 1
+    word[dash[word[dash - 1] & word[dash + 1]]] = True
+    step = np.flatnonzero(word[1:] != word[:-1])
+    start, end = step[::2], step[1::2]
+    inner = offsets[1:-1]
+    inner = np.unique(inner[(inner > 0) & (inner < n)])
+    if len(split := inner[word[inner] & word[inner + 1]]):  # a word doesn't go on in the next row
+        start, end = np.sort(np.concatenate([start, split])), np.sort(np.concatenate([end, split]))
     with np.errstate(over="ignore"):
-        terms = mix(low[at].astype(np.uint64) + np.uint64(1)) * powers(int(pos.max()) + 1)[pos]
-        return mix(np.add.reduceat(terms, first) + counts.astype(np.uint64)), np.searchsorted(offsets, start, "right") - 1, start, counts
-
-
-def _lower() -> np.ndarray:
-    global _LOWER
-    if _LOWER is None:
-        _LOWER = np.arange(TOP + 1, dtype=np.uint32)
-        for c in range(0x41, 0x600):
-            if len(x := chr(c).lower()) == 1:
-                _LOWER[c] = ord(x)
-    return _LOWER
-
-
-_LOWER: np.ndarray | None = None
+        run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms[at] * powers(n, INVERSE))])
+        h = mix((run[end] - run[start]) * powers(n)[start] + (end - start).astype(np.uint64))
+    return h, np.searchsorted(offsets, start, "right") - 1, start, end - start
+
+
+@lru_cache(1)
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """For every code point what its small letter adds to a hash, and whether it belongs to words."""
+    low = np.arange(TOP + 1, dtype=np.uint64)
+    for c in range(0x41, 0x600):
+        if len(x := chr(c).lower()) == 1:
+            low[c] = ord(x)
+    return mix(low + np.uint64(1)), _alnum()[low.astype(np.int64)]
 
 
 def examined(books: DataFrame, lexicon: DataFrame, mend: bool = False) -> DataFrame:
