@@ -1,13 +1,24 @@
 """Problem 5: per-document statistics that tell prose from lists, tables and junk.
 
-Every line is described by two distributions: its characters over the classes in ``CHARS`` and its
-tokens over those in ``TOKENS`` (function words of four languages, new and echoed content words,
-numbers, list markers, words without vowels, oversized tokens). Each is compared with structural
-profiles by Jensen-Shannon divergence, and the nearest profile gives the line's shape. A document's
-shape is that of most of its lines, headings left out. All lines of a batch are handled as arrays.
+Every line is described by three distributions: its characters over the classes in ``CHARS``, its tokens
+over those in ``TOKENS``, and its form (how it begins and ends, and how long it is); a fourth says what
+the outline has on that line. Each is compared with structural profiles by Jensen-Shannon divergence. The
+distribution of a document's tokens over single function words is compared with the prose of each
+language; the least of these divergences names the language and counts for or against all its lines being
+prose. The nearest profile gives the line's shape, and a document's shape is that of most of its lines,
+headings and what stands above the first heading left out.
+
+The profiles are fitted: ``SAMPLE_BOOKS`` books, those with the least hashes, whatever their number, are
+labelled line by line by the outline's kinds and by crude marks (``weak_labels``), only to learn from. The lines
+of each shape fall into ``KINDS_OF_LINES`` clusters at most, whose means are the profiles; a few lines of
+every shape in ``EXAMPLES`` stand in for what a sample lacks.
+
+All lines of a batch are handled as arrays. What leaves a task are divergences per line, which meet the
+outline's entries; texts are not shuffled.
 
 Defined results: null texts have no row; a text without words has null means and the shape ``empty``;
-repeated rows count once; outline entries count once per (line, kind); extra columns are ignored.
+repeated rows count once; of several entries on a line a heading counts before a list item; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.codepoints import batches, row_of, to_codepoints
@@ -35,25 +46,26 @@ FUNCTION_WORDS = {
     "es": "el la los las un una y que era con por para no en lo su se muy sin pero es del al decía cuando",
 }
 
-#: Mean distributions over CHARS, then TOKENS, of lines of each structure and language.
-PROFILES: dict[str, list[float]] = {
-    "prose_en": [0.302, 0.490, 0.017, 0.001, 0.009, 0.148, 0.012, 0.019, 0.000, 0.000, 0.000, 0.407, 0.565, 0.006, 0.018, 0.002, 0.001, 0.000],
-    "prose_fr": [0.327, 0.408, 0.020, 0.025, 0.018, 0.147, 0.014, 0.019, 0.022, 0.000, 0.001, 0.336, 0.595, 0.008, 0.038, 0.007, 0.016, 0.000],
-    "prose_de": [0.280, 0.448, 0.061, 0.012, 0.010, 0.146, 0.015, 0.018, 0.010, 0.000, 0.001, 0.412, 0.555, 0.006, 0.021, 0.002, 0.003, 0.000],
-    "prose_es": [0.342, 0.402, 0.021, 0.022, 0.023, 0.146, 0.016, 0.018, 0.010, 0.000, 0.001, 0.362, 0.589, 0.007, 0.035, 0.005, 0.001, 0.000],
-    "list_title": [0.333, 0.418, 0.111, 0.023, 0.000, 0.114, 0.000, 0.000, 0.000, 0.000, 0.000, 0.397, 0.583, 0.020, 0.000, 0.000, 0.000, 0.000],
-    "list_marked": [0.300, 0.410, 0.040, 0.010, 0.050, 0.150, 0.020, 0.020, 0.000, 0.000, 0.000, 0.300, 0.480, 0.020, 0.000, 0.200, 0.000, 0.000],
-    "list_leader": [0.200, 0.280, 0.030, 0.010, 0.070, 0.110, 0.000, 0.000, 0.000, 0.300, 0.000, 0.300, 0.450, 0.020, 0.230, 0.000, 0.000, 0.000],
-    "list_index": [0.130, 0.220, 0.000, 0.000, 0.374, 0.138, 0.000, 0.138, 0.000, 0.000, 0.000, 0.000, 0.283, 0.002, 0.715, 0.000, 0.000, 0.000],
-    "table_spaced": [0.095, 0.156, 0.000, 0.001, 0.314, 0.039, 0.053, 0.000, 0.338, 0.000, 0.005, 0.000, 0.320, 0.003, 0.677, 0.000, 0.000, 0.000],
-    "table_tight": [0.135, 0.200, 0.007, 0.003, 0.428, 0.018, 0.072, 0.003, 0.128, 0.000, 0.007, 0.094, 0.267, 0.004, 0.634, 0.000, 0.001, 0.000],
-    "table_words": [0.280, 0.400, 0.000, 0.010, 0.010, 0.020, 0.000, 0.000, 0.280, 0.000, 0.000, 0.100, 0.850, 0.050, 0.000, 0.000, 0.000, 0.000],
-    "junk_symbol": [0.000, 0.000, 0.000, 0.000, 0.000, 0.044, 0.043, 0.048, 0.052, 0.005, 0.808, 0.000, 0.000, 0.000, 0.000, 0.066, 0.934, 0.000],
-    "junk_mojibake": [0.000, 0.000, 0.000, 0.370, 0.052, 0.083, 0.000, 0.106, 0.020, 0.000, 0.369, 0.000, 0.224, 0.000, 0.017, 0.038, 0.527, 0.194],
-    "junk_voiceless": [0.036, 0.818, 0.001, 0.000, 0.000, 0.103, 0.000, 0.010, 0.032, 0.000, 0.000, 0.007, 0.327, 0.000, 0.000, 0.001, 0.665, 0.000],
-    "junk_token": [0.093, 0.319, 0.398, 0.000, 0.158, 0.000, 0.000, 0.000, 0.000, 0.000, 0.032, 0.000, 0.000, 0.000, 0.000, 0.000, 0.000, 1.000],
-    "junk_echo": [0.345, 0.521, 0.000, 0.011, 0.000, 0.122, 0.000, 0.000, 0.001, 0.000, 0.000, 0.000, 0.061, 0.939, 0.000, 0.000, 0.000, 0.000],
-}
+#: Books the profiles are learnt from, and clusters of lines of one shape.
+SAMPLE_BOOKS, KINDS_OF_LINES = 1500, 8
+SHAPES = ["prose", "list", "table", "junk", "heading"]
+FORMS = (4, 4, 5)
+
+#: Lines of every shape, in case a sample has none.
+EXAMPLES = {
+    "prose": [
+        "The winter was long and the harbour was grey, but the stranger who lived there did not go away.",
+        "“It is not for the old man,” she said, and so they went to the garden by the river.",
+        "of the river and the people that lived in it, so that",
+        "La maison était grise et le jardin ne donnait plus de fruits, mais les voisins y passaient avec plaisir.",
+        "Der Garten war alt und die Nachbarn sagten, dass es nicht mit den Bäumen zu tun hatte.",
+        "La casa era vieja y los vecinos decían que no había agua en el jardín, pero se quedaron.",
+    ],
+    "list": ["1. The old garden", "• A silver spoon", "(b) the harbour; 7 the lamp", "garden, 12, 48, 107", "The lamp of winter ........ 12", "Summer and Winter", "3) la maison grise"],
+    "table": ["garden\t12.5\t7\t81", "garden;12.5;7;81", "garden,12.5,7,81", "garden    12.5    7    81%", "| garden | 12 | 7 |", "name    size    price", "--------------------"],
+    "junk": ["#=%§@ _}>\\&&>}}■%§=|■}{#^@>_&&~", "kfwdg dkqhnhj vb cj nqwb bkttgnzhwk", "Ã¢Â€Ã™â€œ Ã Â© ï¿½ Â°Â±", "IvCSm0iW2rtOHsD5CnE5TkiAigdNb40Yn1Npi9sEaZiLv", "tenant copper tunnel tenant copper tunnel tenant"],
+    "heading": ["CHAPTER 1", "Chapter 2: The Garden", "THE OLD GARDEN", "Part 1 – La Maison"],
+}
 
 
 @lru_cache(1)
@@ -85,10 +97,17 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @lru_cache(1)
 def _function_hashes() -> np.ndarray:
+    """The hashes of all function words in order; a word's place is its number."""
     words = sorted({w for ws in FUNCTION_WORDS.values() for w in ws.split()})
     return np.unique(np.array([_hash(np.array([ord(c) for c in w], np.uint64)) for w in words], np.uint64))
 
 
+@lru_cache(1)
+def _languages() -> np.ndarray:
+    """For each language which of the function words are its own."""
+    return np.array([np.isin(_function_hashes(), [_hash(np.array([ord(c) for c in w], np.uint64)) for w in ws.split()]) for ws in FUNCTION_WORDS.values()])
+
+
 def _hash(codes: np.ndarray) -> np.uint64:
     with np.errstate(over="ignore"):
         return np.uint64((mix(codes + np.uint64(1)) * powers(len(codes))).sum(dtype=np.uint64))
@@ -144,6 +163,11 @@ class Lines:
         shown = first < n
         self.low[shown] = (k[first[shown]] == 1) | (k[first[shown]] == 5)
         self.low[shown] &= small[first[shown]] == codes[first[shown]]
+        self.shown, self.ink = first, self.length - self.chars[:, CHARS.index("blank")]
+        self._begin = np.where(shown, k[np.minimum(first, max(0, n - 1))] & 3, 0) if n else np.zeros(len(starts), np.int64)
+        self._end = np.where(lastly >= 0, k[np.maximum(lastly, 0)] & 3, 0) if n else np.zeros(len(starts), np.int64)
+        dash = np.flatnonzero((codes == 45) | (codes == 61) | (codes == 43) | (codes == 95))
+        self.dashes = np.bincount(line[dash], minlength=len(starts))
         self._tokens(solid & (c != CHARS.index("separator")) & (c != CHARS.index("leader")), k, small, line, offsets)
 
     def _tokens(self, solid: np.ndarray, k: np.ndarray, small: np.ndarray, line: np.ndarray, offsets: np.ndarray) -> None:
@@ -151,6 +175,7 @@ class Lines:
         self.tokens = np.zeros((len(self.starts), count), np.int64)
         self.words = np.zeros(len(self.starts), np.int64)
         self.word_chars = np.zeros(len(self.starts), np.int64)
+        self.function_row = self.function_word = np.zeros(0, np.int64)
         edge = np.zeros(n + 1, bool)
         edge[self.starts] = True
         start = np.flatnonzero(solid & np.concatenate([[True], ~solid[:-1]]) | solid & edge[:-1])
@@ -188,6 +213,8 @@ class Lines:
         names = ["marker", "number", "voiceless", "function", "oversized", "voiceless", "echo"]
         which = np.select(kinds, [TOKENS.index(x) for x in names], TOKENS.index("content"))
         self.tokens = np.bincount(in_line * count + which, minlength=len(self.starts) * count).reshape(-1, count)
+        at = np.flatnonzero(function)
+        self.function_row, self.function_word = row[at], np.searchsorted(_function_hashes(), h[at])
         wordy = letter > 0
         self.words = np.bincount(in_line[wordy], minlength=len(self.starts))
         self.word_chars = np.bincount(in_line[wordy], weights=letter[wordy], minlength=len(self.starts)).astype(np.int64)
@@ -203,91 +230,199 @@ def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return out
 
 
-def distributions(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """The shares of character classes and of token classes, per line."""
-    return (x / np.maximum(1, x.sum(1, keepdims=True)) for x in (lines.chars, lines.tokens))
-
-
-SHAPES = ["prose", "list", "table", "junk", "heading"]
+def distributions(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The shares of character classes and of token classes, and how it begins, ends and how long it is, per line."""
+    begin = np.select([lines.low, lines._begin == 1, lines._begin == 2], [0, 1, 2], 3)
+    end = np.select([lines.last_end, lines._end == 1, lines._end == 2], [0, 1, 2], 3)
+    size = np.searchsorted([2, 4, 7, 13], lines.tokens.sum(1), "right")
+    return (*(x / np.maximum(1, x.sum(1, keepdims=True)) for x in (lines.chars, lines.tokens)), np.stack([begin, end, size]))
+
+
+def one_hot_divergence(shares: np.ndarray) -> np.ndarray:
+    """Jensen-Shannon divergence in bits of the distribution that is all on one value from ``shares``, for each value."""
+    x = np.clip(shares, 0, 1)
+    m = (1 + x) / 2
+    rest = (1 - x) / 2  # the others, each halved by the mean
+    own = np.where(x > 0, x * np.log2(np.maximum(x, 1e-12) / m), 0.0)
+    return (np.log2(1 / m) + own) / 2 + rest
+
+
+def document_words(lines: Lines, n: int) -> np.ndarray:
+    """For each document the shares of its tokens that are each function word, and of all others."""
+    size = len(_function_hashes())
+    out = np.zeros((n, size + 1))
+    np.add.at(out, (lines.function_row, lines.function_word), 1)
+    tokens = np.bincount(lines.row, weights=lines.tokens.sum(1), minlength=n)
+    out[:, size] = np.maximum(0, tokens - out[:, :size].sum(1))
+    return out / np.maximum(1, out.sum(1, keepdims=True))
+
+
+def weak_labels(lines: Lines, kinds: np.ndarray) -> np.ndarray:
+    """A guess at the shape of lines that show it plainly, -1 for others; kinds: 1 heading, 2 list, 0 nothing by the outline."""
+    t, n = lines.tokens, np.maximum(1, lines.tokens.sum(1))
+    share = lambda *names: t[:, [TOKENS.index(x) for x in names]].sum(1) / n
+    count = lambda name: lines.chars[:, CHARS.index(name)]
+    ink = np.maximum(1, lines.ink)
+    junk = (share("voiceless", "oversized") >= 0.6) | (count("odd") >= 0.4 * ink) | (share("echo") >= 0.6) & (share("function") <= 0.1) & (n >= 4)
+    rule = (lines.letters == 0) & (ink >= 4) & (lines.dashes + count("separator") >= 0.9 * ink)
+    table = count("separator") >= 2
+    short = (n <= 6) & ~lines.last_end & (count("inner") == 0) & ~lines.low & (lines.letters >= 3) & (kinds != 1)
+    full = np.flatnonzero(lines.ink > 0)
+    near = np.zeros(len(lines.starts), bool)
+    if len(full) > 4:  # a run of short lines
+        run = np.lib.stride_tricks.sliding_window_view(short[full] & (lines.row[full] >= 0), 5).all(1)
+        same = lines.row[full][4:] == lines.row[full][:-4]
+        near[full[np.flatnonzero(run & same) + 2]] = True
+    listed = (kinds == 2) & ~(lines.last_end & (n >= 8)) | (count("leader") >= 3) | near | (share("number") >= 0.4) & (count("inner") > 0)
+    prose = (n >= 6) & (share("function") >= 0.15) & (lines.last_end | (count("inner") > 0) | (n >= 8))
+    out = np.select([kinds == 1, rule, junk, table, listed, prose], [4, 2, 3, 2, 1, 0], -1)
+    out[lines.ink == 0] = -1
+    return out
 
 
-def line_shapes(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
-    """The shape of each line as a number in SHAPES, -1 for blank lines, and its divergence from prose."""
-    p, t = distributions(lines)
-    names = list(PROFILES)
-    q = np.array([PROFILES[x] for x in names])
-    d = divergence(p, q[:, : len(CHARS)]) + divergence(t, q[:, len(CHARS) :])
-    of = np.array([SHAPES.index(x.split("_")[0]) for x in names])
-    best = np.stack([d[:, of == s].min(1) for s in range(4)], 1)
-    shape = best.argmin(1)
-    # a title of many words, with punctuation, or going on from the line before is a wrapped line of prose
-    title = np.array([x == "list_title" for x in names])[d.argmin(1)]
-    shape[title & ((lines.tokens.sum(1) >= 7) | lines.low | (lines.chars[:, CHARS.index("inner")] + lines.chars[:, CHARS.index("end")] > 0))] = SHAPES.index("prose")
-    ink = lines.length - lines.chars[:, CHARS.index("blank")]
-    odd = lines.chars[:, [CHARS.index("odd"), CHARS.index("digit")]].sum(1)
-    capital = (lines.letters >= 4) & (lines.capitals + lines.chars[:, CHARS.index("accented")] >= 0.95 * lines.letters) & (lines.capitals * 2 > lines.letters) & (odd * 4 <= lines.letters)
-    shape[capital | lines.named] = SHAPES.index("heading")
-    rule = (ink > 0) & (lines.letters == 0) & (lines.dashes + lines.chars[:, CHARS.index("separator")] >= ink)
-    shape[rule] = SHAPES.index("table")
-    shape[ink == 0] = -1
-    return shape, best[:, 0]
-
-
-def _mark_headings(lines: Lines) -> None:
-    """Lines that say what they are: chapter words with a number, a title on top, a by-line."""
-    codes, n = lines.codes, len(lines.starts)
-    lines.named = np.zeros(n, bool)
-    lines.dashes = np.zeros(n, np.int64)
-    if not n:
-        return
-    dash = np.flatnonzero((codes == 45) | (codes == 61) | (codes == 43) | (codes == 95))
-    lines.dashes = np.bincount(np.searchsorted(lines.stops, dash, "right"), minlength=n)[:n]
-    ink = lines.length - lines.chars[:, CHARS.index("blank")]
-    full = np.flatnonzero(ink > 0)
-    top = full[np.concatenate([[True], lines.row[full][1:] != lines.row[full][:-1]])] if len(full) else full
-    lines.named[top[lines.length[top] < 90]] = True
-    for word in ("chapter ", "part ", "by "):
-        w = np.array([ord(c) for c in word], np.uint32)
-        fits = np.flatnonzero((lines.stops - lines.starts > len(w)) & (lines.length < 90) & ~lines.last_end)
-        at = lines.starts[fits]
-        same = np.ones(len(fits), bool)
-        for j, c in enumerate(w):
-            x = codes[at + j]
-            same &= (x == c) | (x == c - 32) & (c >= 97)
-        lines.named[fits[same]] = True
-
-
-def batch_quality(arr: pa.Array) -> dict[str, np.ndarray]:
-    """The statistics of every text of a batch."""
+def clusters(x: np.ndarray, most: int) -> np.ndarray:
+    """The cluster of each row: farthest rows first, then means, in the metric of square roots (Hellinger)."""
+    z = np.sqrt(x)
+    seeds = [int(((z - z.mean(0)) ** 2).sum(1).argmin())]
+    gap = ((z - z[seeds[0]]) ** 2).sum(1)
+    while len(seeds) < most and gap.max(initial=0) > 0.05:
+        seeds.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((z - z[seeds[-1]]) ** 2).sum(1))
+    means = z[seeds]
+    for _ in range(12):
+        of = np.stack([((z - m) ** 2).sum(1) for m in means], 1).argmin(1)
+        means = np.array([z[of == k].mean(0) if (of == k).any() else m for k, m in enumerate(means)])
+    return of
+
+
+class Profiles:
+    """What the sample says: mean distributions of the lines of each shape, the outline's kinds, and the prose of each language."""
+
+    def __init__(self, texts: list[str], kinds: list[dict[int, int]]) -> None:
+        extra = [(x, SHAPES.index(s)) for s, xs in EXAMPLES.items() for x in xs]
+        lines = Lines(*to_codepoints(pa.array([*texts, *(x for x, _ in extra)], pa.string())))
+        first = np.searchsorted(lines.row, np.arange(len(texts) + 1))
+        kind = np.zeros(len(lines.starts), np.int64)
+        for r, of in enumerate(kinds):
+            for i, k in of.items():
+                if 0 <= i < first[r + 1] - first[r]:
+                    kind[first[r] + i] = k
+        label = weak_labels(lines, kind)
+        label[first[len(texts)] :] = [s for _, s in extra]
+        chars, tokens, form = distributions(lines)
+        self.shape: list[int] = []
+        means: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kind = np.zeros((len(SHAPES), 3))  # a line that the outline does not list says nothing
+        for s in range(len(SHAPES)):
+            at = np.flatnonzero(label == s)
+            of = clusters(np.concatenate([chars[at], tokens[at]], 1) / 2, KINDS_OF_LINES)
+            seen = np.bincount(kind[at], minlength=3)[1:] + 0.5
+            self.kind[s, 1:] = one_hot_divergence(seen / seen.sum())
+            for k in np.unique(of):
+                mine = at[of == k]
+                shares = [np.bincount(x[mine], minlength=n) / len(mine) for x, n in zip(form, FORMS)]
+                means.append((chars[mine].mean(0), tokens[mine].mean(0), np.concatenate([one_hot_divergence(x) / 2 for x in shares])))
+                self.shape.append(s)
+        self.chars, self.tokens, self.form = (np.array([m[i] for m in means]) for i in range(3))
+        self.of = np.array(self.shape)
+        # the prose of each language: documents mostly of prose, by whose words they have most of
+        n = len(texts) + len(extra)
+        words = document_words(lines, n)
+        prose = np.bincount(lines.row[label == 0], minlength=n) * 2 > np.bincount(lines.row[lines.ink > 0], minlength=n)
+        speech = np.stack([words[:, :-1][:, own].sum(1) for own in _languages()], 1).argmax(1)
+        self.prose = np.array([words[prose & (speech == g)].mean(0) if (prose & (speech == g)).any() else words.mean(0) for g in range(len(_languages()))])
+
+    def compare(self, lines: Lines, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Divergence of each line from each shape; the language of each document and its divergence from its prose."""
+        d = divergence(document_words(lines, n), self.prose)
+        language, own = d.argmin(1), d.min(1)
+        chars, tokens, form = distributions(lines)
+        each = divergence(chars, self.chars) + divergence(tokens, self.tokens)
+        for x, start in zip(form, np.cumsum([0, *FORMS])):
+            each += self.form[:, start + x].T
+        out = np.stack([each[:, self.of == s].min(1) for s in range(len(SHAPES))], 1)
+        out[:, 0] += own[lines.row] / 2
+        return out, language, own
+
+
+COUNTS = ["n_chars", "lines", "words", "word_chars", "ends", "symbols", "inked", "common", "tokens"]
+
+
+def batch_quality(arr: pa.Array, profiles: Profiles) -> dict[str, np.ndarray]:
+    """The statistics of every text of a batch, and for each line with text its number and its divergence from each shape in thousandths."""
     codes, offsets = to_codepoints(arr)
     lines = Lines(codes, offsets)
-    _mark_headings(lines)
-    shape, prose = line_shapes(lines) if len(lines.starts) else (np.empty(0, np.int64), np.empty(0))
     n = len(offsets) - 1
+    d, language, own = profiles.compare(lines, n)
+    full = lines.ink > 0
     add = lambda x, where=None: np.bincount(lines.row if where is None else lines.row[where], weights=x if where is None else x[where], minlength=n)
-    full = shape >= 0
-    out = {"n_chars": np.diff(offsets), "lines": add(full.astype(float)), "words": add(lines.words), "word_chars": add(lines.word_chars), "ends": add(lines.last_end.astype(float), full)}
     symbols = lines.chars[:, [CHARS.index("odd"), CHARS.index("separator"), CHARS.index("leader")]].sum(1)
-    out |= {"symbols": add(symbols), "inked": add(lines.length - lines.chars[:, CHARS.index("blank")]), "common": add(lines.tokens[:, 0]), "tokens": add(lines.tokens.sum(1))}
-    out["divergence"] = add(prose, full)
-    for s, name in enumerate(SHAPES):
-        out[name] = add((shape == s).astype(float))
-    return out
+    out = {"n_chars": np.diff(offsets), "lines": add(full.astype(float)), "words": add(lines.words), "word_chars": add(lines.word_chars), "ends": add(lines.last_end.astype(float), full)}
+    out |= {"symbols": add(symbols), "inked": add(lines.ink), "common": add(lines.tokens[:, 0]), "tokens": add(lines.tokens.sum(1))}
+    number = np.arange(len(lines.row)) - np.searchsorted(lines.row, lines.row)
+    return out | {"language": language, "language_divergence": own, "row": lines.row[full], "number": number[full], "d": np.round(d[full] * 1000)}
+
+
+def sampled(books: DataFrame, outline: DataFrame | None) -> Profiles:
+    """The profiles of the sample: ``SAMPLE_BOOKS`` rows at most come to the driver, with their entries."""
+    h = F.xxhash64(F.col("book_id").cast("string"))
+    rows = books.select("book_id", "text", h.alias("h")).where("text is not null").orderBy("h", F.md5("text")).limit(SAMPLE_BOOKS)
+    if outline is None:
+        picked = rows.withColumn("kinds", F.lit(None).cast("map<int,int>"))
+    else:
+        picked = rows.join(_entries(outline), "book_id", "left")
+    got = picked.select("text", "kinds").collect()
+    return Profiles([r.text for r in got], [r.kinds or {} for r in got])
+
+
+def _entries(outline: DataFrame) -> DataFrame:
+    """(book_id, kinds map<line, 1 heading or 2 list>) of the outline; an entry of unknown kind with a level is a heading."""
+    kind = F.when((F.col("kind") == "heading") | F.col("kind").isNull() & F.col("level").isNotNull(), 1).when(F.col("kind") == "list", 2)
+    each = outline.select("book_id", F.col("line_idx").cast("int").alias("line_idx"), kind.alias("k")).where("k is not null and line_idx is not null").groupBy("book_id", "line_idx").agg(F.min("k").alias("k"))
+    return each.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("line_idx", "k"))).alias("kinds"))
 
 
 def text_quality(books: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """One row per document: counts, means, shares of line shapes, and the document's shape."""
     spark = books.sparkSession
-    keys = ["n_chars", "lines", "words", "word_chars", "ends", "symbols", "inked", "common", "tokens", "divergence", *SHAPES]
-    schema = f"book_id {dict(books.dtypes)['book_id']}, digest string, " + ", ".join(f"{k} {'double' if k == 'divergence' else 'bigint'}" for k in keys)
+    if outline is not None and "level" not in outline.columns:
+        outline = outline.withColumn("level", F.lit(None).cast("int"))
+    profiles = sampled(books, outline)
+    shared = spark.sparkContext.broadcast(profiles)
+    line = "struct<i:int," + ",".join(f"{s}:smallint" for s in SHAPES) + ">"
+    schema = f"book_id {dict(books.dtypes)['book_id']}, digest string, " + ", ".join(f"{k} bigint" for k in COUNTS) + f", language string, language_divergence double, d array<{line}>"
     wanted = _arrow_schema(spark, schema)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        profiles = shared.value
+        names = np.array(list(FUNCTION_WORDS))
         for batch in batches(it, "text", 1_000_000):
-            q = batch_quality(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("digest"), *(pa.array(q[k] if k == "divergence" else q[k].astype(np.int64)) for k in keys)], schema=wanted)
-
-    raw = books.select("book_id", F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(run, schema).distinct()
+            q = batch_quality(batch.column("text"), profiles)
+            ends = np.searchsorted(q["row"], np.arange(batch.num_rows + 1)).astype(np.int32)
+            items = pa.StructArray.from_arrays([pa.array(q["number"].astype(np.int32)), *(pa.array(q["d"][:, s].astype(np.int16)) for s in range(len(SHAPES)))], names=["i", *SHAPES])
+            lists = pa.ListArray.from_arrays(pa.array(ends), items).cast(wanted.field("d").type)
+            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("digest"), *(pa.array(q[k].astype(np.int64)) for k in COUNTS), pa.array(names[q["language"]]), pa.array(q["language_divergence"]), lists], schema=wanted)
+
+    raw = books.select("book_id", F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(run, schema).dropDuplicates(["book_id", "digest"])
+    raw = raw.withColumn("kinds", F.lit(None).cast("map<int,int>")) if outline is None else raw.join(_entries(outline), "book_id", "left")
+    kind = lambda x: F.coalesce(F.element_at("kinds", x["i"]), F.lit(0))
+    shift = (profiles.kind * 1000).round().astype(int).tolist()
+
+    head = SHAPES.index("heading")
+
+    def nearest(x: Column) -> Column:
+        total = [x[s] + F.element_at(F.array(*map(F.lit, shift[n])), kind(x) + 1) for n, s in enumerate(SHAPES)]
+        total[head] = F.when(kind(x) == 1, total[head]).otherwise(F.lit(30000))  # a title that no heading marks may be an item of a list
+        return F.array_position(F.array(*total), F.array_min(F.array(*total))).cast("int") - 1
+
+    top = F.array_min(F.map_keys(F.map_filter("kinds", lambda k, v: v == 1)))
+    shapes = F.transform("d", lambda x: F.struct(x["i"].alias("i"), nearest(x).alias("s")))
+    # what stands above the first heading, or first of all, and is no text, table or junk belongs to the title
+    titled = F.transform("sh", lambda x, n: F.when(((n == 0) | (x["i"] < F.coalesce(F.col("top"), F.lit(0)))) & x["s"].isin(SHAPES.index("list"), head), F.lit(head)).otherwise(x["s"]))
+    counted = raw.withColumn("top", top).withColumn("sh", shapes).withColumn("sh", titled)
+    of = lambda n: F.size(F.filter("sh", lambda x: x == n)).cast("bigint")
+    counted = counted.withColumns({s: of(n) for n, s in enumerate(SHAPES)})
+    counted = counted.withColumn("divergence", F.aggregate("d", F.lit(0.0), lambda a, x: a + x["prose"] / 1000))
     share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     kinds = F.greatest("list", "table", "junk")
     shape = (
@@ -297,14 +432,10 @@ def text_quality(books: DataFrame, outline: DataFrame | None = None) -> DataFram
         .when(F.col("table") == kinds, "table")
         .otherwise("list")
     )
-    out = raw.select(
+    entries = lambda k: F.coalesce(F.size(F.map_filter("kinds", lambda _, v: v == k)), F.lit(0)).cast("bigint")
+    return counted.select(
         "book_id", "digest", "n_chars", "lines", "words",
         share("word_chars", "words").alias("mean_word_length"), share("words", "lines").alias("words_per_line"), share("symbols", "inked").alias("symbol_ratio"),
-        share("ends", "lines").alias("end_share"), share("common", "tokens").alias("common_share"), share("divergence", "lines").alias("prose_divergence"),
-        *(F.col(k).alias(f"{k}_lines") for k in SHAPES), shape.alias("shape"),
+        share("ends", "lines").alias("end_share"), share("common", "tokens").alias("common_share"), "language", "language_divergence", share("divergence", "lines").alias("prose_divergence"),
+        *(F.col(k).alias(f"{k}_lines") for k in SHAPES), shape.alias("shape"), entries(1).alias("outline_headings"), entries(2).alias("outline_items"),
     )
-    if outline is not None:
-        entries = outline.select("book_id", "line_idx", "kind").distinct().groupBy("book_id").agg(F.count_if(F.col("kind") == "heading").alias("outline_headings"), F.count_if(F.col("kind") == "list").alias("outline_items"))
-        zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-        out = out.join(entries, "book_id", "left").select(*out.columns, zero("outline_headings"), zero("outline_items"))
-    return out
