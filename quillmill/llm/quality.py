@@ -1,7 +1,7 @@
 """Problem 5: per-document statistics that tell prose from lists, tables and junk.
 
-Every line is described by three distributions: its characters over the classes in ``CHARS``, its tokens
-over those in ``TOKENS``, and its form (how it begins and ends, and how long it is); a fourth says what
+Every line is described by distributions: its characters over the classes in ``CHARS``, and those between
+words alone, its tokens over those in ``TOKENS``, and its form (how it begins and ends, and how long it is); one more says what
 the outline has on that line. Each is compared with structural profiles by Jensen-Shannon divergence. The
 distribution of a document's tokens over single function words is compared with the prose of each
 language; the least of these divergences names the language and counts for or against all its lines being
@@ -31,11 +31,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.codepoints import batches, row_of, to_codepoints
+from quillmill.llm.codepoints import batches, slices, to_codepoints
 from quillmill.llm.leaks import _arrow_schema, mix, powers
 from quillmill.llm.normalise import NO_WIDTH, TOP
 
 CHARS = ["vowel", "consonant", "capital", "accented", "digit", "blank", "end", "inner", "separator", "leader", "odd"]
+BETWEEN = CHARS.index("blank")  # from here on classes of what stands between words
 TOKENS = ["function", "content", "echo", "number", "marker", "voiceless", "oversized"]
 
 # Common function words.
@@ -47,7 +48,9 @@ FUNCTION_WORDS = {
 }
 
 #: Books the profiles are learnt from, and clusters of lines of one shape.
-SAMPLE_BOOKS, KINDS_OF_LINES = 1500, 8
+SAMPLE_BOOKS, KINDS_OF_LINES = 2000, 12
+#: Lines above the first heading that may be a title page.
+TITLE_PAGE = 5
 SHAPES = ["prose", "list", "table", "junk", "heading"]
 FORMS = (4, 4, 5)
 
@@ -222,20 +225,20 @@ class Lines:
 
 def divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence in bits of each row of ``p`` from each row of ``q``."""
-    out = np.empty((len(p), len(q)))
-    own = np.where(p > 0, p * np.log2(np.maximum(p, 1e-12)), 0).sum(1)
-    for j, x in enumerate(q):
-        m = (p + x) / 2
-        out[:, j] = own / 2 + np.where(x > 0, x * np.log2(np.maximum(x, 1e-12)), 0).sum() / 2 - np.where(m > 0, m * np.log2(np.maximum(m, 1e-12)), 0).sum(1)
-    return out
+    p, q = p.astype(np.float32), q.astype(np.float32)
+    least = np.float32(1e-12)
+    entropy = lambda x: (x * np.log2(np.maximum(x, least))).sum(1)
+    own, theirs = entropy(p), entropy(q)
+    return np.stack([(own + theirs[j]) / 2 - entropy((p + x) / 2) for j, x in enumerate(q)], 1)
 
 
 def distributions(lines: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The shares of character classes and of token classes, and how it begins, ends and how long it is, per line."""
+    """The shares of character classes, and of those between words, the shares of token classes, and how it begins, ends and how long it is, per line."""
     begin = np.select([lines.low, lines._begin == 1, lines._begin == 2], [0, 1, 2], 3)
     end = np.select([lines.last_end, lines._end == 1, lines._end == 2], [0, 1, 2], 3)
     size = np.searchsorted([2, 4, 7, 13], lines.tokens.sum(1), "right")
-    return (*(x / np.maximum(1, x.sum(1, keepdims=True)) for x in (lines.chars, lines.tokens)), np.stack([begin, end, size]))
+    chars, between, tokens = (x / np.maximum(1, x.sum(1, keepdims=True)) for x in (lines.chars, lines.chars[:, BETWEEN:], lines.tokens))
+    return np.concatenate([chars, between], 1), tokens, np.stack([begin, end, size])
 
 
 def one_hot_divergence(shares: np.ndarray) -> np.ndarray:
@@ -263,9 +266,11 @@ def weak_labels(lines: Lines, kinds: np.ndarray) -> np.ndarray:
     share = lambda *names: t[:, [TOKENS.index(x) for x in names]].sum(1) / n
     count = lambda name: lines.chars[:, CHARS.index(name)]
     ink = np.maximum(1, lines.ink)
-    junk = (share("voiceless", "oversized") >= 0.6) | (count("odd") >= 0.4 * ink) | (share("echo") >= 0.6) & (share("function") <= 0.1) & (n >= 4)
+    junk = (share("voiceless", "oversized") >= 0.6) | (count("odd") + count("accented") >= 0.4 * ink) | (share("echo") >= 0.6) & (share("function") <= 0.1) & (n >= 4)
     rule = (lines.letters == 0) & (ink >= 4) & (lines.dashes + count("separator") >= 0.9 * ink)
-    table = count("separator") >= 2
+    parted, n_texts = count("separator") >= 1, int(lines.row.max(initial=-1)) + 1
+    most = np.bincount(lines.row, weights=parted, minlength=n_texts) * 2 > np.bincount(lines.row, weights=lines.ink > 0, minlength=n_texts)
+    table = (count("separator") >= 2) | parted & most[lines.row]  # cells in most lines of a text
     short = (n <= 6) & ~lines.last_end & (count("inner") == 0) & ~lines.low & (lines.letters >= 3) & (kinds != 1)
     full = np.flatnonzero(lines.ink > 0)
     near = np.zeros(len(lines.starts), bool)
@@ -277,22 +282,28 @@ def weak_labels(lines: Lines, kinds: np.ndarray) -> np.ndarray:
     prose = (n >= 6) & (share("function") >= 0.15) & (lines.last_end | (count("inner") > 0) | (n >= 8))
     out = np.select([kinds == 1, rule, junk, table, listed, prose], [4, 2, 3, 2, 1, 0], -1)
     out[lines.ink == 0] = -1
+    # a text that is no prose is mostly of one kind: the guesses that differ from its most frequent one follow it
+    other = np.isin(out, [1, 2, 3])
+    votes = np.zeros((n_texts, 5), np.int64)
+    np.add.at(votes, (lines.row[other], out[other]), 1)
+    out[other] = votes.argmax(1)[lines.row[other]]
     return out
 
 
 def clusters(x: np.ndarray, most: int) -> np.ndarray:
-    """The cluster of each row: farthest rows first, then means, in the metric of square roots (Hellinger)."""
+    """The cluster of each row, -1 for strays: seeded k-means in the metric of square roots (Hellinger)."""
     z = np.sqrt(x)
-    seeds = [int(((z - z.mean(0)) ** 2).sum(1).argmin())]
-    gap = ((z - z[seeds[0]]) ** 2).sum(1)
-    while len(seeds) < most and gap.max(initial=0) > 0.05:
-        seeds.append(int(gap.argmax()))
-        gap = np.minimum(gap, ((z - z[seeds[-1]]) ** 2).sum(1))
-    means = z[seeds]
+    rnd = np.random.default_rng(0)
+    means = z[[int(((z - z.mean(0)) ** 2).sum(1).argmin())]]
+    gap = ((z - means[0]) ** 2).sum(1)
+    while len(means) < most and gap.sum() > 0.01 * len(z):
+        means = np.concatenate([means, z[[int(rnd.choice(len(z), p=gap / gap.sum()))]]])
+        gap = np.minimum(gap, ((z - means[-1]) ** 2).sum(1))
     for _ in range(12):
         of = np.stack([((z - m) ** 2).sum(1) for m in means], 1).argmin(1)
         means = np.array([z[of == k].mean(0) if (of == k).any() else m for k, m in enumerate(means)])
-    return of
+    size = np.bincount(of, minlength=len(means))
+    return np.where(size[of] * 200 >= len(z), of, -1)
 
 
 class Profiles:
@@ -300,25 +311,18 @@ class Profiles:
 
     def __init__(self, texts: list[str], kinds: list[dict[int, int]]) -> None:
         extra = [(x, SHAPES.index(s)) for s, xs in EXAMPLES.items() for x in xs]
-        lines = Lines(*to_codepoints(pa.array([*texts, *(x for x, _ in extra)], pa.string())))
-        first = np.searchsorted(lines.row, np.arange(len(texts) + 1))
-        kind = np.zeros(len(lines.starts), np.int64)
-        for r, of in enumerate(kinds):
-            for i, k in of.items():
-                if 0 <= i < first[r + 1] - first[r]:
-                    kind[first[r] + i] = k
-        label = weak_labels(lines, kind)
-        label[first[len(texts)] :] = [s for _, s in extra]
-        chars, tokens, form = distributions(lines)
+        parts = [self._learn(texts[a:b], kinds[a:b]) for a, b in slices(np.array([len(t) for t in texts]), 500_000)]
+        parts.append(self._learn([x for x, _ in extra], [{} for _ in extra], np.array([s for _, s in extra])))
+        chars, tokens, form, label, kind, words, prose = (np.concatenate([p[i] for p in parts], 1 if i == 2 else 0) for i in range(7))
         self.shape: list[int] = []
         means: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.kind = np.zeros((len(SHAPES), 3))  # a line that the outline does not list says nothing
         for s in range(len(SHAPES)):
             at = np.flatnonzero(label == s)
-            of = clusters(np.concatenate([chars[at], tokens[at]], 1) / 2, KINDS_OF_LINES)
+            of = clusters(np.concatenate([chars[at], tokens[at]], 1) / 3, KINDS_OF_LINES)
             seen = np.bincount(kind[at], minlength=3)[1:] + 0.5
             self.kind[s, 1:] = one_hot_divergence(seen / seen.sum())
-            for k in np.unique(of):
+            for k in np.unique(of[of >= 0]):
                 mine = at[of == k]
                 shares = [np.bincount(x[mine], minlength=n) / len(mine) for x, n in zip(form, FORMS)]
                 means.append((chars[mine].mean(0), tokens[mine].mean(0), np.concatenate([one_hot_divergence(x) / 2 for x in shares])))
@@ -326,18 +330,31 @@ class Profiles:
         self.chars, self.tokens, self.form = (np.array([m[i] for m in means]) for i in range(3))
         self.of = np.array(self.shape)
         # the prose of each language: documents mostly of prose, by whose words they have most of
-        n = len(texts) + len(extra)
-        words = document_words(lines, n)
-        prose = np.bincount(lines.row[label == 0], minlength=n) * 2 > np.bincount(lines.row[lines.ink > 0], minlength=n)
         speech = np.stack([words[:, :-1][:, own].sum(1) for own in _languages()], 1).argmax(1)
         self.prose = np.array([words[prose & (speech == g)].mean(0) if (prose & (speech == g)).any() else words.mean(0) for g in range(len(_languages()))])
 
+    @staticmethod
+    def _learn(texts: list[str], kinds: list[dict[int, int]], given: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Distributions, labels and the outline's kinds of all lines; the words of each text, and whether it is mostly prose."""
+        n = len(texts)
+        lines = Lines(*to_codepoints(pa.array(texts, pa.string())))
+        first = np.searchsorted(lines.row, np.arange(n + 1))
+        kind = np.zeros(len(lines.starts), np.int64)
+        for r, of in enumerate(kinds):
+            for i, k in of.items():
+                if 0 <= i < first[r + 1] - first[r]:
+                    kind[first[r] + i] = k
+        label = weak_labels(lines, kind) if given is None else given
+        prose = np.bincount(lines.row[label == 0], minlength=n) * 2 > np.bincount(lines.row[lines.ink > 0], minlength=n)
+        return *distributions(lines), label, kind, document_words(lines, n), prose
+
     def compare(self, lines: Lines, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Divergence of each line from each shape; the language of each document and its divergence from its prose."""
         d = divergence(document_words(lines, n), self.prose)
         language, own = d.argmin(1), d.min(1)
         chars, tokens, form = distributions(lines)
-        each = divergence(chars, self.chars) + divergence(tokens, self.tokens)
+        n_chars = len(CHARS)
+        each = divergence(chars[:, :n_chars], self.chars[:, :n_chars]) + divergence(chars[:, n_chars:], self.chars[:, n_chars:]) + divergence(tokens, self.tokens)
         for x, start in zip(form, np.cumsum([0, *FORMS])):
             each += self.form[:, start + x].T
         out = np.stack([each[:, self.of == s].min(1) for s in range(len(SHAPES))], 1)
@@ -349,7 +366,7 @@ COUNTS = ["n_chars", "lines", "words", "word_chars", "ends", "symbols", "inked",
 
 
 def batch_quality(arr: pa.Array, profiles: Profiles) -> dict[str, np.ndarray]:
-    """The statistics of every text of a batch, and for each line with text its number and its divergence from each shape in thousandths."""
+    """The statistics of every text of a batch, and for each line with text its number and its divergence from each shape."""
     codes, offsets = to_codepoints(arr)
     lines = Lines(codes, offsets)
     n = len(offsets) - 1
@@ -360,19 +377,20 @@ def batch_quality(arr: pa.Array, profiles: Profiles) -> dict[str, np.ndarray]:
     out = {"n_chars": np.diff(offsets), "lines": add(full.astype(float)), "words": add(lines.words), "word_chars": add(lines.word_chars), "ends": add(lines.last_end.astype(float), full)}
     out |= {"symbols": add(symbols), "inked": add(lines.ink), "common": add(lines.tokens[:, 0]), "tokens": add(lines.tokens.sum(1))}
     number = np.arange(len(lines.row)) - np.searchsorted(lines.row, lines.row)
-    return out | {"language": language, "language_divergence": own, "row": lines.row[full], "number": number[full], "d": np.round(d[full] * 1000)}
+    return out | {"language": language, "language_divergence": own, "row": lines.row[full], "number": number[full], "d": d[full]}
 
 
 def sampled(books: DataFrame, outline: DataFrame | None) -> Profiles:
-    """The profiles of the sample: ``SAMPLE_BOOKS`` rows at most come to the driver, with their entries."""
-    h = F.xxhash64(F.col("book_id").cast("string"))
-    rows = books.select("book_id", "text", h.alias("h")).where("text is not null").orderBy("h", F.md5("text")).limit(SAMPLE_BOOKS)
-    if outline is None:
-        picked = rows.withColumn("kinds", F.lit(None).cast("map<int,int>"))
-    else:
-        picked = rows.join(_entries(outline), "book_id", "left")
-    got = picked.select("text", "kinds").collect()
-    return Profiles([r.text for r in got], [r.kinds or {} for r in got])
+    """The profiles of the sample: one text each of ``SAMPLE_BOOKS`` books comes to the driver, with the entries of those books."""
+    rows = books.select("book_id", "text", F.xxhash64(F.col("book_id").cast("string")).alias("h")).where("text is not null")
+    least = [r.h for r in rows.select("h").distinct().orderBy("h").limit(SAMPLE_BOOKS).collect()]
+    got = rows.where(F.col("h") <= least[-1]).groupBy("book_id").agg(F.min("text").alias("text")).collect() if least else []
+    of: dict = {}
+    if outline is not None and least:
+        mine = outline.where(F.xxhash64(F.col("book_id").cast("string")) <= least[-1])
+        of = {r.book_id: r.kinds for r in _entries(mine).collect()}
+    got.sort(key=lambda r: str(r.book_id))
+    return Profiles([r.text for r in got], [of.get(r.book_id, {}) for r in got])
 
 
 def _entries(outline: DataFrame) -> DataFrame:
@@ -389,40 +407,39 @@ def text_quality(books: DataFrame, outline: DataFrame | None = None) -> DataFram
         outline = outline.withColumn("level", F.lit(None).cast("int"))
     profiles = sampled(books, outline)
     shared = spark.sparkContext.broadcast(profiles)
-    line = "struct<i:int," + ",".join(f"{s}:smallint" for s in SHAPES) + ">"
-    schema = f"book_id {dict(books.dtypes)['book_id']}, digest string, " + ", ".join(f"{k} bigint" for k in COUNTS) + f", language string, language_divergence double, d array<{line}>"
+    kind = dict(books.dtypes)["book_id"]
+    schema = f"book_id {kind}, digest string, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", language string, language_divergence double, divergence double, at binary, d binary"
     wanted = _arrow_schema(spark, schema)
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = shared.value
         names = np.array(list(FUNCTION_WORDS))
         for batch in batches(it, "text", 1_000_000):
+            n = batch.num_rows
             q = batch_quality(batch.column("text"), profiles)
-            ends = np.searchsorted(q["row"], np.arange(batch.num_rows + 1)).astype(np.int32)
-            items = pa.StructArray.from_arrays([pa.array(q["number"].astype(np.int32)), *(pa.array(q["d"][:, s].astype(np.int16)) for s in range(len(SHAPES)))], names=["i", *SHAPES])
-            lists = pa.ListArray.from_arrays(pa.array(ends), items).cast(wanted.field("d").type)
-            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("digest"), *(pa.array(q[k].astype(np.int64)) for k in COUNTS), pa.array(names[q["language"]]), pa.array(q["language_divergence"]), lists], schema=wanted)
+            ends = np.searchsorted(q["row"], np.arange(n + 1)).tolist()
+            at, d = q["number"].astype(np.int32), np.minimum(np.round(q["d"] * 1000), 20_000).astype(np.int16)
+            lists = [pa.array([x[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()) for x in (at, d)]
+            total = np.bincount(q["row"], weights=q["d"][:, 0], minlength=n)
+            yield pa.RecordBatch.from_arrays([batch.column("book_id"), batch.column("digest"), *(pa.array(q[k].astype(np.int64)) for k in COUNTS), pa.array(names[q["language"]]), pa.array(q["language_divergence"].astype(float)), pa.array(total), *lists], schema=wanted)
 
-    raw = books.select("book_id", F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(run, schema).dropDuplicates(["book_id", "digest"])
+    raw = books.select("book_id", F.md5("text").alias("digest"), "text").where("text is not null").mapInArrow(compared, schema).dropDuplicates(["book_id", "digest"])
     raw = raw.withColumn("kinds", F.lit(None).cast("map<int,int>")) if outline is None else raw.join(_entries(outline), "book_id", "left")
-    kind = lambda x: F.coalesce(F.element_at("kinds", x["i"]), F.lit(0))
-    shift = (profiles.kind * 1000).round().astype(int).tolist()
-
-    head = SHAPES.index("heading")
-
-    def nearest(x: Column) -> Column:
-        total = [x[s] + F.element_at(F.array(*map(F.lit, shift[n])), kind(x) + 1) for n, s in enumerate(SHAPES)]
-        total[head] = F.when(kind(x) == 1, total[head]).otherwise(F.lit(30000))  # a title that no heading marks may be an item of a list
-        return F.array_position(F.array(*total), F.array_min(F.array(*total))).cast("int") - 1
-
-    top = F.array_min(F.map_keys(F.map_filter("kinds", lambda k, v: v == 1)))
-    shapes = F.transform("d", lambda x: F.struct(x["i"].alias("i"), nearest(x).alias("s")))
-    # what stands above the first heading, or first of all, and is no text, table or junk belongs to the title
-    titled = F.transform("sh", lambda x, n: F.when(((n == 0) | (x["i"] < F.coalesce(F.col("top"), F.lit(0)))) & x["s"].isin(SHAPES.index("list"), head), F.lit(head)).otherwise(x["s"]))
-    counted = raw.withColumn("top", top).withColumn("sh", shapes).withColumn("sh", titled)
-    of = lambda n: F.size(F.filter("sh", lambda x: x == n)).cast("bigint")
-    counted = counted.withColumns({s: of(n) for n, s in enumerate(SHAPES)})
-    counted = counted.withColumn("divergence", F.aggregate("d", F.lit(0.0), lambda a, x: a + x["prose"] / 1000))
+    keep = [c for c in raw.columns if c not in ("at", "d", "kinds")]
+    schema2 = f"book_id {kind}, digest string, " + ", ".join(f"{k} bigint" for k in COUNTS) + ", language string, language_divergence double, divergence double, " + ", ".join(f"{k} bigint" for k in [*SHAPES, "outline_headings", "outline_items"])
+    wanted2 = _arrow_schema(spark, schema2)
+
+    def counted(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = shared.value.kind * 1000
+        for batch in it:
+            held = batch.column("kinds").to_pylist()
+            out = []
+            for at, d, kinds in zip(batch.column("at").to_pylist(), batch.column("d").to_pylist(), held):
+                out.append(_count_shapes(np.frombuffer(at, np.int32), np.frombuffer(d, np.int16).reshape(-1, len(SHAPES)), dict(kinds or {}), shift))
+            values = np.array(out, np.int64).reshape(-1, len(SHAPES) + 2)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(values[:, j]) for j in range(values.shape[1]))], schema=wanted2)
+
+    counted_ = raw.select(*keep, "at", "d", "kinds").mapInArrow(counted, schema2)
     share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
     kinds = F.greatest("list", "table", "junk")
     shape = (
@@ -432,10 +449,33 @@ def text_quality(books: DataFrame, outline: DataFrame | None = None) -> DataFram
         .when(F.col("table") == kinds, "table")
         .otherwise("list")
     )
-    entries = lambda k: F.coalesce(F.size(F.map_filter("kinds", lambda _, v: v == k)), F.lit(0)).cast("bigint")
-    return counted.select(
+    return counted_.select(
         "book_id", "digest", "n_chars", "lines", "words",
         share("word_chars", "words").alias("mean_word_length"), share("words", "lines").alias("words_per_line"), share("symbols", "inked").alias("symbol_ratio"),
         share("ends", "lines").alias("end_share"), share("common", "tokens").alias("common_share"), "language", "language_divergence", share("divergence", "lines").alias("prose_divergence"),
-        *(F.col(k).alias(f"{k}_lines") for k in SHAPES), shape.alias("shape"), entries(1).alias("outline_headings"), entries(2).alias("outline_items"),
+        *(F.col(k).alias(f"{k}_lines") for k in SHAPES), shape.alias("shape"), "outline_headings", "outline_items",
     )
+
+
+def _count_shapes(at: np.ndarray, d: np.ndarray, kinds: dict[int, int], shift: np.ndarray) -> list[int]:
+    """Lines of each shape, and the outline's headings and items. d: divergence of each line ``at`` from each shape.
+
+    A title that the outline doesn't mark may be an item of a list, so only marked lines are headings; but the
+    first line, if it is no prose or junk, and up to ``TITLE_PAGE`` such lines above the first heading are a title.
+    """
+    entries = [sum(v == k for v in kinds.values()) for k in (1, 2)]
+    if not len(at):
+        return [0] * len(SHAPES) + entries
+    head = SHAPES.index("heading")
+    kind = np.zeros(len(at), np.int64)
+    if kinds:
+        lines, values = np.array(sorted(kinds.items())).T
+        where = np.minimum(np.searchsorted(lines, at), len(lines) - 1)
+        kind = np.where(lines[where] == at, values[where], 0)
+    total = d + shift.T[kind]
+    total[kind != 1, head] = 1e9
+    shape = total.argmin(1)
+    top = min((i for i, k in kinds.items() if k == 1), default=0)
+    title = (np.arange(len(at)) == 0) | (at < top) & ((at < top).sum() <= TITLE_PAGE)
+    shape[title & (shape != SHAPES.index("prose")) & (shape != SHAPES.index("junk"))] = head
+    return [*np.bincount(shape, minlength=len(SHAPES)).tolist(), *entries]
