@@ -110,6 +110,27 @@ def test_packing_fills_and_never_overflows():
     assert len(packing.pack([7, 5, 5, 4, 4, 4, 3, 3, 3, 2], 20)) == 2
 
 
+def test_packing_beats_best_fit_on_triplets():
+    rnd, ours, fits, n = random.Random(5), 0, 0, 20
+    for seed in range(4):
+        sizes = []
+        for _ in range(n):  # three items fill a container exactly
+            a = rnd.randint(380, 490)
+            b = rnd.randint(250, (1000 - a) - 250)
+            sizes += [a, b, 1000 - a - b]
+        first = []
+        packing.best_fit(sizes, list(range(len(sizes))), first, [], 1000)
+        bins = packing.pack(sizes, 1000, seed)
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 1000 for b in bins)
+        ours, fits = ours + len(bins), fits + len(first)
+    assert ours <= fits - 4 and ours <= 4 * (n + 1)
+
+
+def test_lower_bound_of_many_items():
+    sizes = [51] * 500 + [30] * 500  # a small item goes with each large one
+    assert packing.lower_bound(sizes, 100) == 500 and packing.lower_bound([], 100) == 0 and packing.lower_bound([60] * 7 + [41] * 7, 100) == 10
+
+
 def test_crossover_keeps_every_item_once():
     sizes = [RND.randint(1, 50) for _ in range(60)]
     a, b = [], []
@@ -145,7 +166,14 @@ def test_large_group_is_spread_and_stays_whole(spark, monkeypatch):
     load = Counter()
     for r in got:
         load[r.container] += r.size
-    assert max(load.values()) <= 100 and len(load) <= 1.1 * sum(sizes) / 100
+    assert max(load.values()) <= 100 and len(load) <= 1.06 * sum(sizes) / 100
+
+
+def test_a_group_that_fills_no_container_well_ends(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 20)
+    df = spark.createDataFrame([("hot", f"i{k}", 41) for k in range(301)], "grp string, item string, size int")
+    got = packing.pack_items(df, 100).collect()
+    assert len(got) == 301 and len({r.container for r in got}) == 151  # two to a container, the odd ones brought together
 
 
 # -- scans
