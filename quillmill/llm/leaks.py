@@ -8,8 +8,12 @@ the seeds; a document is compared only with items it shares a seed with. There t
 run of unmarked words is found by Karp-Rabin over growing and shrinking window lengths, marked, and
 so on until no run of ``min_tile`` words is left. The first tile is the longest common run.
 
-The items are broadcast in blocks of at most ``ITEM_BYTES`` of text, one pass over the documents per
-block, so their number is not bounded. Documents are never shuffled.
+A document leaks an item if the longest run has ``RUN`` words, or if its tiles cover ``COVERAGE`` of the item,
+which also finds passages whose parts come in another order.
+
+The items are broadcast in blocks of at most ``ITEM_BYTES`` of text, so their number is not bounded. The
+documents are read and hashed once: a task looks a stretch of them up in one block after the other, and
+keeps ``HELD_BLOCKS`` blocks ready. Documents are never shuffled.
 
 Defined results: null and blank texts have no words and match nothing; items shorter than the seed
 match nothing; repeated rows count once; extra columns are ignored.
@@ -33,6 +37,10 @@ from quillmill.llm.normalise import TOP, normalise_codes
 
 #: Text of evaluation items held by a task at once.
 ITEM_BYTES = 8_000_000
+#: Blocks of items that a task keeps ready, and batches of documents that it looks up in each block in turn.
+HELD_BLOCKS, STRETCH = 3, 8
+#: Words in a row, or share of an item in tiles, from which a document leaks the item.
+RUN, COVERAGE = 12, 0.5
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
@@ -180,39 +188,51 @@ class Items:
 
 
 def leaks(documents: DataFrame, items: DataFrame, seed: int = 8, min_tile: int | None = None, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, doc_id, longest, n_tiles, matched, item_words, coverage) of every document that shares a seed with an item."""
+    """(item_id, doc_id, longest, n_tiles, matched, item_words, coverage, leaked) of every document that shares a seed with an item."""
     least = min_tile or seed
     spark = documents.sparkSession
     items = items.select(item_id, text).where(F.col(text).isNotNull()).distinct()
     size = items.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, math.ceil(size / ITEM_BYTES))
-    schema = f"item_id {dict(items.dtypes)[item_id]}, doc_id {dict(documents.dtypes)[doc_id]}, longest int, n_tiles int, matched int, item_words int, coverage double"
-    docs = documents.select(doc_id, text).where(F.col(text).isNotNull())
-    out = None
+    names = ("item_id", "doc_id", "longest", "n_tiles", "matched", "item_words", "coverage", "leaked")
+    schema = f"item_id {dict(items.dtypes)[item_id]}, doc_id {dict(documents.dtypes)[doc_id]}, longest int, n_tiles int, matched int, item_words int, coverage double, leaked boolean"
+    wanted = _arrow_schema(spark, schema)
+    shared = []
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64(item_id, text), F.lit(blocks)) == k).orderBy(item_id, text).collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block]))
+        shared.append(spark.sparkContext.broadcast(([r[0] for r in block], [r[1] for r in block])))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(HELD_BLOCKS)
+        def held(k: int) -> Items:
+            return Items(*shared[k].value, seed)
 
-        def run(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            held = Items(*shared.value, seed)
-            for batch in batches(it, text):
-                hashes, offsets = word_hashes(batch.column(1))
-                codes = held.code(hashes)
+        def look_up(waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+            for k in range(blocks):
                 rows = []
-                for r, owners in held.candidates(codes, offsets).items():
-                    key = batch.column(0)[r].as_py()
-                    for n in owners:
-                        tiles = tile(held.words[n], codes[offsets[r] : offsets[r + 1]], least)
-                        if tiles:
-                            matched = sum(t[2] for t in tiles)
-                            rows.append((held.ids[n], key, tiles[0][2], len(tiles), matched, len(held.words[n]), matched / len(held.words[n])))
+                for keys, hashes, offsets in waiting:
+                    codes = held(k).code(hashes)
+                    for r, owners in held(k).candidates(codes, offsets).items():
+                        for n in owners:
+                            words = held(k).words[n]
+                            tiles = tile(words, codes[offsets[r] : offsets[r + 1]], least)
+                            if tiles:
+                                matched = sum(t[2] for t in tiles)
+                                cover = matched / len(words)
+                                rows.append((held(k).ids[n], keys[r].as_py(), tiles[0][2], len(tiles), matched, len(words), cover, tiles[0][2] >= RUN or cover >= COVERAGE))
                 if rows:
-                    yield pa.RecordBatch.from_pydict({c: [x[i] for x in rows] for i, c in enumerate(("item_id", "doc_id", "longest", "n_tiles", "matched", "item_words", "coverage"))}, schema=wanted)
+                    yield pa.RecordBatch.from_pydict({c: [x[i] for x in rows] for i, c in enumerate(names)}, schema=wanted)
 
-        wanted = _arrow_schema(spark, schema)
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.distinct()
+        waiting: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
+        for batch in batches(it, text):
+            waiting.append((batch.column(0), *word_hashes(batch.column(1))))
+            if len(waiting) >= STRETCH or blocks <= HELD_BLOCKS:
+                yield from look_up(waiting)
+                waiting = []
+        yield from look_up(waiting)
+
+    docs = documents.select(doc_id, text).where(F.col(text).isNotNull())
+    return docs.mapInArrow(run, schema).distinct()
 
 
 def _arrow_schema(spark, ddl: str) -> pa.Schema:
