@@ -204,8 +204,9 @@ def same_look_pairs(df: DataFrame, key: str = "book_id", column: str = "text") -
     """Pairs of different keys whose texts differ in code points but share the consistent form.
 
     Only digests travel: (key, digest of the text, digest of its form). Repeated rows count once,
-    null keys and texts have no pair. Forms with a single text are dropped before the join, so a
-    large group of exact copies never reaches it.
+    null keys and texts have no pair. Forms with a single spelling are dropped before the join, so a
+    large group of exact copies never reaches it; the pairs of two spellings are as many as their rows multiplied,
+    which is the result asked for (``look_classes`` gives one row per text instead).
     """
     digests = (
         normalise_text(df.select(key, column).where(F.col(key).isNotNull() & F.col(column).isNotNull()), column, "__form")
@@ -213,10 +214,15 @@ def same_look_pairs(df: DataFrame, key: str = "book_id", column: str = "text") -
         .distinct()
     )
     digests = cut(digests)  # else the texts would be normalised once for the forms and again for the pairs
-    forms = digests.groupBy("form").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select("form")
-    several = digests.join(forms, "form", "left_semi")
-    a, b = several.alias("a"), several.alias("b")
-    return a.join(b, (F.col("a.form") == F.col("b.form")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.k") < F.col("b.k"))).select(F.col("a.k").alias(f"{key}_a"), F.col("b.k").alias(f"{key}_b")).distinct()
+    spelt = digests.select("form", "raw").distinct()
+    forms = spelt.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
+    several = spelt.join(forms, "form", "left_semi")
+    # spellings are paired, not rows; the rows of a spelling come in last, by its own digest
+    a, b = several.select("form", F.col("raw").alias("raw_a")), several.select("form", F.col("raw").alias("raw_b"))
+    spellings = a.join(b, "form").where("raw_a < raw_b").select("raw_a", "raw_b")
+    ids = lambda c: digests.select(F.col("raw").alias(f"raw_{c}"), F.col("k").alias(f"k_{c}")).distinct()
+    both = spellings.join(ids("a"), "raw_a").join(ids("b"), "raw_b").where("k_a <> k_b")
+    return both.select(F.least("k_a", "k_b").alias(f"{key}_a"), F.greatest("k_a", "k_b").alias(f"{key}_b")).distinct()
 
 
 def look_classes(df: DataFrame, key: str = "book_id", column: str = "text") -> DataFrame:

@@ -310,7 +310,10 @@ def test_leaks(spark, monkeypatch):
     docs = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("doc_id", "text", "1 as longest")
     got = {r.doc_id: (r.item_id, r.longest, r.matched) for r in leaks.leaks(docs, items, 8).collect()}
     assert got == {10: (1, 14, 14), 11: (1, 11, 11), 14: (1, 12, 12), 15: (1, 10, 20)}
+    assert {r.doc_id: r.leaked for r in leaks.leaks(docs, items, 8).collect()} == {10: True, 11: True, 14: True, 15: True}
+    assert not leaks.leaks(docs.where("doc_id = 11").selectExpr("doc_id", "substring(text, 1, 24) as text"), items, 8).first().leaked
     monkeypatch.setattr(leaks, "ITEM_BYTES", 10)  # many blocks give the same rows
+    monkeypatch.setattr(leaks, "HELD_BLOCKS", 1)
     assert {r.doc_id for r in leaks.leaks(docs, items, 8).collect()} == set(got)
     assert leaks.leaks(docs, items.limit(0), 8).count() == leaks.leaks(docs.limit(0), items, 8).count() == 0
 
