@@ -200,7 +200,7 @@ SELECT job_key, i, CAST(k AS INTEGER) AS pack, arg_max(packed, n) AS packed FROM
 def pack_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "chunks").where("pieces is not null").select("job_key", "i", "pieces").distinct()
     parts = F.filter(F.transform("pieces", T.trim), lambda x: x != "")
-    return d.withColumn("parts", parts).select("job_key", "i", F.posexplode(S.pack_into(F.col("parts"), 500)).alias("pack", "packed"))
+    return S.pack_parts(d.withColumn("parts", parts), ["job_key", "i"], "parts", 500)
 
 
 @register("count_matches", f"WITH {Q.BOOKS} SELECT book_id, CAST((length(lower(text)) - length(replace(lower(text), 'the ', ''))) / 4 AS INTEGER) AS the_, CAST((length(lower(text)) - length(replace(lower(text), 'er', ''))) / 2 AS INTEGER) AS er, 0 AS one FROM b")

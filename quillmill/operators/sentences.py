@@ -1,16 +1,23 @@
-"""Sentences and chunks, folded inside the row: no shuffle and no Python.
+"""Sentences and chunks.
 
-A boundary is decided from the text on both sides of it alone, so a text is cut into segments by one
-regular expression, each segment is marked by whether a sentence ends there, and the marked text is
-split at the marks.
+A boundary is decided from the text on both sides of it alone. ``sentences`` does so inside an expression,
+for short texts; the table operators take whole texts, one Arrow batch after the other, find the boundaries
+with one pass of a regular expression, and fold sentences into chunks while they are at it. Texts are not
+shuffled, nothing is gathered again, and the work is linear in the length of a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from quillmill.functions.text import ABBREVIATIONS, HEADING_WORD, WS, col, count_words, end_cleanly, trim
+from quillmill.functions.text import ABBREVIATIONS, HEADING_WORD, WS, WS_CHARS, col, trim
 
 CUT = "\x01"
 SEGMENT = rf"((?s).*?[.!?]+[\"'’)\]]*{WS}+|(?s).+\z)"
@@ -43,26 +50,114 @@ def paragraphs(c: Column | str) -> Column:
     return F.filter(F.transform(F.split(col(c), "\n{2,}"), trim), lambda p: p != "")
 
 
+BOUNDARY = re.compile(f"([.!?]+)[\"'’)\\]]*{WS}+")
+LAST_WORD = re.compile(f"[^{WS[1:-1]}]*\\Z")
+OPENER = re.compile("[\"'“‘(\\[A-Z0-9]")
+PARAGRAPH = re.compile("\n{2,}")
+HEADING = re.compile(HEADING_WORD, re.ASCII)
+WORDS = re.compile(f"[^{WS[1:-1]}]+")
+CLAUSE = re.compile(f"(?<=[,;:]){WS}+")
+SHORT = frozenset(ABBREVIATIONS)
+ASCII_DIGITS = frozenset("0123456789")
+
+
+def sentence_list(text: str) -> list[str]:
+    """The sentences of a text as ``sentences`` gives them."""
+    text = text.replace(CUT, " ")
+    out, start, n, seg = [], 0, len(text), 0
+    for m in BOUNDARY.finditer(text):
+        end = m.end()
+        begin, seg = seg, end
+        if end == n or not OPENER.match(text, end):
+            continue
+        if m[1] == ".":
+            at = m.start()
+            if at > begin and text[at - 1] in ASCII_DIGITS and text[end] in ASCII_DIGITS:
+                continue
+            k = at
+            while k > begin and text[k - 1] not in WS_CHARS:
+                k -= 1
+            bare = "".join(c for c in text[k:at] if c.isascii() and c.isalpha()).lower()
+            if len(bare) == 1 or bare in SHORT:
+                continue
+        if x := text[start:end].strip(WS_CHARS):
+            out.append(x)
+        start = end
+    if x := text[start:].strip(WS_CHARS):
+        out.append(x)
+    return out
+
+
+def paragraph_list(text: str) -> list[str]:
+    return [x for p in PARAGRAPH.split(text) if (x := p.strip(WS_CHARS))]
+
+
+def word_count(text: str) -> int:
+    return len(WORDS.findall(text))
+
+
+def clean_end(text: str) -> str:
+    """Ends on a sentence mark, as ``end_cleanly`` has it."""
+    t = text.strip(WS_CHARS)
+    if not t or re.search("[.!?][\"'’”)\\]]?\\Z", t):
+        return t
+    return re.sub(r"[,;:]+\Z", "", t) + "."
+
+
+def per_text(df: DataFrame, key: str, text: str, fields: str, rows: Callable[[str], list[tuple]]) -> DataFrame:
+    """(key, fields): the rows that ``rows`` makes of each text; none for null texts. No shuffle."""
+    schema = f"{key} {dict(df.dtypes)[key]}, {fields}"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            keys, at = [], 0
+            cols: list[list] = [[] for _ in wanted.names[1:]]
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for row in rows(t):
+                    keys.append(k)
+                    for c, v in zip(cols, row):
+                        c.append(v)
+                if len(keys) - at > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([keys, *cols], wanted)], schema=wanted)
+                    keys, cols = [], [[] for _ in cols]
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([keys, *cols], wanted)], schema=wanted)
+
+    return df.select(key, text).where(F.col(text).isNotNull()).mapInArrow(run, schema)
+
+
 def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, para_idx, sent_idx, sentence, words) of every text."""
-    p = df.select(key, F.posexplode(paragraphs(text)).alias("para_idx", "p"))
-    s = p.select(key, "para_idx", F.posexplode(sentences("p")).alias("sent_idx", "sentence"))
-    return s.withColumn("words", count_words("sentence"))
 
+    def rows(t: str) -> list[tuple]:
+        return [(n, i, x, word_count(x)) for n, p in enumerate(paragraph_list(t)) for i, x in enumerate(sentence_list(p))]
+
+    return per_text(df, key, text, "para_idx int, sent_idx int, sentence string, words int", rows)
+
+
+def chunks_of(text: str, limit: int) -> list[tuple[str, int]]:
+    """(text, chapter) of each chunk."""
+    packs: list[tuple[list[str], int]] = []
+    chapter, size = 0, 0
+    for n, p in enumerate(paragraph_list(text)):
+        chapter += n > 0 and 3 <= len(p) <= 80 and bool(HEADING.match(p))
+        for s in sentence_list(p):
+            w = word_count(s)
+            if not packs or packs[-1][1] != chapter or size + w > limit:
+                packs.append(([], chapter))
+                size = 0
+            packs[-1][0].append(s if s[-1] in ".!?,;:" else s + ".")
+            size += w
+    return [(clean_end(" ".join(x)), c) for x, c in packs]
 
-def greedy_index(sizes: Column, groups: Column, limit: Column | int) -> Column:
-    """For each item in order the number of its pack: a new one where the group changes or ``limit`` would be passed."""
-    lim = F.lit(limit) if isinstance(limit, int) else limit
-    zero = F.struct(F.array().cast("array<int>").alias("idx"), F.lit(-1).alias("k"), F.lit(0).cast("long").alias("sum"), F.lit(None).cast("int").alias("g"))
 
-    def step(a: Column, x: Column) -> Column:
-        new = (a["k"] < 0) | (x["g"] != a["g"]) | (a["sum"] + x["s"] > lim)
-        k = F.when(new, a["k"] + 1).otherwise(a["k"])
-        total = F.when(new, x["s"]).otherwise(a["sum"] + x["s"])
-        return F.struct(F.concat(a["idx"], F.array(k)).alias("idx"), k.alias("k"), total.cast("long").alias("sum"), x["g"].cast("int").alias("g"))
+def _chunk_rows(chunks: list[tuple[str, int]]) -> list[tuple]:
+    follows = [c for _, c in chunks[1:]]
+    return [(i, t, c, i < len(follows) and follows[i] > c, word_count(t)) for i, (t, c) in enumerate(chunks)]
 
-    zipped = F.zip_with(sizes, groups, lambda s, g: F.struct(s.cast("long").alias("s"), g.cast("int").alias("g")))
-    return F.aggregate(zipped, zero, step, lambda a: a["idx"])
+
+CHUNK = "i int, text string, chapter_index int, ends_chapter boolean, words int"
 
 
 def chunk_table(df: DataFrame, key: str, text: str, limit: int = 300) -> DataFrame:
@@ -70,67 +165,68 @@ def chunk_table(df: DataFrame, key: str, text: str, limit: int = 300) -> DataFra
 
     A paragraph that opens like a chapter starts a new chapter and a new chunk; a longer sentence
     stands alone; a sentence without a closing mark gets a full stop; the last chunk never ends a
-    chapter. Blank and null texts have no chunk. The fold runs over one array per text; exploding
-    and gathering again need one shuffle by key in all.
+    chapter. Blank and null texts have no chunk.
     """
-    heading = F.length("__p").between(3, 80) & F.col("__p").rlike(HEADING_WORD)
-    p = df.select(key, F.posexplode(paragraphs(text)).alias("__n", "__p"))
-    p = p.withColumn("__h", F.sum(((F.col("__n") > 0) & heading).cast("int")).over(Window.partitionBy(key).orderBy("__n")))
-    s = p.select(key, "__n", "__h", F.posexplode(sentences("__p")).alias("__m", "__s"))
-    item = F.struct("__n", "__m", F.col("__h").cast("int").alias("g"), count_words("__s").alias("w"), "__s")
-    folded = s.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("__items"))
-    idx = greedy_index(F.transform("__items", lambda x: x["w"]), F.transform("__items", lambda x: x["g"]), limit)
-    rows = folded.select(key, F.explode(F.zip_with("__items", idx, lambda x, k: F.struct(x.alias("x"), k.alias("k")))).alias("e"))
-    last = F.col("e.x.__s")
-    ended = F.when(last.rlike(r"[.!?,;:]\z"), last).otherwise(F.concat(last, F.lit(".")))
-    rows = rows.select(key, F.col("e.k").alias("i"), F.col("e.x.g").alias("g"), F.struct("e.x.__n", "e.x.__m", ended.alias("s")).alias("o"))
-    out = rows.groupBy(key, "i").agg(F.array_join(F.transform(F.sort_array(F.collect_list("o")), lambda x: x["s"]), " ").alias("t"), F.first("g").alias("chapter_index"))
-    ends = F.coalesce(F.lead("chapter_index").over(Window.partitionBy(key).orderBy("i")) > F.col("chapter_index"), F.lit(False))
-    return out.select(key, "i", end_cleanly("t").alias("text"), "chapter_index", ends.alias("ends_chapter")).withColumn("words", count_words("text"))
+    return per_text(df, key, text, CHUNK, lambda t: _chunk_rows(chunks_of(t, limit)))
 
 
 def chunk_lead(df: DataFrame, key: str, text: str, limit: int = 60, lead: int = 25) -> DataFrame:
     """The chunk table with its first chunk cut again to ``lead`` words, so that reading can start soon."""
-    all_ = chunk_table(df, key, text, limit)
-    long = (F.col("i") == 0) & (F.col("words") > lead)
-    first = all_.where(long)
-    short = chunk_table(first.select(key, "text"), key, "text", lead).select(key, F.col("i").alias("__k"), "text")
-    extra = short.groupBy(key).agg((F.count("*") - 1).cast("int").alias("more"))
-    led = short.join(first.select(key, "chapter_index", "ends_chapter"), key).join(extra, key)
-    led = led.select(key, F.lit(0).alias("i"), "__k", "text", "chapter_index", (F.col("ends_chapter") & (F.col("__k") == F.col("more"))).alias("ends_chapter"))
-    rest = all_.where(~long).withColumn("__k", F.lit(0)).select(key, "i", "__k", "text", "chapter_index", "ends_chapter")
-    both = led.unionByName(rest).join(extra, key, "left")
-    place = F.when(F.col("i") == 0, F.col("__k")).otherwise(F.col("i") + F.coalesce("more", F.lit(0)))
-    return both.select(key, place.alias("i"), "text", "chapter_index", "ends_chapter", count_words("text").alias("words"))
-
-
-def pack_into(parts: Column, limit: int | Column) -> Column:
+
+    def rows(t: str) -> list[tuple]:
+        made = _chunk_rows(chunks_of(t, limit))
+        if not made or made[0][4] <= lead:
+            return made
+        _, first, chapter, ends, _ = made[0]
+        led = chunks_of(first, lead)
+        short = [(k, x, chapter, ends and k == len(led) - 1, word_count(x)) for k, (x, _) in enumerate(led)]
+        return short + [(r[0] + len(short) - 1, *r[1:]) for r in made[1:]]
+
+    return per_text(df, key, text, CHUNK, rows)
+
+
+def packed(parts: list[str], limit: int) -> list[str]:
     """Parts joined by single blanks while the result stays within ``limit`` characters."""
-    lim = F.lit(limit) if isinstance(limit, int) else limit
+    out: list[list[str]] = []
+    size = 0
+    for x in parts:
+        if out and size + 1 + len(x) <= limit:
+            out[-1].append(x)
+            size += 1 + len(x)
+        else:
+            out.append([x])
+            size = len(x)
+    return [" ".join(x) for x in out]
 
-    def step(a: Column, x: Column) -> Column:
-        last = F.get(a, F.size(a) - 1)
-        fits = (F.size(a) > 0) & (F.length(last) + 1 + F.length(x) <= lim)
-        return F.when(fits, F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.concat(a, F.array(x)))
 
-    return F.aggregate(parts, F.array().cast("array<string>"), step)
+def pack_parts(df: DataFrame, keys: list[str], parts: str, limit: int) -> DataFrame:
+    """(keys, pack, packed): the parts of each row's array packed; null and empty arrays have none."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pack int, packed string"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
 
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = [packed(x or [], limit) for x in batch.column(len(keys)).to_pylist()]
+            take = pa.array([r for r, x in enumerate(made) for _ in x], pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(take) for n in range(len(keys))), pa.array([n for x in made for n in range(len(x))], pa.int32()), pa.array([t for x in made for t in x], pa.string())], schema=wanted)
 
-def hard_cut(c: Column, limit: int | Column) -> Column:
-    """Slices of ``limit`` characters."""
-    lim = F.lit(limit) if isinstance(limit, int) else limit
-    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(c), F.lit(1)) - 1) / lim).cast("int")), lambda i: F.substring(c, i * lim + 1, lim))
+    return df.select(*keys, parts).mapInArrow(run, schema)
 
 
 def capped_pieces(df: DataFrame, key: str, text: str, limit: int = 400) -> DataFrame:
     """(key, piece_no, piece) within ``limit`` characters: sentences packed; longer ones by clauses, then
     words, then by force. Blank and null texts have no piece."""
-    short = lambda x: F.length(x) <= limit
-    t = df.select(key, trim(text).alias("__t")).where("__t <> ''")
-    s = t.where(~short(F.col("__t"))).select(key, F.posexplode(sentences("__t")).alias("__n", "__s"))
-    c = s.select(key, "__n", F.posexplode(F.when(short(F.col("__s")), F.array("__s")).otherwise(F.split("__s", f"(?<=[,;:]){WS}+"))).alias("__m", "__c"))
-    words = F.flatten(F.transform(F.split("__c", f"{WS}+"), lambda w: F.when(short(w), F.array(w)).otherwise(hard_cut(w, limit))))
-    parts = c.select(key, F.struct("__n", "__m", F.when(short(F.col("__c")), F.array("__c")).otherwise(words).alias("p")).alias("x"))
-    gathered = parts.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["p"])).alias("p"))
-    packed = gathered.select(key, F.posexplode(pack_into(F.col("p"), limit)).alias("piece_no", "piece"))
-    return packed.unionByName(t.where(short(F.col("__t"))).select(key, F.lit(0).alias("piece_no"), F.col("__t").alias("piece")))
+
+    def rows(t: str) -> list[tuple]:
+        t = t.strip(WS_CHARS)
+        if len(t) <= limit:
+            return [(0, t)] if t else []
+        parts: list[str] = []
+        for s in sentence_list(t):
+            for c in [s] if len(s) <= limit else CLAUSE.split(s):
+                for w in [c] if len(c) <= limit else WORDS.findall(c):
+                    parts += [w[k : k + limit] for k in range(0, len(w), limit)]
+        return list(enumerate(packed(parts, limit)))
+
+    return per_text(df, key, text, "piece_no int, piece string", rows)
