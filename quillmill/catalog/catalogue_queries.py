@@ -167,7 +167,12 @@ def http_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("http_status <> 200").select(F.col("http_status").alias("status"), M.http_error(F.col("http_status")).alias("e")).select("status", "e.code", "e.retryable").distinct()
 
 
-@register("speech_rate", "SELECT job_key, CASE WHEN sum(words) >= 40 THEN round(sum(words) * 0.38 / sum(words), 4) ELSE 0.38 END AS seconds_per_word, CAST(sum(words) AS BIGINT) AS words FROM (SELECT DISTINCT job_key, i, words FROM chunks WHERE words IS NOT NULL) GROUP BY job_key")
+@register("speech_rate", """WITH sp AS (SELECT job_key, max(speed) AS speed FROM jobs GROUP BY job_key), j AS (SELECT DISTINCT c.job_key, coalesce(sp.speed, 1.0) AS speed FROM chunks c LEFT JOIN sp USING (job_key)),
+r AS (SELECT job_key, i, received_at, array_to_string(list_filter(pieces, lambda p: p IS NOT NULL), ' ') AS text, words FROM chunks WHERE pieces IS NOT NULL),
+l AS (SELECT job_key, text, words FROM (SELECT *, row_number() OVER (PARTITION BY job_key, i ORDER BY received_at DESC, text COLLATE C DESC, words DESC NULLS LAST) AS rn FROM r WHERE trim(text) <> '') WHERE rn = 1),
+s AS (SELECT l.job_key, l.words, round_even(len(list_filter(regexp_split_to_array(text, '[\\s\\x1c-\\x1f\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda x: x <> '')) * 0.38::DOUBLE * 100 / greatest(j.speed, 0.5), 0) / 100 AS seconds FROM l JOIN j USING (job_key)),
+a AS (SELECT job_key, sum(seconds) AS seconds, sum(words) AS words FROM s GROUP BY job_key)
+SELECT j.job_key, CASE WHEN coalesce(a.words, 0) >= 40 THEN round(a.seconds / a.words, 4) ELSE round(0.38::DOUBLE / greatest(0.5, j.speed), 4) END AS seconds_per_word, CAST(coalesce(a.words, 0) AS BIGINT) AS words FROM j LEFT JOIN a USING (job_key)""")
 def speech_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds a word as the stand-in engine's samples measure them once 40 words are known, else the usual pace at the job's speed."""
     from quillmill.operators import hooks

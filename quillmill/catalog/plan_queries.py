@@ -79,8 +79,8 @@ def outer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", body.alias("body"), F.get_json_object(body, "$.k").alias("k"))
 
 
-@register("level_map", f"""WITH p AS (SELECT c.title AS line, o.level, row_number() OVER (ORDER BY c.book_id, c.line_idx, o.level, c.title) - 1 AS ord FROM (SELECT DISTINCT book_id, line_idx, title FROM chapters WHERE title IS NOT NULL) c JOIN (SELECT DISTINCT book_id, line_idx, level FROM outline_entries WHERE kind = 'heading') o USING (book_id, line_idx)),
-k AS (SELECT {Q.heading_key('line')} AS key, level, ord FROM p WHERE ord < 5000 AND level BETWEEN 1 AND 3) SELECT key, arg_max(level, ord) AS level FROM k WHERE key <> '' GROUP BY key""")
+@register("level_map", f"""WITH p AS (SELECT c.title AS line, o.level, row_number() OVER (PARTITION BY c.book_id ORDER BY c.line_idx, o.level NULLS LAST, c.title) - 1 AS ord, c.book_id FROM (SELECT DISTINCT book_id, line_idx, title FROM chapters WHERE title IS NOT NULL) c JOIN (SELECT DISTINCT book_id, line_idx, level FROM outline_entries WHERE kind = 'heading') o USING (book_id, line_idx)),
+k AS (SELECT book_id, {Q.heading_key('line')} AS key, level, ord FROM p WHERE ord < 5000 AND level BETWEEN 1 AND 3) SELECT book_id, key, arg_max(level, ord) AS level FROM k WHERE key <> '' GROUP BY book_id, key""")
 def level_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The level that the measured headings of each book, 5,000 at most, give each key."""
     from pyspark.sql import Window

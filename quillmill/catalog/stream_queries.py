@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ def progress_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def progress_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same fold as a stream that reads the table's files until none is left."""
     schema = table(spark, sf_dir, "events").schema
-    where = tempfile.mktemp(prefix="progress-", dir=checkpoint_dir(spark).removeprefix("file:"))
+    where = f"{checkpoint_dir(spark)}/progress-{uuid.uuid4()}"
     out = P.run_fold(spark, f"{sf_dir}/events.parquet*", schema, where, "progress_state", key="user_id", at="ts", fields=("event_type", "value"))
     return out.select("user_id", F.date_format("last_at", STAMP).alias("last_at"), "patches", "event_type", "value")
 

@@ -55,7 +55,7 @@ NOT_THE_BOOK_SQL = T.NOT_THE_BOOK.replace(r"\z", "$")
 
 @register(
     "line_tests",
-    f"""WITH {TRIMMED}, u AS (SELECT DISTINCT line, t FROM k WHERE length(line) <= 120)
+    f"""WITH {TRIMMED}, u AS (SELECT DISTINCT line, t FROM k)
 SELECT line, {Q.heading_like('t')} AS heading_like, (length(t) BETWEEN 3 AND 80 AND {Q.has('t', Q.HEADING_WORD)}) AS chapter_heading,
 (length(t) BETWEEN 1 AND 80 AND {Q.has('t', '[A-Za-z0-9]')} AND NOT {Q.has('t', '[.!?,;:"”’]$')} AND NOT {Q.has('t', "^[\"“‘'(]")} AND NOT {Q.has('t', Q.LIST_MARKER)}) AS title_like,
 (length(line) BETWEEN 1 AND 100 AND NOT ({Q.has('line', "^[\"“‘']")} OR {Q.has('line', '[.!]["”’]?$')} OR {Q.has('line', '[.!?]' + Q.WS + '+[A-Z]')} OR ({Q.has('line', '[0-9]')} AND contains(line, ','))
@@ -234,7 +234,7 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(spark, sf_dir).select("book_id", T.excerpts("text").alias("e")).select("book_id", "e.opening", "e.closing")
 
 
-@register("sample_text", f"WITH {Q.BOOKS} SELECT book_id, CASE WHEN length(text) <= 3000 THEN text ELSE substring(text, 1, 1000) || chr(10) || substring(text, CAST(floor(length(text) / 2 - 500) AS INTEGER) + 1, 1000) || chr(10) || right(text, 1000) END AS sample FROM b")
+@register("sample_text", f"WITH {Q.BOOKS} SELECT book_id, CASE WHEN length(text) <= 20000 THEN text ELSE substring(text, 1, 6666) || chr(10) || substring(text, CAST(floor(length(text) / 2 - 3333) AS INTEGER) + 1, 6666) || chr(10) || right(text, 6666) END AS sample FROM b")
 def sample_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books(spark, sf_dir).select("book_id", T.sample_text("text").alias("sample"))
 

@@ -32,15 +32,14 @@ ABBREVIATIONS = (
     "mr mrs ms dr prof rev hon st sr jr vs etc eg ie cf al fig no vol ch pp inc ltd co corp dept est approx min max "
     "jan feb mar apr jun jul aug sep sept oct nov dec"
 ).split()
-# Acronyms kept in capitals.
-ACRONYMS = (
-    "USA US UK UN EU AI PDF CEO CFO CTO COO FBI CIA NASA NATO GDP IMF WHO WTO NHS BBC HIV DNA RNA ATM PIN URL HTTP HTTPS API USB "
-    "TV PC AM PM BC AD IQ EQ CV ID OK PS FAQ DIY ASAP RSVP VIP LLC LTD INC NGO IRS"
-).split()
 # Words written small inside a title, and words that names don't hold.
 SMALL_TITLE_WORD = r"(?i)^(a|an|and|at|by|for|in|of|on|or|the|to|with)\z"
 NOT_IN_NAMES = r"(?i)^(of|the|and|a|an|to|in|on|for|with)\z"
 # A heading that ends on one of these goes on in the next line.
+FUNCTION_WORDS = "a an the of into to by or and for with in on from at as upon over under than toward towards within without is are not your their our its his her my vs".split()
+STRUCTURAL = r"(?i)^(chapter|part|book|section|prologue|epilogue|introduction|foreword|preface|afterword|conclusion|contents|index|notes|appendix|glossary|bibliography|acknowledge?ments)\z"
+# Tags of tracks with a voice in them.
+VOCAL_TAGS = ("vocals", "vocal", "lyrics", "rap", "song", "singing", "acappella", "a_capella", "spoken_word", "male_vocals", "female_vocals", "choir")
 TRAILING_WORD = r"(?i)\b(a|an|the|of|into|to|by|or|and|for|with|in|on|from|at|as|upon|over|under|than|toward|towards|within|without|your|their|our|its|his|her|my)\z"
 
 
@@ -321,10 +320,9 @@ def voice_subtitle(label: Column | str, fallback: Column | str) -> Column:
 
 def split_fused_heading(c: Column | str, rest_words: int = 12) -> Column:
     """struct<title, rest>: a heading and the paragraph run into it, cut at the first small content word."""
-    functions = "a an the of into to by or and for with in on from at as upon over under than toward towards within without is are not your their our its his her my vs".split()
     w = words(c)
     n = F.size(w)
-    at = F.filter(F.sequence(F.lit(2), F.greatest(n - rest_words, F.lit(2))), lambda i: (i <= n - rest_words) & F.get(w, i).rlike("^[a-z]") & ~F.get(w, i).isin(functions) & ~F.get(w, i).contains("-"))
+    at = F.filter(F.sequence(F.lit(2), F.greatest(n - rest_words, F.lit(2))), lambda i: (i <= n - rest_words) & F.get(w, i).rlike("^[a-z]") & ~F.get(w, i).isin(FUNCTION_WORDS) & ~F.get(w, i).contains("-"))
     cut = F.when(n >= rest_words + 2, F.get(at, F.lit(0)))
     whole = F.struct(col(c).alias("title"), F.lit("").alias("rest"))
     return F.when(cut.isNotNull(), F.struct(F.array_join(F.slice(w, F.lit(1), cut), " ").alias("title"), F.array_join(F.slice(w, cut + 1, n), " ").alias("rest"))).otherwise(whole)
@@ -333,23 +331,23 @@ def split_fused_heading(c: Column | str, rest_words: int = 12) -> Column:
 def continues_heading(title: Column | str, following: Column | str) -> Column:
     """Whether the next line belongs to the heading: after a function word, in small letters, or one capitalised word."""
     t, n = col(title), col(following)
-    structural = r"(?i)^(chapter|part|book|section|prologue|epilogue|introduction|foreword|preface|afterword|conclusion|contents|index|notes|appendix|glossary|bibliography|acknowledge?ments)\z"
     small = n.rlike("^[a-z]")
     runs_on = (count_words(n) <= 5) & ~n.rlike(f"^[b-hj-z]({WS}|\\z)")
-    single = n.rlike("^[A-Z][a-z'’]+\\z") & (count_words(t) >= 2) & ~n.rlike(structural)
+    single = n.rlike("^[A-Z][a-z'’]+\\z") & (count_words(t) >= 2) & ~n.rlike(STRUCTURAL)
     return t.rlike(TRAILING_WORD) | F.when(small, runs_on).otherwise(single)
 
 
-def has_vocal_tag(tags: Column | str, vocal: tuple[str, ...] = ("vocal", "voice", "singing", "singer", "lyrics", "song", "rap", "choir", "spoken", "speech", "acapella", "chant")) -> Column:
+def has_vocal_tag(tags: Column | str, vocal: tuple[str, ...] = VOCAL_TAGS) -> Column:
     """Whether some tag of a track names a voice."""
     t = F.lower(F.coalesce(col(tags), F.lit("")))
     return F.exists(F.array(*[F.lit(v) for v in vocal]), lambda v: F.contains(t, v))
 
 
 def highlight(text: Column | str, needles: Column) -> Column:
-    """array<struct<text, hit>>: the text cut around the needles where they first stand, overlaps left out."""
-    t = col(text)
-    mark = F.aggregate(needles, t, lambda a, n: F.when(F.length(n) > 0, F.replace(a, n, F.concat(F.lit("\x02"), n, F.lit("\x03")))).otherwise(a))
+    """array<struct<text, hit>>: the text cut around the needles, again and again at the one that stands first; the earlier in the list on a tie."""
+    t = F.translate(col(text), "\x02\x03", "  ")
+    quoted = F.transform(F.filter(needles, lambda n: F.length(n) > 0), lambda n: F.concat(F.lit(r"\Q"), F.replace(n, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")))
+    mark = F.when(F.size(quoted) > 0, F.regexp_replace(t, F.concat(F.lit("("), F.array_join(quoted, "|"), F.lit(")")), F.lit("\x02$1\x03"))).otherwise(t)
     parts = F.filter(F.split(mark, "(?=\x02)|(?<=\x03)"), lambda p: p != "")
     return F.transform(parts, lambda p: F.struct(F.translate(p, "\x02\x03", "").alias("text"), p.startswith("\x02").alias("hit")))
 
@@ -360,15 +358,16 @@ def norm_text(c: Column | str) -> Column:
 
 
 def strip_accents(c: Column | str) -> Column:
-    """Compatibility pieces without their accents; an Arrow UDF, as there is no built-in for it."""
-    return _strip_accents(col(c))
+    """Compatibility pieces without their accents; an Arrow UDF, as there is no built-in for it, for texts that are not ASCII."""
+    c = col(c)
+    plain = ~c.rlike("[^\\x00-\\x7F]")
+    return F.when(plain, c).otherwise(_strip_accents(F.when(~plain, c)))
 
 
 @F.pandas_udf(StringType())
 def _strip_accents(s: pd.Series) -> pd.Series:
-    def one(t):
-        if t is None or t.isascii():
-            return t
-        return "".join(x for x in unicodedata.normalize("NFKD", t) if not "\u0300" <= x <= "\u036f")
+    return s.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore").str.translate(MARKS)
+
 
-    return s.map(one)
+#: Combining accents, to be dropped.
+MARKS = dict.fromkeys(range(0x300, 0x370))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,8 +64,10 @@ def keep_latest(rows: DataFrame, keys: list[str], at: list[Column]) -> DataFrame
 
 def pruned(rows: DataFrame, keep: int, at: str) -> DataFrame:
     """The rows a cache of ``keep`` entries would drop: all but the latest. A global rank over the keys alone."""
-    order = rows.orderBy(F.col(at).desc(), *[F.col(c) for c in rows.columns if c != at]).limit(keep)
-    return rows.join(order, rows.columns, "left_anti")
+    order = [F.col(at).desc(), *[F.col(c) for c in rows.columns if c != at]]
+    kept = rows.orderBy(*order).limit(keep).select(*(F.col(c).alias(f"__{c}") for c in rows.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in rows.columns]
+    return rows.join(kept, functools.reduce(operator.and_, same), "left_anti")
 
 
 def deliveries(chunks: DataFrame) -> DataFrame:

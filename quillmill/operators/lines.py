@@ -38,8 +38,11 @@ def outline(books: DataFrame, entries: DataFrame) -> DataFrame:
     headings without a measured level get level 2.
     """
     lines = line_table(books).where("kind <> 'blank'").withColumn("key", T.heading_key("line"))
-    levels = measured_levels(entries, lines.select("book_id", "line_idx", "line"))
-    hit = lines.join(levels, ["book_id", "key"], "left")
+    seen = entries.where("kind = 'heading' and level between 1 and 3").groupBy("book_id", "line_idx").agg(F.min("level").alias("seen"))
+    # lines without a key are apart from one another, so that no book's rules and dots make one large group
+    group = F.when(F.col("key") == "", F.concat(F.lit(" "), F.col("line_idx").cast("string"))).otherwise(F.col("key"))
+    same = Window.partitionBy("book_id", group)
+    hit = lines.join(seen, ["book_id", "line_idx"], "left").withColumn("level", F.when(F.col("key") != "", F.min("seen").over(same)))
     heading = (F.col("kind") == "heading") | ((F.col("kind") != "list") & F.col("level").isNotNull())
     marker = F.when(F.col("kind") == "list", T.list_marker("line"))
     return hit.where(heading | (F.col("kind") == "list")).select(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from quillmill.functions.text import col
 
@@ -63,18 +69,42 @@ def pauses(df: DataFrame, key: str, samples: str, floor: float, least_run: int,
     """(key, first, last): quiet stretches strictly inside the signal.
 
     Runs of ``least_run`` quiet samples or more are kept, runs at most ``bridge`` samples apart are
-    one, and those of ``least`` samples or more that touch neither end are pauses. Islands are found by
-    position minus rank, so each sound is one group of its own length.
+    one, and those of ``least`` samples or more that touch neither end are pauses. Runs are found on the
+    array of each sound, so no sample becomes a row.
     """
-    from pyspark.sql import Window
-
-    x = df.select(key, F.size(samples).alias("n"), F.posexplode(samples).alias("i", "x")).where(F.abs("x") < floor)
-    w = Window.partitionBy(key).orderBy("i")
-    runs = x.withColumn("g", F.col("i") - F.row_number().over(w)).groupBy(key, "n", "g").agg(F.min("i").alias("a"), F.max("i").alias("b")).where(F.col("b") - F.col("a") + 1 >= least_run)
-    v = Window.partitionBy(key).orderBy("a")
-    parted = F.coalesce((F.col("a") - F.lag("b").over(v) - 1 > bridge).cast("int"), F.lit(1))
-    joined = runs.withColumn("h", F.sum(parted).over(v)).groupBy(key, "n", "h").agg(F.min("a").alias("first"), F.max("b").alias("last"))
-    return joined.where((F.col("last") - F.col("first") + 1 >= least) & (F.col("first") > 0) & (F.col("last") < F.col("n") - 1)).select(key, "first", "last")
+    schema = f"{key} {dict(df.dtypes)[key]}, first int, last int"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows, first, last = [], [], []
+            sounds = batch.column(1)
+            for r in range(batch.num_rows):
+                if not sounds[r].is_valid:
+                    continue
+                found = quiet_runs(sounds[r].values.to_numpy(zero_copy_only=False), floor, least_run, bridge, least)
+                rows += [r] * len(found)
+                first += [a for a, _ in found]
+                last += [b for _, b in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), pa.array(first, pa.int32()), pa.array(last, pa.int32())], schema=wanted)
+
+    return df.select(key, samples).mapInArrow(run, schema)
+
+
+def quiet_runs(x: np.ndarray, floor: float, least_run: int, bridge: int, least: int) -> list[tuple[int, int]]:
+    """(first, last) of the pauses of one sound."""
+    quiet = np.zeros(len(x) + 2, np.int8)
+    quiet[1:-1] = np.abs(x) < floor
+    step = np.diff(quiet)
+    a, b = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
+    long = b - a + 1 >= least_run
+    a, b = a[long], b[long]
+    if not len(a):
+        return []
+    parted = np.concatenate([[True], a[1:] - b[:-1] - 1 > bridge])
+    a, b = a[parted], b[np.append(np.flatnonzero(parted)[1:] - 1, len(b) - 1)]
+    ok = (b - a + 1 >= least) & (a > 0) & (b < len(x) - 1)
+    return list(zip(a[ok].tolist(), b[ok].tolist()))
 
 
 def gain_and_fade(c: Column | str, gain: Column, fade: int) -> Column:

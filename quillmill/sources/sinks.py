@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,13 @@ def event_lines(events: DataFrame, kind: str = "type") -> DataFrame:
     return events.select(F.to_json(F.struct(F.col(kind), *rest)).alias("value"))
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The keyed table after incoming rows replaced those of the same key; rows with empty text are deletions."""
-    kept = existing.join(incoming.select(key).distinct(), key, "left_anti")
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, text: str = "text", at: str | None = None) -> DataFrame:
+    """The keyed table after incoming rows replaced those of the same key; rows with empty text are deletions.
+
+    Of several incoming rows of a key the last in the order of ``at`` counts, or of their values where none is named.
+    """
+    order = [F.col(at).desc_nulls_last()] if at else []
+    rest = [F.col(c).desc_nulls_last() for c in incoming.columns if c not in (key, at)]
+    incoming = incoming.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order, *rest))).where("__n = 1").drop("__n")
+    kept = existing.join(incoming.select(key), key, "left_anti")
     return kept.unionByName(incoming.where((F.col(text).isNotNull()) & (F.col(text) != "")), allowMissingColumns=True)

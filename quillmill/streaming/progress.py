@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -22,11 +22,20 @@ def fold(patches: DataFrame, key: str = "job", at: str = "ts", fields: tuple[str
 
 
 def run_fold(spark: SparkSession, source: str, schema: StructType, checkpoint: str, name: str, **how) -> DataFrame:
-    """Fold all files of a folder as a stream, until they are read, and return the state."""
+    """Fold all files of a folder as a stream, until they are read, and return the state.
+
+    Every batch writes what changed under its own number, so a repeated batch replaces itself, and the state is
+    the newest row of each key; nothing of it is held by the driver.
+    """
     stream = spark.readStream.schema(schema).parquet(source)
-    query = fold(stream, **how).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    folded = fold(stream, **how)
+    kinds = folded.schema
+    where = f"{checkpoint}/{name}"
+    query = folded.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{where}/batch={n}")).option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    key = how.get("key", "job")
+    rows = spark.read.schema(kinds.add("batch", "long")).parquet(where)
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("batch").desc()))).where("__n = 1").drop("batch", "__n")
 
 
 def windowed_counts(events: DataFrame, at: str = "ts", width: str = "1 hour", late: str = "2 hours", by: str = "event_type") -> DataFrame:
