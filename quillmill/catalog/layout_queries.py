@@ -45,12 +45,11 @@ def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("job_clock", """WITH d AS (SELECT job_key, i, max(coalesce(words, 0)) AS w, bool_or(ends_chapter) AS e FROM chunks GROUP BY ALL),
-g AS (SELECT *, w * 0.4 AS speech, CASE WHEN e THEN 2.0 ELSE 0.08 END AS gap FROM d)
-SELECT job_key, i, round(coalesce(sum(speech + gap) OVER (PARTITION BY job_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 2) AS start_sec FROM g WHERE job_key IN (SELECT job_key FROM jobs WHERE total > 0)""")
+g AS (SELECT *, CAST(w * 0.4 AS DECIMAL(28,6)) AS speech, CAST(CASE WHEN e THEN 2.0 ELSE 0.08 END AS DECIMAL(28,6)) AS gap FROM d)
+SELECT job_key, i, round(CAST(coalesce(sum(speech + gap) OVER (PARTITION BY job_key ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE), 2) AS start_sec FROM g""")
 def job_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The running clock of jobs with a total: speech at a fixed pace, longer gaps behind chapters."""
+    """The running clock of all jobs, the open feed too: speech at a fixed pace, longer gaps behind chapters."""
     c = table(spark, sf_dir, "chunks").groupBy("job_key", "i").agg(F.max(F.coalesce("words", F.lit(0))).alias("w"), F.bool_or("ends_chapter").alias("e"))
-    c = c.join(table(spark, sf_dir, "jobs").where("total > 0").select("job_key").distinct(), "job_key", "left_semi")
     c = c.select("job_key", "i", (F.col("w") * 0.4).alias("speech_sec"), F.when(F.col("e"), 2.0).otherwise(0.08).alias("gap_sec"))
     return TL.running_clock(c, "job_key", "i").select("job_key", "i", "start_sec")
 
@@ -85,9 +84,11 @@ def top_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.row_number().over(w).cast("bigint").alias("place")).where("place <= 3")
 
 
-@register("quiet_customers", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@register("quiet_customers", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderpriority = '1-URGENT')")
 def quiet_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order of the last years."""
+    urgent = table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp_ntz")) & (F.col("o_orderpriority") == "1-URGENT"))
+    return table(spark, sf_dir, "customer").join(urgent, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @register("shared_nations", "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier")

@@ -30,10 +30,14 @@ def book_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.book_meta(table(spark, sf_dir, "books"))
 
 
-@register("narrated", "WITH j AS (SELECT DISTINCT job_key, title FROM jobs WHERE title IS NOT NULL) SELECT job_key, title, title AS said, 'Welcome to this summary of ' || title || '.' AS summary, 'That brings us to the end of ' || title || ' by A. B.' || '.' AS closing, 'One.' || chr(10) || chr(10) || 'Two.' AS body FROM j WHERE NOT regexp_matches(title, '[.!]|\\sby\\s')")
+@register("narrated", """WITH j AS (SELECT DISTINCT job_key, title FROM jobs WHERE title IS NOT NULL),
+t AS (SELECT *, 'Welcome to ' || title || '.' AS o FROM j),
+m AS (SELECT *, CASE WHEN regexp_matches(o, '(?is)^welcome to\\s+(.+?),\\s*written by\\s+(.+?)\\s*[.!]\\s*$') THEN regexp_extract(o, '(?is)^welcome to\\s+(.+?),\\s*written by\\s+(.+?)\\s*[.!]\\s*$', 1)
+ WHEN regexp_matches(o, '(?is)^welcome to\\s+(.+?)\\s+by\\s+(.+?)\\s*[.!]') THEN regexp_extract(o, '(?is)^welcome to\\s+(.+?)\\s+by\\s+(.+?)\\s*[.!]', 1) ELSE regexp_extract(o, '(?is)^welcome to\\s+(.+?)\\s*[.!]', 1) END AS said FROM t)
+SELECT job_key, title, regexp_replace(trim(said), '(?i)^this summary of\\s+', '') AS said, 'Welcome to this summary of ' || title || '.' AS summary, 'That brings us to the end of ' || title || ' by A. B.' || '.' AS closing, 'One.' || chr(10) || chr(10) || 'Two.' AS body FROM m""")
 def narrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Openings and closings written for every job's title, read back and removed again."""
-    j = table(spark, sf_dir, "jobs").where("title is not null").select("job_key", "title").distinct().where(~F.col("title").rlike(r"[.!]|\sby\s"))
+    j = table(spark, sf_dir, "jobs").where("title is not null").select("job_key", "title").distinct()
     author = F.lit("A. B.")
     j = j.withColumn("text", F.concat_ws("\n\n", N.opening(F.col("title"), F.lit("")), F.lit("Let us begin."), F.lit("One."), F.lit("Two."), N.closing(F.col("title"), author)))
     return j.select("job_key", "title", N.meta_of_opening("text")["title"].alias("said"), N.opening(F.col("title"), F.lit(None).cast("string"), True).alias("summary"), N.closing(F.col("title"), author).alias("closing"), N.without_narration("text").alias("body"))

@@ -5,6 +5,7 @@ functions over rows that already hold a chunk's arrays, so there is no shuffle.
 """
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -92,16 +93,50 @@ def with_segments(chunks: DataFrame) -> DataFrame:
     return chunks.mapInPandas(run, chunks.withColumn("segments", F.lit(None).cast(SEGMENT)).schema)
 
 
-def running_clock(chunks: DataFrame, key: str, order: str) -> DataFrame:
-    """chunks with ``start_sec``: speech and gaps of all chunks before, to two places."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("start_sec", F.round(F.coalesce(F.sum(F.col("speech_sec") + F.col("gap_sec")).over(w), F.lit(0.0)), 2))
+def running_clock(chunks: DataFrame, key: str, order: str, block: int = 1000) -> DataFrame:
+    """chunks with ``start_sec``: speech and gaps of all chunks before, to two places.
+
+    Sums are made per block of ``block`` places in the order first, and then within blocks, so that no task sees a whole feed.
+    """
+    c = chunks.withColumn("__b", F.floor(F.col(order) / block)).withColumn("__w", (F.col("speech_sec") + F.col("gap_sec")).cast("decimal(28,6)"))
+    per = c.groupBy(key, "__b").agg(F.sum("__w").alias("__w"))
+    before = per.select(key, "__b", F.coalesce(F.sum("__w").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    w = Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = c.withColumn("__in", F.coalesce(F.sum("__w").over(w), F.lit(0))).join(before, [key, "__b"])
+    return out.withColumn("start_sec", F.round((F.col("__before") + F.col("__in")).cast("double"), 2)).drop("__b", "__w", "__in", "__before")
+
+
+def _plain(word: str) -> str:
+    return re.sub(r"[^a-z0-9']", "", word.lower().replace("‘", "'").replace("’", "'"))
+
+
+def match_segments(segments: list[tuple[int, str]], shown: list[str], look: int = LOOK_AHEAD) -> list[tuple[int, int, int]]:
+    """(number, first word, last word + 1) of the shown words that each segment of spoken text covers."""
+    at = {}
+    for i, w in enumerate(shown):
+        at.setdefault(_plain(w), []).append(i)
+    out: list[tuple[int, int, int]] = []
+    cursor = 0
+    for n, text in segments:
+        tokens = [t for t in map(_plain, (text or "").split()) if t]
+        if not tokens:
+            continue
+        hits, place = [], cursor
+        for t in tokens:
+            places = at.get(t, [])
+            k = bisect_left(places, place)
+            if k < len(places) and places[k] < place + look:
+                hits.append(places[k])
+                place = places[k] + 1
+        first, last = (hits[0], hits[-1]) if hits else (out[-1][2],) * 2 if out else (cursor,) * 2
+        out.append((n, first, max(first, last) + 1))
+        cursor = last + 1
+    return out
 
 
 def match_words(spoken: list[str], shown: list[str], look: int = LOOK_AHEAD) -> list[int]:
     """For each spoken word the shown word it is, -1 where none follows within ``look`` words."""
-    norm = lambda w: re.sub(r"[^a-z0-9']", "", w.lower().replace("‘", "'").replace("’", "'"))
-    s, t, at, out = [norm(w) for w in spoken], [norm(w) for w in shown], 0, []
+    s, t, at, out = [_plain(w) for w in spoken], [_plain(w) for w in shown], 0, []
     for w in s:
         hit = next((k for k in range(at, min(len(t), at + look)) if w and t[k] == w), -1)
         out.append(hit)
