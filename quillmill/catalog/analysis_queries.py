@@ -23,6 +23,15 @@ def norm(x: str) -> str:
     return f"trim(regexp_replace(strip_accents(lower({x})), '[^a-z0-9]+', ' ', 'g'))"
 
 
+WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+NARROW = "".join(chr(c) for c in range(0x21, 0x7F))
+
+
+def norm_wide(x: str) -> str:
+    """The same for texts with full-width forms."""
+    return norm(f"translate({x}, {Q.q(WIDE)}, {Q.q(NARROW)})")
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("id"), "text").where("text is not null")
 
@@ -31,10 +40,11 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("text").where("text is not null")
 
 
-@register("number_check", f"""WITH s AS (SELECT DISTINCT item_id AS id, {NUM.format(x=NUMS)} AS number FROM eval_items), h AS (SELECT DISTINCT {NUM.format(x=NUMS)} AS number FROM documents)
+@register("number_check", f"""WITH s AS (SELECT DISTINCT item_id AS id, {NUM.format(x=NUMS)} AS number FROM eval_items), h AS (SELECT DISTINCT {NUM.format(x=NUMS)} AS number FROM books)
 SELECT id, number FROM s WHERE length(regexp_replace(number, '[^0-9]', '', 'g')) >= 2 AND number NOT IN (SELECT number FROM h)""")
 def number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.number_issues(claims(spark, sf_dir), sources(spark, sf_dir))
+    """Numbers of the items that no book has."""
+    return G.number_issues(claims(spark, sf_dir), table(spark, sf_dir, "books").select("text").where("text is not null"))
 
 
 @register("quote_check", f"""WITH q AS (SELECT DISTINCT item_id AS id, unnest(regexp_extract_all(text, {Q.q(G.QUOTE)}, 1)) AS quote FROM eval_items),
@@ -54,9 +64,10 @@ def claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.all_issues(claims(spark, sf_dir), sources(spark, sf_dir))
 
 
-@register("vocabulary", f"SELECT DISTINCT unnest(string_split({norm('text')}, ' ')) AS word FROM eval_items WHERE {norm('text')} <> ''")
+@register("vocabulary", f"SELECT DISTINCT unnest(string_split({norm_wide('text')}, ' ')) AS word FROM (SELECT unnest(pieces) AS text FROM chunks) WHERE {norm_wide('text')} <> ''")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.vocabulary(claims(spark, sf_dir))
+    """The words of all chunks."""
+    return G.vocabulary(table(spark, sf_dir, "chunks").select(F.explode("pieces").alias("text")))
 
 
 LEX = f"""e AS (SELECT {Q.trim('lower(entry)')} AS e FROM lexicon WHERE entry IS NOT NULL), p AS (SELECT unnest(regexp_split_to_array(e, '(' || {Q.q(Q.WS)} || '|-)+')) AS p FROM e WHERE e <> '' AND NOT starts_with(e, '#')),
@@ -82,18 +93,20 @@ def moods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "mood_score",
-    """WITH m AS (SELECT entry AS keyword, min(line_no) AS n FROM lexicon WHERE regexp_matches(entry, '^[a-z]{4,}$') GROUP BY entry),
-w AS (SELECT item_id AS id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM eval_items),
+    """WITH b AS (SELECT book_id, any_value(text) AS text FROM (SELECT DISTINCT book_id, text FROM books WHERE text IS NOT NULL) GROUP BY book_id HAVING count(*) = 1), m AS (SELECT entry AS keyword, min(line_no) AS n FROM lexicon WHERE regexp_matches(entry, '^[a-z]{4,}$') GROUP BY entry),
+w AS (SELECT book_id AS id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM b),
 f AS (SELECT id, unnest(list_distinct([x for x in [w, CASE WHEN ends_with(w, 's') AND length(w) >= 4 THEN w[:-2] END, CASE WHEN ends_with(w, 'es') AND length(w) >= 5 THEN w[:-3] END, CASE WHEN ends_with(w, 'ed') AND length(w) >= 5 THEN w[:-3] END,
   CASE WHEN ends_with(w, 'ing') AND length(w) >= 6 THEN w[:-4] END, CASE WHEN ends_with(w, 'ies') AND length(w) >= 5 THEN w[:-4] || 'y' END] if x is not null])) AS k FROM w WHERE length(w) >= 3),
 s AS (SELECT id, n % 9 AS ord, sum(n % 4 + 1) AS score FROM f JOIN m ON f.k = m.keyword GROUP BY ALL),
 r AS (SELECT *, row_number() OVER o AS rn, coalesce(lead(score) OVER o, 0) AS second FROM s WINDOW o AS (PARTITION BY id ORDER BY score DESC, ord)),
 t AS (SELECT id, 'mood' || ord AS mood, score, second, CASE WHEN second = 0 THEN 3.0 ELSE round(score / second, 6) END AS margin FROM r WHERE rn = 1)
-SELECT i.item_id AS id, coalesce(mood, 'mood0') AS mood, CAST(coalesce(score, 0) AS BIGINT) AS score, CAST(coalesce(second, 0) AS BIGINT) AS runner_up, coalesce(margin, 0) AS margin,
-CASE WHEN score IS NULL THEN 'low' WHEN margin >= 1.8 THEN 'high' WHEN margin >= 1.25 THEN 'medium' ELSE 'low' END AS confidence FROM (SELECT DISTINCT item_id FROM eval_items) i LEFT JOIN t ON t.id = i.item_id""",
+SELECT i.book_id AS id, coalesce(mood, 'mood0') AS mood, CAST(coalesce(score, 0) AS BIGINT) AS score, CAST(coalesce(second, 0) AS BIGINT) AS runner_up, coalesce(margin, 0) AS margin,
+CASE WHEN score IS NULL THEN 'low' WHEN margin >= 1.8 THEN 'high' WHEN margin >= 1.25 THEN 'medium' ELSE 'low' END AS confidence FROM b i LEFT JOIN t ON t.id = i.book_id""",
 )
 def mood_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.best_mood(claims(spark, sf_dir), moods(spark, sf_dir))
+    """The mood of every book with one text."""
+    b = L.texts(table(spark, sf_dir, "books")).groupBy("book_id").agg(F.max("text").alias("text"), F.count("*").alias("n")).where("n = 1")
+    return G.best_mood(b.select(F.col("book_id").alias("id"), "text"), moods(spark, sf_dir))
 
 
 CH = "c AS (SELECT DISTINCT book_id, idx, word_count AS words FROM chapters WHERE word_count IS NOT NULL)"

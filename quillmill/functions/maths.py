@@ -70,9 +70,10 @@ def level_from_ratio(c: Column) -> Column:
     return F.when(c >= 1.5, 1).when(c >= 1.25, 2).otherwise(3)
 
 
-def stage_progress(done: Column, total: Column) -> Column:
-    """Progress of the first of three stages, 0 to 70."""
-    return js_round(done * 70 / total)
+def stage_progress(done: Column, total: Column, stage: int = 0) -> Column:
+    """Progress over three stages: the first goes from 0 to 70, the second to 80, the third to 100."""
+    start, end = ((0, 70), (70, 80), (80, 100))[stage]
+    return js_round(start + done * (end - start) / total)
 
 
 def remaining_seconds(done: Column, total: Column, elapsed: Column) -> Column:
@@ -98,3 +99,47 @@ def http_error(status: Column) -> Column:
     """struct<code, retryable> of a service's answer."""
     code = F.when(status == 429, "RATE_LIMITED").when(status.isin(401, 403), "AUTH").when(status == 404, "MODEL_MISSING").when(status == 413, "TOO_LARGE").when(status >= 500, "SERVER").otherwise("BAD_REQUEST")
     return F.struct(code.alias("code"), code.isin("RATE_LIMITED", "SERVER").alias("retryable"))
+
+
+def cost_text(factor: Column) -> Column:
+    """How long an hour of sound takes, for people: minutes below 90, else hours to one place; null for unknown."""
+    minutes = js_round(factor * 60)
+    return F.when(minutes < 90, F.format_string("%d min", minutes.cast("int"))).when(minutes.isNotNull(), F.format_string("%.1f h", F.round(factor, 1)))
+
+
+def added_when(now: Column, then: Column) -> Column:
+    """today, yesterday, n days ago, or the date beyond a month; null for unknown times."""
+    n = days_ago(now, then)
+    return F.when(n <= 0, "today").when(n == 1, "yesterday").when(n < 30, F.format_string("%d days ago", n)).otherwise(F.date_format(then, "yyyy-MM-dd"))
+
+
+def retry_after(value: Column, now: Column) -> Column:
+    """Milliseconds to wait by a header of seconds or an HTTP date, never below 0; null for anything else."""
+    seconds = value.try_cast("double")
+    date = F.try_to_timestamp(F.regexp_replace(value, r"^\w{3}, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
+    wait = (F.unix_micros(date) - F.unix_micros(now)) / 1000
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds * 1000)).when(date.isNotNull(), F.greatest(F.lit(0.0), wait))
+
+
+def track_seconds(played: Column, size: Column) -> Column:
+    """Seconds of a track: its play time, else bytes at 16,000 a second, else 0."""
+    return F.coalesce(F.nullif(colon_seconds(played), F.lit(0.0)), F.when(size > 0, js_round(size / 16000).cast("double")), F.lit(0.0))
+
+
+def is_centred(x0: Column, x1: Column, left: Column, right: Column, body: Column, widest: float = 0.6, tolerance: float = 0.02) -> Column:
+    """Whether a line stands in the middle of a column, with both margins clear and not over most of its width."""
+    width = right - left
+    middle = F.abs((x0 + x1) / 2 - (left + right) / 2)
+    return (width > 0) & (x0 > left + body) & (right - x1 > body) & (x1 - x0 < widest * width) & (middle < tolerance * width)
+
+
+def normal_noise(seed: int) -> Column:
+    """A standard normal sample for each row."""
+    return F.randn(seed)
+
+
+def target_words(minutes: Column, speed: Column, book_words: Column, per_minute: int = 165, least: int = 450, share: float = 0.6) -> Column:
+    """struct<target, code>: the words of a summary of some minutes, and why it cannot be made; null where it can."""
+    target = F.floor(minutes * per_minute * speed)
+    code = F.when(book_words < 200, "NO_TEXT").when(target < least, "SUMMARY_TOO_SHORT").when(target > book_words * share, "SUMMARY_TOO_LONG")
+    return F.struct(target.alias("target"), code.alias("code"))

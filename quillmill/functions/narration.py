@@ -71,3 +71,14 @@ def book_meta(books: DataFrame, scan: int = 80) -> DataFrame:
     out = rows.groupBy("book_id").agg(title.alias("t"), author.alias("author"), F.max("filename").alias("f"))
     name = T.collapse(F.regexp_replace(T.stem_of_filename("f"), "[_-]+", " "))
     return out.select("book_id", F.coalesce("t", F.nullif(name, F.lit("")), F.lit("this book")).alias("title"), F.coalesce("author", F.lit("")).alias("author"))
+
+
+# The line that opens the body, and how long the parts of a spoken frame may be, in words.
+INTRO_CLOSER = "Let us begin."
+FRAME_CAPS = {"about": 90, "invitation": 60, "reflection": 90, "farewell": 35}
+
+
+def reserve(title: Column, author: Column) -> Column:
+    """Words that the spoken opening and closing of a summary may take."""
+    said = [opening(title, author, True), F.lit(INTRO_CLOSER), closing(title, author, True)]
+    return (sum((T.count_words(x) for x in said[1:]), T.count_words(said[0])) + sum(FRAME_CAPS.values())).cast("bigint")

@@ -33,15 +33,16 @@ def with_licence(voices: DataFrame, by_dataset: DataFrame, by_engine: DataFrame)
 
 
 def search(voices: DataFrame, needle: str) -> DataFrame:
-    """Rows of which some shown field contains ``needle``, without regard to case; all rows for a blank one."""
-    fields = F.lower(F.concat_ws(" ", "name", "label", "locale", "quality", "gender", "engine", "voice_group"))
+    """Rows of which some shown field, the licence too where there is one, contains ``needle``, without regard to case; all rows for a blank one."""
+    fields = F.lower(F.concat_ws(" ", "name", "label", "locale", "quality", "gender", "engine", "voice_group", *(["licence"] if "licence" in voices.columns else [])))
     n = needle.strip().lower()
     return voices if not n else voices.where(fields.contains(n))
 
 
 def grouped(voices: DataFrame) -> DataFrame:
-    """(voice_group, voices, names, with_locale)."""
-    return voices.groupBy("voice_group").agg(F.count("*").alias("voices"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"), F.count("locale").alias("with_locale"))
+    """(voice_group, voices, names, with_locale), and how many are ``publishable`` where a column says so."""
+    free = [F.count_if("publishable").alias("publishable")] if "publishable" in voices.columns else []
+    return voices.groupBy("voice_group").agg(F.count("*").alias("voices"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"), F.count("locale").alias("with_locale"), *free)
 
 
 def newest_batch(rows: DataFrame, at: str = "added_at", hours: int = 1) -> DataFrame:
@@ -140,6 +141,59 @@ def first_source(rows: DataFrame, order: list[str], source: str = "source") -> D
     return ranked.join(F.broadcast(best), F.col("__r") == F.col("__best")).drop("__r", "__best")
 
 
+def first_seen(rows: DataFrame, keys: list[str], order: list[Column], enough: int | None = None, term: str = "term") -> DataFrame:
+    """The first row of each key in the order; with ``enough`` no term is looked at once those before it gave that many."""
+    first = rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+    if enough is None:
+        return first
+    per = first.groupBy(term).agg(F.count("*").alias("__c"))
+    before = per.select(term, F.coalesce(F.sum("__c").over(Window.orderBy(term).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return first.join(before, term).where(F.col("__before") < enough).drop("__before")
+
+
+def remembered(kept: DataFrame, found: DataFrame, pinned: Column, keys: list[str]) -> DataFrame:
+    """What a catalogue holds after a search: the rows found, and the pinned ones of before unless found again."""
+    return kept.where(pinned).join(found.select(*keys), keys, "left_anti").unionByName(found, allowMissingColumns=True)
+
+
+def find(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """wanted with the row of the same composite key; those not found are left out."""
+    return wanted.join(rows, keys)
+
+
+def source_chain(rows: DataFrame, order: list[str], passes: Column, source: str = "source") -> tuple[DataFrame, DataFrame]:
+    """(chosen, reasons): rows that pass of the first source with any, and for the sources before it why not."""
+    rank = F.coalesce(*[F.when(F.col(source) == s, F.lit(n)) for n, s in enumerate(order)])
+    ranked = rows.withColumn("__r", rank).where("__r is not null").withColumn("__ok", F.coalesce(passes, F.lit(False)))
+    spark = rows.sparkSession
+    asked = spark.createDataFrame(list(enumerate(order)), "__r int, source string")
+    seen = asked.join(ranked.groupBy("__r").agg(F.count("*").alias("found"), F.count_if("__ok").alias("kept")), "__r", "left").select("__r", "source", F.coalesce("found", F.lit(0)).alias("found"), F.coalesce("kept", F.lit(0)).alias("kept"))
+    best = seen.where("kept > 0").agg(F.min("__r").alias("__best"))
+    chosen = ranked.where("__ok").join(F.broadcast(best), F.col("__r") == F.col("__best")).drop("__r", "__best", "__ok")
+    why = F.when(F.col("found") == 0, "no matches").otherwise(F.format_string("%d found, none steady enough", "found"))
+    reasons = seen.join(F.broadcast(best), F.col("__best").isNull() | (F.col("__r") < F.col("__best"))).select("source", why.alias("reason"))
+    return chosen, reasons
+
+
+def conflict(running: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked (job_key, total, discard) with ``action``: resume the same run, start anew, or refuse (409) because another run would be lost."""
+    r = running.select(F.col("job_key").alias("__k"), F.col("total").alias("__total"), "slot")
+    same = (F.col("__k") == F.col("job_key")) & (F.col("__total") == F.col("total"))
+    action = F.when(F.col("__k").isNull() | F.col("discard"), "start").when(same, "resume").otherwise("refuse")
+    return asked.join(r, "slot", "left").select("slot", "job_key", action.alias("action"))
+
+
+def unit_hits(units: DataFrame, cache: DataFrame, version: int) -> DataFrame:
+    """units (key, items) with ``hit``: whether the cache (key, v, items) has that content in this version with as many items."""
+    c = cache.where(F.col("v") == version).select("key", F.col("items").alias("__n"))
+    return units.join(c, "key", "left").select("key", "items", F.coalesce(F.col("__n") == F.col("items"), F.lit(False)).alias("hit"))
+
+
+def unit_key(*parts: Column) -> Column:
+    """The address of a unit by its content."""
+    return F.sha1(F.to_json(F.struct(*[p.alias(f"p{n}") for n, p in enumerate(parts)])))
+
+
 def titles(voices: DataFrame) -> DataFrame:
     """(voice_id, title, subtitle, initials)."""
     return voices.select("voice_id", T.voice_title("label", "name").alias("title"), T.voice_subtitle("label", "quality").alias("subtitle"), T.initials(F.coalesce("label", "name")).alias("initials"))

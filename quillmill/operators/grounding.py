@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from quillmill.functions import text as T
 from quillmill.operators import sentences as S
 
+# Fixed value: a quoted span.
+QUOTE = "[“\"]([^”\"]{3,600})[”\"]"
 # Words with a capital for other reasons than being a name.
 CAPITALISED_ANYWAY = "i monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december english".split()
-QUOTE = "[“\"]([^”\"]{3,600})[”\"]"
 
 
 def number_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
@@ -30,13 +31,16 @@ def quote_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> Data
     """(key, quote): quotations that no source holds word for word.
 
     No source is compared with every quotation: sources are cut into runs of three words, and only
-    those that start with a quotation's first three words are looked at.
+    those that have a quotation's first three words are looked at. What is shuffled are hashes of those
+    runs with a hash of their text; a text itself travels only if it is a candidate.
     """
-    asked = quotes(claims, key).withColumn("gram", F.array_join(F.slice(F.split("norm", " "), 1, 3), " "))
-    norm = sources.select(T.norm_text("text").alias("n")).where("n <> ''").withColumn("w", F.split("n", " "))
-    grams = norm.where(F.size("w") >= 3).select(F.col("n"), F.explode(F.array_distinct(F.zip_with(F.zip_with("w", F.slice(F.col("w"), F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(F.col("w"), F.lit(3), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)))).alias("gram"))
+    asked = quotes(claims, key).withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("norm", " "), 1, 3), " ")))
+    norm = sources.select(T.norm_text("text").alias("n")).where("n <> ''").withColumns({"w": F.split("n", " "), "h": F.xxhash64("n")})
+    pairs = F.zip_with(F.zip_with("w", F.slice(F.col("w"), F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(F.col("w"), F.lit(3), F.size("w")), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
+    grams = norm.where(F.size("w") >= 3).select("h", F.explode(F.array_distinct(pairs)).alias("gram"))
     near = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
-    found = asked.join(near, "gram").where(F.concat(F.lit(" "), F.col("n"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))
+    texts = norm.select("h", "n").join(near.select("h").distinct(), "h", "left_semi").distinct()
+    found = asked.join(near, "gram").join(texts, "h").where(F.concat(F.lit(" "), F.col("n"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))
     return asked.join(found.select(key, "quote").distinct(), [key, "quote"], "left_anti").select(key, "quote")
 
 
@@ -45,22 +49,67 @@ def vocabulary(sources: DataFrame) -> DataFrame:
     return sources.select(F.explode(F.array_distinct(F.split(T.norm_text("text"), " "))).alias("word")).where("word <> ''").distinct()
 
 
-def name_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
-    """(key, name): capitalised words inside a sentence of which some part is in no source.
+def names_in(claims: DataFrame, key: str = "id") -> DataFrame:
+    """(key, name, sentence): capitalised words inside a sentence, each once with the first sentence that has it.
 
     The first word of a sentence, words after a colon, semicolon, dash or opening quote, and quoted
-    words themselves are left out; each word is reported once.
+    words themselves are left out, and words with a capital anyway.
     """
-    s = claims.select(key, F.posexplode(S.sentences("text")).alias("n", "s"))
-    t = s.select(key, "n", F.posexplode(F.split("s", f"{T.WS}+")).alias("i", "raw"))
-    before = F.lag("raw").over(Window.partitionBy(key, "n").orderBy("i"))
-    t = t.withColumn("before", before).where("i > 0").where(~F.col("before").rlike("[:;—–-]\\z|^[“\"(]") & ~F.col("raw").rlike("^[“\"(]"))
+    s = S.split_sentences(claims.select(key, T.collapse("text").alias("text")), key, "text")
+    t = s.select(key, "sent_idx", "sentence", F.posexplode(F.split("sentence", f"{T.WS}+")).alias("i", "raw"), F.split("sentence", f"{T.WS}+").alias("all")).where("i > 0")
+    before = F.get("all", F.col("i") - 1)
+    t = t.where(~before.rlike("[:;—–-]\\z|^[“\"(]") & ~F.col("raw").rlike("^[“\"(]"))
     word = F.regexp_replace(F.regexp_replace("raw", "^[^A-Za-z]+|[^A-Za-z'’-]+\\z", ""), "['’]s\\z", "")
-    names = t.select(key, word.alias("name")).where(F.col("name").rlike("^[A-Z][a-zA-Z'’-]{2,}\\z")).distinct()
-    parts = names.withColumn("part", F.explode(F.filter(F.split(T.norm_text("name"), " "), lambda p: p != "")))
-    foreign = parts.groupBy(key, "name").agg(F.bool_and(F.col("part").isin(CAPITALISED_ANYWAY)).alias("anyway")).where("not anyway").select(key, "name")
-    unknown = parts.join(vocabulary(sources).withColumnRenamed("word", "part"), "part", "left_anti").select(key, "name").distinct()
-    return foreign.join(unknown, [key, "name"], "left_semi")
+    names = t.select(key, word.alias("name"), "sent_idx", "sentence").where(F.col("name").rlike("^[A-Z][a-zA-Z'’-]{2,}\\z"))
+    names = names.groupBy(key, "name").agg(F.min(F.struct("sent_idx", "sentence"))["sentence"].alias("sentence"))
+    parts = F.filter(F.split(T.norm_text("name"), " "), lambda p: p != "")
+    return names.withColumn("parts", parts).where((F.size("parts") > 0) & ~F.forall("parts", lambda p: p.isin(CAPITALISED_ANYWAY)))
+
+
+def name_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
+    """(key, name): names of which some part is in no source; each is reported once."""
+    names = names_in(claims, key)
+    unknown = names.select(key, "name", F.explode("parts").alias("part")).join(vocabulary(sources).withColumnRenamed("word", "part"), "part", "left_anti")
+    return unknown.select(key, "name").distinct()
+
+
+def sentence_of(text: Column, needle: Column) -> Column:
+    """The first sentence that holds ``needle``, else ``needle`` itself."""
+    return F.coalesce(F.get(F.filter(S.sentences(text), lambda s: s.contains(needle)), F.lit(0)), needle)
+
+
+def passage_issues(claims: DataFrame, passages: DataFrame, books: DataFrame, allowed: DataFrame) -> DataFrame:
+    """(id, kind, detail, sentence) of claims (id, book, text) against their own passage.
+
+    passages: (id, text), what a claim is about; books: (book, text), the whole books; allowed: (id, text), titles
+    and names that a claim may use. Quotations and numbers must stand in the passage, numbers of two digits or more
+    or in the allowed text; the parts of names in the book or in the allowed text. All joins are by id, number or word.
+    """
+    told = claims.select("id", "text").join(passages.select("id", F.concat(F.lit(" "), T.norm_text("text"), F.lit(" ")).alias("n")), "id")
+    q = told.select("id", "text", "n", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(QUOTE), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1)).alias("quote"))).alias("q"))
+    q = q.withColumn("norm", T.norm_text("q.quote")).where((F.size(F.split("norm", " ")) >= 3) & ~F.col("n").contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))
+    quote = q.select("id", F.lit("quote").alias("kind"), T.trim("q.quote").alias("detail"), sentence_of(F.col("text"), F.col("q.whole")).alias("sentence"))
+    numbers = lambda df: df.select("id", F.explode(T.numbers_in("text")).alias("detail")).distinct()
+    said = claims.select("id", "text", F.explode(T.numbers_in("text")).alias("detail")).where(F.length(F.regexp_replace("detail", r"\D", "")) >= 2)
+    number = said.join(numbers(passages.select("id", "text").unionByName(allowed.select("id", "text"))), ["id", "detail"], "left_anti")
+    number = number.select("id", F.lit("number").alias("kind"), "detail", sentence_of(F.col("text"), F.col("detail")).alias("sentence"))
+    parts = names_in(claims).join(claims.select("id", "book").distinct(), "id").select("id", "book", "name", "sentence", F.explode("parts").alias("word"))
+    words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(T.norm_text("text"), " "))).alias("word")).distinct()
+    unknown = parts.join(words(books, "book"), ["book", "word"], "left_anti").join(words(allowed, "id"), ["id", "word"], "left_anti")
+    name = unknown.select("id", F.lit("name").alias("kind"), F.col("name").alias("detail"), "sentence")
+    return quote.unionByName(number).unionByName(name).distinct()
+
+
+def still_there(issues: DataFrame, kept: DataFrame) -> DataFrame:
+    """The issues whose sentence the kept text (id, text) still holds."""
+    return issues.join(kept.select("id", F.col("text").alias("__kept")), "id").where(F.col("__kept").contains(F.col("sentence"))).drop("__kept")
+
+
+def better_of(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, text, issues): of two drafts (id, text, issues) the second where it has text and is not worse."""
+    both = first.join(second.select("id", F.col("text").alias("__t"), F.col("issues").alias("__n")), "id", "left")
+    wins = (F.trim(F.coalesce("__t", F.lit(""))) != "") & (F.col("__n") <= F.col("issues"))
+    return both.select("id", F.when(wins, F.col("__t")).otherwise(F.col("text")).alias("text"), F.when(wins, F.col("__n")).otherwise(F.col("issues")).alias("issues"))
 
 
 def describe(kind: Column, detail: Column) -> Column:
@@ -90,7 +139,10 @@ def lexicon_words(entries: DataFrame, column: str = "entry") -> DataFrame:
 
 
 def known_tokens(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, known): numbers and roman numerals, or a base form among the words or abbreviations."""
+    """(token, known): numbers and roman numerals, or a base form among the words or abbreviations.
+
+    words: the union of the vocabularies that count, common words, the user's and the book's.
+    """
     t = tokens.select("token").distinct().withColumn("w", T.normalise_token("token"))
     plain = F.col("token").rlike(r"(?i)^\d[\d.,:%-]*(st|nd|rd|th)?\z") | ((F.length("w") >= 2) & T.is_roman("w"))
     forms = t.select("token", F.explode(T.base_forms("w")).alias("word")).where("word <> ''")

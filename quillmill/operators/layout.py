@@ -30,10 +30,15 @@ def lines(tokens: DataFrame) -> DataFrame:
     return t.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("y").alias("y"), size.alias("size"))
 
 
+def modal_size(rows: DataFrame, keys: list[str], value: str, weight: str, order: str) -> DataFrame:
+    """(keys, value): the value with the most weight, in steps of a half; of two the one that appears first."""
+    step = rows.groupBy(*keys, (F.floor(F.col(value) * 2 + 0.5) / 2).alias("value")).agg(F.sum(weight).alias("__w"), F.min(order).alias("__first"))
+    return step.groupBy(*keys).agg(F.max_by("value", F.struct("__w", -F.col("__first"))).alias("value"))
+
+
 def page_measures(lines_: DataFrame) -> DataFrame:
     """(book_id, page, body, left, right, leading): the body's letter size by weight of text, its edges, the usual distance of lines."""
-    sizes = lines_.groupBy(*PAGE, (F.floor(F.col("size") * 2 + 0.5) / 2).alias("s")).agg(F.sum(F.length("text")).alias("weight"), F.min("line").alias("first"))
-    body = sizes.groupBy(*PAGE).agg(F.max_by("s", F.struct("weight", -F.col("first"))).alias("body"))
+    body = modal_size(lines_.withColumn("__n", F.length("text")), PAGE, "size", "__n", "line").withColumnRenamed("value", "body")
     w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc())
     l = lines_.join(body, PAGE).withColumn("gap", F.lag("y").over(w) - F.col("y"))
     near = (F.col("gap") > 0) & (F.col("gap") < 3 * F.col("body"))

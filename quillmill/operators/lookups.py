@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions import text as T
 
+def total_weight(words: Column) -> Column:
+    """A word weighs its length and one more."""
+    return F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w) + 1)
 
-def word_weights(words: Column) -> Column:
-    """A word weighs its length and one more; the running sum of each."""
-    each = F.transform(words, lambda w: F.length(w) + 1)
-    zero = F.array().cast("array<int>")
-    return F.aggregate(each, F.struct(zero.alias("run"), F.lit(0).alias("sum")), lambda a, x: F.struct(F.concat(a["run"], F.array(a["sum"] + x)).alias("run"), (a["sum"] + x).alias("sum")), lambda a: a["run"])
+
+def words_before(words: Column, target: Column) -> Column:
+    """How many words end before ``target`` of the running weight."""
+    zero = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+    step = lambda a, w: F.struct((a["sum"] + F.length(w) + 1).alias("sum"), (a["n"] + (a["sum"] + F.length(w) + 1 < target).cast("int")).alias("n"))
+    return F.aggregate(words, zero, step, lambda a: a["n"])
 
 
 def word_at(points: DataFrame, segments: DataFrame, key: str) -> DataFrame:
@@ -32,11 +35,10 @@ def word_at(points: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     inside = F.col("__before").isNotNull() & (F.col("at") <= F.col("__before.e"))
     starts = (F.col("__next.s") == F.col("at")) & ~F.coalesce(inside, F.lit(False))
     found = found.withColumn("__s", F.when(starts, F.col("__next")).otherwise(F.col("__before")))
-    run = word_weights(F.col("__s.words"))
     span = F.col("__s.e") - F.col("__s.s")
-    target = (F.col("at") - F.col("__s.s")) / span * F.element_at(run, -1)
+    target = (F.col("at") - F.col("__s.s")) / span * total_weight(F.col("__s.words"))
     last = F.col("__s.a") + F.size("__s.words") - 1
-    place = F.size(F.filter(run, lambda x: x < target))
+    place = words_before(F.col("__s.words"), target)
     word = F.when(F.col("__s").isNull(), -1).when((span <= 0) | (F.col("at") >= F.col("__s.e")), last).otherwise(F.least(last, F.col("__s.a") + place))
     return found.select(key, "at", word.cast("int").alias("word"))
 
@@ -97,7 +99,3 @@ def display_words(segments: DataFrame, shown: DataFrame, key: str, look: int = 6
             yield pd.DataFrame(rows, columns=[key, "n", "a", "b"])
 
     return gathered.mapInPandas(run, schema)
-
-
-def split_words(c: Column | str) -> Column:
-    return T.words(c)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
 from quillmill.functions import text as T
+from quillmill.functions.maths import js_round, track_seconds
 
 # Upload formats and the size cap.
 FORMATS = {".pdf": "pdf", ".txt": "txt", ".epub": "epub"}
@@ -249,21 +250,129 @@ def manifests(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("m")).select("m.*").where("key is not null")
 
 
-def model_files(files: DataFrame) -> DataFrame:
-    """(path, locale, name, quality) of voice models that have a description beside them; odd names have no parts."""
+# The quality of a voice model and what an hour of its sound costs.
+QUALITY_FACTORS = {"x_low": 0.12, "low": 0.16, "medium": 0.25, "high": 0.97}
+MODEL = r"(?:^|/)([a-z]{2}_[A-Z]{2})-(.+)-(x_low|low|medium|high)\.onnx\z"
+
+
+def model_files(files: DataFrame, described: dict[str, str] | None = None, groups: dict[str, str] | None = None) -> DataFrame:
+    """(path, id, locale, name, quality, label, voice_group, speed_factor) of voice models that have a description beside them.
+
+    described: what is said of a name; groups: what a locale is filed under. Files with odd names keep their name
+    as label, in the group Other.
+    """
     at = files.select("path")
     models = at.where(F.col("path").endswith(".onnx"))
-    described = at.where(F.col("path").endswith(".onnx.json")).select(F.expr("substring(path, 1, length(path) - 5)").alias("path"))
-    pattern = r"([a-z]{2}_[A-Z]{2})-([A-Za-z0-9_]+)-(x_low|low|medium|high)\.onnx\z"
-    part = lambda n: F.nullif(F.regexp_extract("path", pattern, n), F.lit(""))
-    return models.join(described.distinct(), "path", "left_semi").select("path", part(1).alias("locale"), F.initcap(F.replace(part(2), F.lit("_"), F.lit(" "))).alias("name"), part(3).alias("quality"))
+    beside = at.where(F.col("path").endswith(".onnx.json")).select(F.expr("substring(path, 1, length(path) - 5)").alias("path"))
+    lookup = lambda d, k: F.element_at(F.create_map(*[F.lit(x) for kv in d.items() for x in kv]), k) if d else F.lit(None).cast("string")
+    part = lambda n: F.nullif(F.regexp_extract("path", MODEL, n), F.lit(""))
+    m = models.join(beside.distinct(), "path", "left_semi").select("path", F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"\.onnx\z", "").alias("id"), part(1).alias("locale"), part(2).alias("name"), part(3).alias("quality"))
+    dashed = F.replace("locale", F.lit("_"), F.lit("-"))
+    about = F.coalesce(lookup(described, F.col("name")), F.concat(dashed, F.lit(" Voice")))
+    title = F.array_join(F.transform(F.split("name", "_"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10**6))), " ")
+    odd = F.col("locale").isNull()
+    label = F.when(odd, F.col("id")).otherwise(F.concat(title, F.lit(" | "), about, F.lit(" ("), F.col("quality"), F.lit(")")))
+    return m.select(
+        "path", "id", "locale", F.coalesce("name", "id").alias("name"), F.coalesce("quality", F.lit("unknown")).alias("quality"), label.alias("label"),
+        F.when(odd, "Other").otherwise(F.coalesce(lookup(groups, F.col("locale")), dashed)).alias("voice_group"), lookup(QUALITY_FACTORS, F.col("quality")).alias("speed_factor"),
+    )
+
+
+def style_files(files: DataFrame, described: dict[str, str] | None = None) -> DataFrame:
+    """(name, gender, label) of voices that are one style file (JSON) each; the first letter tells the gender."""
+    f = files.where(F.col("path").endswith(".json")).select(F.regexp_extract("path", r"([^/]*)\.json\z", 1).alias("name"))
+    about = F.element_at(F.create_map(*[F.lit(x) for kv in described.items() for x in kv]), F.col("name")) if described else F.lit(None).cast("string")
+    return f.select("name", F.when(F.col("name").startswith("F"), "Female").otherwise("Male").alias("gender"), F.concat(F.lit("Supertonic "), "name", F.lit(" | "), F.coalesce(about, "name")).alias("label"))
+
+
+def graded(spark: SparkSession, rows: list[tuple[str, str]], factor: float = 1.63) -> DataFrame:
+    """(name, locale, gender, grade, place) of a fixed list of (name, grade): the name's first letters tell locale and gender, the best grade comes first."""
+    d = spark.createDataFrame(rows, "name string, grade string")
+    locale = F.when(F.substring("name", 1, 1) == "b", "en_GB").otherwise("en_US")
+    gender = F.when(F.substring("name", 2, 1) == "f", "Female").otherwise("Male")
+    # A+ before A before A-
+    rank = F.concat(F.substring("grade", 1, 1), F.when(F.col("grade").endswith("+"), "0").when(F.col("grade").endswith("-"), "2").otherwise("1"))
+    return d.select("name", locale.alias("locale"), gender.alias("gender"), "grade", F.row_number().over(Window.orderBy(rank, "name")).alias("place"), F.lit(factor).alias("speed_factor"))
 
 
 def rendered_chunks(files: DataFrame, total: int) -> DataFrame:
-    """(idx, path): one file for each chunk in range, compressed ones before plain."""
-    m = lambda n: F.regexp_extract("path", r"chunk_(\d+)\.(flac|wav)\z", n)
-    rows = files.select("path", F.expr("try_cast(nullif(regexp_extract(path, 'chunk_(\\\\d+)\\\\.(flac|wav)$', 1), '') as int)").alias("idx"), m(2).alias("ext")).where(F.col("idx").between(0, total - 1))
-    return rows.withColumn("rn", F.row_number().over(Window.partitionBy("idx").orderBy(F.col("ext") == "wav", "path"))).where("rn = 1").select("idx", "path")
+    """(idx, path): one file for each chunk in range, compressed ones before plain.
+
+    Files are named chunk-NNNN.flac or .wav, counted from 1, in any folder. A folder that also holds a chunk's
+    measurements (chunk-NNNN.json) gives nothing: they would pass for work done here.
+    """
+    folder = F.regexp_replace("path", r"[^/]*\z", "")
+    named = files.select("path", folder.alias("__dir"), F.lower(F.regexp_extract("path", r"(?i)chunk[-_]\d+\.(flac|wav|json)\z", 1)).alias("__ext"), F.regexp_extract("path", r"(?i)chunk[-_](\d+)\.(?:flac|wav|json)\z", 1).try_cast("int").alias("__n"))
+    measured = named.where("__ext = 'json'").select("__dir").distinct()
+    rows = named.where("__ext in ('flac', 'wav')").join(measured, "__dir", "left_anti").withColumn("idx", F.col("__n") - 1).where(F.col("idx").between(0, total - 1))
+    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy("idx").orderBy(F.col("__ext") == "wav", "path"))).where("__rn = 1").select("idx", "path")
+
+
+# The JSON paths of a hit in four listings, and what they say of licences.
+LISTINGS = {
+    "pixabay": {"id": ("id", "audio_id"), "url": ("audio", "audio_url", "preview", "previewURL"), "title": ("title", "tags"), "author": ("user",), "page": ("pageURL",), "who": "Pixabay contributor", "license": "Pixabay Content License"},
+    "freesound": {"id": ("id",), "url": ("previews.preview-hq-mp3", "previews.preview-lq-mp3"), "title": ("name",), "author": ("username",), "page": (), "who": "Unknown", "license": "CC0"},
+    "ccmixter": {"id": ("upload_id",), "url": ("files[0].download_url",), "title": ("upload_name",), "author": ("user_name",), "page": ("file_page_url",), "who": "Unknown", "license": "CC BY"},
+    "openverse": {"id": ("id",), "url": ("url",), "title": ("title",), "author": ("creator",), "page": ("foreign_landing_url", "detail_url"), "who": "Unknown", "license": "CC0"},
+}
+
+
+def listing_tracks(hits: DataFrame) -> DataFrame:
+    """(provider, id, title, author, duration_sec, license, attribution, page_url, audio_url) of hits (provider, hit) of the four listings.
+
+    Hits without an id or sound are left out, and so are those of two listings whose tags name a voice. Titles end
+    after 90 characters; those of files lose the extension.
+    """
+    out = None
+    for provider, p in LISTINGS.items():
+        h = hits.where(F.col("provider") == provider)
+        get = lambda *paths: F.coalesce(*[F.nullif(F.get_json_object("hit", f"$.{x}" if "-" not in x else "$." + x.split(".")[0] + "['" + x.split(".")[1] + "']"), F.lit("")) for x in paths]) if paths else F.lit(None).cast("string")
+        name = F.coalesce(get(*p["title"]), F.lit("Untitled") if provider == "openverse" else F.concat(F.lit(f"{provider.capitalize() if provider != 'ccmixter' else 'ccMixter'} "), get(*p["id"])))
+        if provider == "freesound":
+            name = F.regexp_replace(name, r"(?i)\.[a-z0-9]+\z", "")
+        title, author = F.substring(name, 1, 90), F.coalesce(get(*p["author"]), F.lit(p["who"]))
+        d = get("duration").try_cast("double")
+        seconds = {"pixabay": d, "freesound": js_round(d), "openverse": js_round(d / 1000), "ccmixter": track_seconds(F.coalesce(get("files[0].file_format_info.ps"), F.lit("")), get("files[0].file_rawsize").try_cast("double"))}[provider]
+        licence, credit, page = F.lit(p["license"]), F.lit(None).cast("string"), get(*p["page"])
+        if provider == "ccmixter":
+            licence = F.coalesce(get("license_name"), licence)
+            credit = F.concat(F.lit('"'), title, F.lit('" by '), author, F.lit(" ("), F.coalesce(get("license_url"), F.lit("https://creativecommons.org/licenses/by/3.0/")), F.lit(")"))
+            page = F.coalesce(page, F.concat(F.lit("http://ccmixter.org/files/"), author, F.lit("/"), get("upload_id")))
+        elif provider == "openverse":
+            licence = F.concat(F.upper(F.coalesce(get("license"), F.lit("cc0"))), F.coalesce(F.concat(F.lit(" "), get("license_version")), F.lit("")))
+            page = F.coalesce(page, F.lit(""))
+        elif provider == "pixabay":
+            page = F.coalesce(page, F.concat(F.lit("https://pixabay.com/music/-"), get(*p["id"]), F.lit("/")))
+        else:
+            page = F.concat(F.lit("https://freesound.org/s/"), get("id"), F.lit("/"))
+        tags = {"freesound": get("tags"), "ccmixter": F.concat_ws(",", get("upload_tags"), get("upload_extra.usertags"))}.get(provider)
+        made = h.select(F.lit(provider).alias("provider"), get(*p["id"]).alias("id"), title.alias("title"), author.alias("author"), F.coalesce(seconds.cast("double"), F.lit(0.0)).alias("duration_sec"), licence.alias("license"), credit.alias("attribution"), page.alias("page_url"), get(*p["url"]).alias("audio_url"), (T.has_vocal_tag(tags) if tags is not None else F.lit(False)).alias("__v"))
+        made = made.where("id is not null and audio_url is not null and not __v").drop("__v")
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+# Models that write no text.
+NOT_A_WRITER = r"(?i)safety|guard|code|coder"
+
+
+def models(hits: DataFrame) -> DataFrame:
+    """(id, free, context, max_output, format, effort) of a model list (hit): what each can do by its parameters."""
+    m = hits.select(F.from_json("hit", "id string, context_length bigint, supported_parameters array<string>, top_provider struct<max_completion_tokens:bigint>").alias("m")).select("m.*").where("id is not null")
+    has = lambda p: F.coalesce(F.array_contains("supported_parameters", p), F.lit(False))
+    form = F.when(has("structured_outputs"), "strict").when(has("response_format"), "object").otherwise("prompt")
+    return m.select("id", F.col("id").endswith(":free").alias("free"), F.coalesce("context_length", F.lit(0)).alias("context"), F.nullif("top_provider.max_completion_tokens", F.lit(0)).alias("max_output"), form.alias("format"), has("reasoning_effort").alias("effort"))
+
+
+def free_writers(models_: DataFrame, least: int = 32_000) -> DataFrame:
+    """models with ``place``: the free ones that write, with room enough; strict formats first, then the most room."""
+    ok = models_.where(F.col("free") & (F.col("context") >= least) & ~F.col("id").rlike(NOT_A_WRITER))
+    return ok.withColumn("place", F.row_number().over(Window.orderBy((F.col("format") == "strict").desc(), F.col("context").desc(), "id")))
+
+
+def total_seconds(files: DataFrame) -> DataFrame:
+    """(seconds): how long all sound files of (content) are together; files of another kind count for nothing."""
+    return files.select(wav_header("content").alias("h")).agg(F.coalesce(F.sum("h.duration"), F.lit(0.0)).alias("seconds"))
 
 
 def tracks(payloads: DataFrame, provider: str, fields: dict[str, str]) -> DataFrame:
