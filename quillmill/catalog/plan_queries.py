@@ -11,6 +11,7 @@ from quillmill.functions import narration as N
 from quillmill.functions import text as T
 from quillmill.operators import lines as L
 from quillmill.plans import sections as X
+from quillmill.plans import summary as P
 from quillmill.queries import register
 from quillmill.session import table
 
@@ -103,3 +104,48 @@ def cached_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "chunks").groupBy("job_key", "i").agg(F.bool_or(F.coalesce(F.size("pieces") > 0, F.lit(False))).alias("hit"))
     m = d.groupBy("job_key").agg(F.count("*").alias("units"), F.count_if("hit").alias("cached"), F.min(F.when(~F.col("hit"), F.col("i"))).alias("miss"))
     return m.select("job_key", "units", "cached", F.coalesce("miss", "units").alias("prefix"))
+
+
+def levels_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return level_map(spark, sf_dir)
+
+
+@register("book_plans")
+def book_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan of five minutes for every book, as it is shown."""
+    return P.public(P.plan_summaries(table(spark, sf_dir, "books"), levels_of(spark, sf_dir), 5))
+
+
+@register("plan_items")
+def plan_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The requests that make up each plan."""
+    plans = P.plan_summaries(table(spark, sf_dir, "books"), levels_of(spark, sf_dir), 5, chapters=False)
+    return plans.select("book_id", F.explode("items").alias("i")).select("book_id", "i.*")
+
+
+@register("plan_codes", f"""WITH {Q.BOOKS}, o AS (SELECT book_id, max(text) AS text FROM b GROUP BY book_id), c AS (SELECT book_id, len({Q.words('text')}) AS n FROM o)
+SELECT book_id, CAST(n AS INTEGER) AS book_words, 825 AS target, CASE WHEN n < 200 THEN 'NO_TEXT' WHEN 825 > n * 0.6::DOUBLE THEN 'SUMMARY_TOO_LONG' END AS code FROM c""")
+def plan_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which books have a plan of five minutes without headings, and why the others have none."""
+    return P.plan_summaries(table(spark, sf_dir, "books"), levels_of(spark, sf_dir), 5, chapters=False).select("book_id", "book_words", "target", "code")
+
+
+@register("plan_budgets", f"""WITH {Q.BOOKS}, o AS (SELECT book_id, max(text) AS text FROM b GROUP BY book_id), c AS (SELECT book_id, len({Q.words('text')}) AS n FROM o) SELECT book_id, true AS within, true AS ordered FROM c WHERE n >= 200 AND 825 <= n * 0.6::DOUBLE""")
+def plan_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every plan: budgets within the target, units in order and within their limits."""
+    plans = P.plan_summaries(table(spark, sf_dir, "books"), levels_of(spark, sf_dir), 5, chapters=False).where("code is null")
+    total = F.aggregate("items", F.lit(0), lambda a, i: a + i["budget"])
+    units = F.transform("items", lambda i: i["unit"])
+    return plans.select("book_id", (total + F.col("reserve") <= F.col("target")).alias("within"), (units == F.array_sort(units)).alias("ordered"))
+
+
+@register("reassembled", f"WITH {Q.PARAGRAPHS} SELECT book_id, 0 AS section, string_agg(t, chr(10) || chr(10) ORDER BY para_idx) FILTER (para_idx % 3 <> 1) AS text, count(*) FILTER (para_idx % 3 = 1) AS missing FROM (SELECT DISTINCT * FROM (SELECT book_id, t, para_idx FROM p JOIN (SELECT book_id AS bid FROM b GROUP BY book_id HAVING count(*) = 1) ON bid = book_id)) GROUP BY book_id")
+def reassembled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of books with one text put together again; every third has no answer."""
+    from quillmill.operators import sentences as S
+
+    b = books(spark, sf_dir).groupBy("book_id").agg(F.max("text").alias("text"), F.count("*").alias("n")).where("n = 1")
+    p = b.select("book_id", F.posexplode(S.paragraphs("text")).alias("part", "text")).withColumn("section", F.lit(0))
+    items = p.select("book_id", "section", "part", F.lit(None).cast("array<string>").alias("titles"))
+    out = P.reassembled(items, p.where("part % 3 <> 1")).select("book_id", "section", "text", "missing")
+    return out.withColumn("text", F.nullif("text", F.lit("")))
