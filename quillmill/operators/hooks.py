@@ -4,6 +4,7 @@ A hook gets a batch of texts and returns a batch of results; it runs in ``mapInP
 its model once per worker. Without an engine of that name the call fails before any work starts.
 """
 
+import subprocess
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -39,6 +40,37 @@ def stand_in(texts: list[str], speeds: list[float], rate: int = 100) -> list[np.
 register_engine("stand-in", stand_in)
 
 
+def program_engine(command: list[str], rate: int) -> Speech:
+    """An engine that is a program: text on its input, 16-bit samples on its output; ``{scale}`` in the command is the length scale."""
+
+    def speak(texts: list[str], speeds: list[float]) -> list[np.ndarray]:
+        out = []
+        for t, s in zip(texts, speeds):
+            done = subprocess.run([a.replace("{scale}", f"{1 / s:.3f}") for a in command], input=(t or "").encode(), capture_output=True, check=True)
+            out.append(np.frombuffer(done.stdout[: len(done.stdout) // 2 * 2], "<i2").astype(np.float32) / 32768)
+        return out
+
+    del rate
+    return speak
+
+
+def model_engine(load: Callable[[], Callable[[str, float], np.ndarray]], pieces: Callable[[str], list[str]] | None = None, gap: int = 0) -> Speech:
+    """An engine that is a model in the process: loaded once per worker; a text's pieces are spoken and joined with ``gap`` silent samples."""
+    held: list[Callable[[str, float], np.ndarray]] = []
+
+    def speak(texts: list[str], speeds: list[float]) -> list[np.ndarray]:
+        if not held:
+            held.append(load())
+        out = []
+        for t, s in zip(texts, speeds):
+            parts = [np.asarray(held[0](p, s), np.float32) for p in (pieces(t or "") if pieces else [t or ""])]
+            quiet = np.zeros(gap, np.float32)
+            out.append(np.concatenate([x for n, p in enumerate(parts) for x in ([quiet, p] if n else [p])]) if parts else np.zeros(0, np.float32))
+        return out
+
+    return speak
+
+
 def synthesise(chunks: DataFrame, engine: str = "stand-in") -> DataFrame:
     """chunks (text, speed, ...) with ``samples``."""
     speak = ENGINES[engine]
