@@ -54,16 +54,6 @@ def quote_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.quote_issues(claims(spark, sf_dir), sources(spark, sf_dir))
 
 
-@register("name_check")
-def name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.name_issues(claims(spark, sf_dir), sources(spark, sf_dir))
-
-
-@register("claim_issues")
-def claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.all_issues(claims(spark, sf_dir), sources(spark, sf_dir))
-
-
 @register("vocabulary", f"SELECT DISTINCT unnest(string_split({norm_wide('text')}, ' ')) AS word FROM (SELECT unnest(pieces) AS text FROM chunks) WHERE {norm_wide('text')} <> ''")
 def vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all chunks."""
@@ -79,7 +69,24 @@ def lexicon_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.lexicon_words(table(spark, sf_dir, "lexicon"))
 
 
-@register("known_tokens")
+def _base_forms(w: str) -> str:
+    """The list of forms a word (column ``w``) may be derived from; ``v`` is the word without a closing 's."""
+    cut = lambda n, extra="": f"(v[:length(v) - {n}] || '{extra}')"
+    keep = lambda end, x: f"CASE WHEN ends_with(v, '{end}') AND length({x}) >= 3 THEN {x} END"
+    stem = "regexp_replace(v, '(ing|ed)$', '')"
+    double = f"CASE WHEN {stem} <> v AND length({stem}) >= 4 AND {stem}[-1] = {stem}[-2] THEN {stem}[:length({stem}) - 1] END"
+    plain = f"CASE WHEN ends_with(v, 's') AND NOT ends_with(v, 'ss') AND length({cut(1)}) >= 3 THEN {cut(1)} END"
+    forms = [w, keep("ies", cut(3, "y")), keep("es", cut(1)), keep("es", cut(2)), plain, keep("ed", cut(1)), keep("ed", cut(2)), keep("ing", cut(3)), keep("ing", cut(3, "e")), keep("ly", cut(2)), keep("er", cut(1)), keep("er", cut(2)), keep("est", cut(2)), keep("est", cut(3)), keep("ness", cut(4)), keep("ment", cut(4)), double, "v"]
+    return "[" + ", ".join(forms) + "]"
+
+
+ROMAN_SQL = T.ROMAN.replace(r"\z", "$")
+
+
+@register("known_tokens", f"""WITH {LEX}, {Q.BOOKS}, tk AS (SELECT DISTINCT unnest({Q.words('text')}) AS token FROM b),
+n AS (SELECT token, regexp_replace(regexp_replace(translate(lower(token), '‘’', chr(39) || chr(39)), '[^a-z'']', '', 'g'), '^''+|''+$', '', 'g') AS w FROM tk), m AS (SELECT *, regexp_replace(w, chr(39) || 's$', '') AS v FROM n),
+f AS (SELECT token, unnest({_base_forms('w')}) AS form FROM m), k AS (SELECT word FROM lex UNION SELECT unnest(string_split({Q.q(Q.ABBREVIATIONS)}, ' '))), h AS (SELECT DISTINCT token FROM f JOIN k ON k.word = f.form WHERE form <> '')
+SELECT m.token, (regexp_matches(m.token, '(?i)^[0-9][0-9.,:%-]*(st|nd|rd|th)?$') OR (length(w) >= 2 AND regexp_matches(w, {Q.q(ROMAN_SQL)})) OR h.token IS NOT NULL) AS known FROM m LEFT JOIN h ON h.token = m.token""")
 def known_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = L.texts(table(spark, sf_dir, "books")).select(F.explode(T.words("text")).alias("token"))
     return G.known_tokens(tokens, G.lexicon_words(table(spark, sf_dir, "lexicon")))
@@ -93,7 +100,7 @@ def moods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "mood_score",
-    """WITH b AS (SELECT book_id, any_value(text) AS text FROM (SELECT DISTINCT book_id, text FROM books WHERE text IS NOT NULL) GROUP BY book_id HAVING count(*) = 1), m AS (SELECT entry AS keyword, min(line_no) AS n FROM lexicon WHERE regexp_matches(entry, '^[a-z]{4,}$') GROUP BY entry),
+    """WITH b AS (SELECT DISTINCT book_id || ':' || left(md5(text), 8) AS book_id, text FROM books WHERE text IS NOT NULL), m AS (SELECT entry AS keyword, min(line_no) AS n FROM lexicon WHERE regexp_matches(entry, '^[a-z]{4,}$') GROUP BY entry),
 w AS (SELECT book_id AS id, unnest(string_split(regexp_replace(lower(text), '[^a-z]+', ' ', 'g'), ' ')) AS w FROM b),
 f AS (SELECT id, unnest(list_distinct([x for x in [w, CASE WHEN ends_with(w, 's') AND length(w) >= 4 THEN w[:-2] END, CASE WHEN ends_with(w, 'es') AND length(w) >= 5 THEN w[:-3] END, CASE WHEN ends_with(w, 'ed') AND length(w) >= 5 THEN w[:-3] END,
   CASE WHEN ends_with(w, 'ing') AND length(w) >= 6 THEN w[:-4] END, CASE WHEN ends_with(w, 'ies') AND length(w) >= 5 THEN w[:-4] || 'y' END] if x is not null])) AS k FROM w WHERE length(w) >= 3),
@@ -104,9 +111,9 @@ SELECT i.book_id AS id, coalesce(mood, 'mood0') AS mood, CAST(coalesce(score, 0)
 CASE WHEN score IS NULL THEN 'low' WHEN margin >= 1.8 THEN 'high' WHEN margin >= 1.25 THEN 'medium' ELSE 'low' END AS confidence FROM b i LEFT JOIN t ON t.id = i.book_id""",
 )
 def mood_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mood of every book with one text."""
-    b = L.texts(table(spark, sf_dir, "books")).groupBy("book_id").agg(F.max("text").alias("text"), F.count("*").alias("n")).where("n = 1")
-    return G.best_mood(b.select(F.col("book_id").alias("id"), "text"), moods(spark, sf_dir))
+    """The mood of every text."""
+    b = L.texts(table(spark, sf_dir, "books"))
+    return G.best_mood(b.select(F.concat_ws(":", "book_id", F.substring(F.md5("text"), 1, 8)).alias("id"), "text"), moods(spark, sf_dir))
 
 
 CH = "c AS (SELECT DISTINCT book_id, idx, word_count AS words FROM chapters WHERE word_count IS NOT NULL)"
@@ -116,7 +123,14 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "chapters").where("word_count is not null").select("book_id", "idx", F.col("word_count").alias("words")).distinct()
 
 
-@register("allocate")
+@register("allocate", f"""WITH RECURSIVE {CH}, g AS (SELECT book_id, list(idx ORDER BY idx) AS ids, list(words ORDER BY idx, words) AS w, CAST(floor(sum(words) / 10) AS BIGINT) AS total FROM c GROUP BY book_id),
+r AS (SELECT book_id, 0 AS n, list_transform(w, lambda x: false) AS f, false AS done FROM g UNION ALL
+ SELECT book_id, n + 1, nf, nf = f FROM (SELECT r.book_id, n, f, list_transform(range(1, len(w) + 1), lambda k: f[k] OR floor((total - 60 * len(list_filter(f, lambda x: x))) * w[k] * 1.0::DOUBLE / greatest(1, coalesce(list_sum(list_transform(range(1, len(w) + 1), lambda j: CASE WHEN f[j] THEN 0 ELSE w[j] END)), 0))) < 60) AS nf
+ FROM r JOIN g USING (book_id) WHERE NOT done)),
+l AS (SELECT book_id, arg_max(f, n) AS f FROM r GROUP BY book_id),
+o AS (SELECT g.book_id, ids, w, f, total - 60 * len(list_filter(f, lambda x: x)) AS rest, coalesce(list_sum(list_transform(range(1, len(w) + 1), lambda j: CASE WHEN f[j] THEN 0 ELSE w[j] END)), 0) AS free FROM g JOIN l USING (book_id)),
+u AS (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM o)
+SELECT book_id, ids[k] AS idx, CAST(w[k] AS BIGINT) AS words, CAST(CASE WHEN f[k] THEN 60 WHEN free > 0 THEN floor(rest * w[k] * 1.0::DOUBLE / free) ELSE 0 END AS BIGINT) AS budget FROM u""")
 def allocate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A tenth of each book's words over its chapters, 60 at least."""
     s = sections(spark, sf_dir)
@@ -144,7 +158,11 @@ def pack_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.pack_units(s, "book_id", "idx", "words", "budget", 800)
 
 
-@register("merge_sections")
+@register("merge_sections", f"""WITH RECURSIVE {CH}, g AS (SELECT book_id, list(struct_pack(f := idx, p := 1, w := CAST(words AS BIGINT)) ORDER BY idx, words) AS s FROM c GROUP BY book_id),
+r AS (SELECT book_id, s FROM g UNION ALL SELECT book_id, list_concat(list_concat(s[1:k - 1], [struct_pack(f := s[k].f, p := s[k].p + s[k + 1].p, w := s[k].w + s[k + 1].w)]), s[k + 2:]) FROM
+ (SELECT *, list_position(sums, list_min(sums)) AS k FROM (SELECT *, list_transform(range(1, len(s)), lambda i: s[i].w + s[i + 1].w) AS sums FROM r WHERE len(s) > 2))),
+d AS (SELECT book_id, arg_min(s, len(s)) AS s FROM r GROUP BY book_id), u AS (SELECT book_id, s, unnest(range(1, len(s) + 1)) AS k FROM d)
+SELECT book_id, CAST(k - 1 AS INTEGER) AS section, s[k].f AS first, s[k].p AS parts, s[k].w AS words FROM u""")
 def merge_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.merge_smallest(sections(spark, sf_dir), "book_id", "idx", "words", 2)
 

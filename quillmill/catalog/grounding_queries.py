@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.catalog import sqltext as Q
-from quillmill.catalog.analysis_queries import NUM, norm
+from quillmill.catalog.analysis_queries import NUM, claims, norm, norm_wide, sources
 from quillmill.operators import grounding as G
 from quillmill.queries import register
 from quillmill.session import table
@@ -107,3 +107,23 @@ def better_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims, passages, _, _ = parts(spark, sf_dir)
     n = (F.length("text") % 5).cast("bigint").alias("issues")
     return G.better_of(claims.select("id", "text", n), passages.select("id", "text", n))
+
+
+ITEMS = f"it AS (SELECT DISTINCT item_id AS id, {Q.collapse('text')} AS t FROM eval_items WHERE text IS NOT NULL)"
+UNKNOWN = f"""{ITEMS}, {names_sql('it')}, un AS (SELECT id, name, unnest(parts) AS word FROM nm), vo AS (SELECT DISTINCT unnest(string_split({norm_wide('text')}, ' ')) AS word FROM documents WHERE text IS NOT NULL),
+na AS (SELECT DISTINCT id, name FROM un WHERE word NOT IN (SELECT word FROM vo))"""
+
+
+@register("name_check", f"WITH {UNKNOWN} SELECT id, name FROM na")
+def name_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.name_issues(claims(spark, sf_dir), sources(spark, sf_dir))
+
+
+@register("claim_issues", f"""WITH {UNKNOWN}, sn AS (SELECT DISTINCT item_id AS id, {NUM.format(x=NUMS.format(x='text'))} AS number FROM eval_items), hn AS (SELECT DISTINCT {NUM.format(x=NUMS.format(x='text'))} AS number FROM documents),
+nu AS (SELECT id, number FROM sn WHERE length(regexp_replace(number, '[^0-9]', '', 'g')) >= 2 AND number NOT IN (SELECT number FROM hn)),
+q AS (SELECT DISTINCT item_id AS id, unnest(regexp_extract_all(text, {Q.q(G.QUOTE)}, 1)) AS quote FROM eval_items), dn AS (SELECT ' ' || {norm_wide('text')} || ' ' AS n FROM documents WHERE text IS NOT NULL),
+qu AS (SELECT id, quote FROM q WHERE len(string_split({norm('quote')}, ' ')) >= 3 AND NOT EXISTS (SELECT 1 FROM dn WHERE contains(dn.n, ' ' || {norm('quote')} || ' ')))
+SELECT id, 'quote' AS kind, quote AS detail, 'The quotation "' || quote || '" does not appear word for word in the passage.' AS message FROM qu UNION ALL
+SELECT id, 'number', number, 'The number ' || number || ' does not appear in the passage.' FROM nu UNION ALL SELECT id, 'name', name, '"' || name || '" is not mentioned anywhere in the book.' FROM na""")
+def claim_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.all_issues(claims(spark, sf_dir), sources(spark, sf_dir))

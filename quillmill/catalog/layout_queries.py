@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.catalog import sqltext as Q
 from quillmill.functions import text as T
 from quillmill.operators import layout as Y
 from quillmill.operators import lines as L
@@ -14,14 +15,17 @@ from quillmill.session import table
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every line as a positioned token: 40 lines a page, 6 points a character, 12 a line."""
-    rows = L.line_table(table(spark, sf_dir, "books")).where("kind <> 'blank'").select("book_id", "line_idx", F.posexplode(T.words("line")).alias("ord", "str"))
+    """Every word of every line as a positioned token: 40 lines a page, 6 points a character, 12 a line; each text is a book."""
+    b = table(spark, sf_dir, "books").where("text is not null").select(F.concat_ws(":", "book_id", F.substring(F.md5("text"), 1, 8)).alias("book_id"), "text")
+    rows = L.line_table(b).where("kind <> 'blank'").select("book_id", "line_idx", F.posexplode(T.words("line")).alias("ord", "str"))
     start = F.coalesce(F.sum(F.length("str") + 1).over(Window.partitionBy("book_id", "line_idx").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     y = 600.0 - (F.col("line_idx") % 40) * 12
     return rows.select("book_id", F.floor(F.col("line_idx") / 40).cast("int").alias("page"), "ord", "str", (start * 6.0).alias("x"), y.alias("y"), (F.length("str") * 6.0).alias("w"), F.lit(10.0).alias("h"))
 
 
-@register("layout_lines")
+@register("layout_lines", f"""WITH b AS (SELECT DISTINCT book_id || ':' || left(md5(text), 8) AS book_id, text FROM books WHERE text IS NOT NULL){Q.LINES[len(Q.BOOKS):]}, w AS (SELECT book_id, line_idx, {Q.words('line')} AS ws FROM l), n AS (SELECT * FROM w WHERE len(ws) > 0)
+SELECT book_id, CAST(line_idx // 40 AS INTEGER) AS page, row_number() OVER (PARTITION BY book_id, line_idx // 40 ORDER BY line_idx) - 1 AS line, array_to_string(ws, ' ') AS text, 0.0::DOUBLE AS x0, length(array_to_string(ws, ' ')) * 6.0::DOUBLE AS x1,
+600.0::DOUBLE - (line_idx % 40) * 12 AS y, 10.0::DOUBLE AS size FROM n""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.lines(tokens(spark, sf_dir))
 

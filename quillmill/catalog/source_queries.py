@@ -60,12 +60,12 @@ def rendered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # hits of four listings, one for each document: even numbers lack an author, every seventh its sound
 HITS = """h AS (SELECT doc_id, doc_id % 4 AS p, CASE WHEN doc_id % 2 = 1 THEN coalesce(trim(source), 'x') END AS who, coalesce(host, 'h') || ' ' || doc_id || '.mp3' AS title, CASE WHEN doc_id % 7 <> 0 THEN url END AS url, coalesce(n_chars, 0) AS n,
-CASE WHEN doc_id % 5 = 0 THEN 'calm,vocals' ELSE 'calm,slow' END AS tags FROM (SELECT doc_id, any_value(source) AS source, any_value(host) AS host, max(url) AS url, max(n_chars) AS n_chars FROM (SELECT DISTINCT doc_id, source, host, url, n_chars FROM documents WHERE url IS NOT NULL AND url <> '') GROUP BY doc_id HAVING count(*) = 1))"""
+CASE WHEN doc_id % 5 = 0 THEN 'calm,vocals' ELSE 'calm,slow' END AS tags FROM (SELECT doc_id, max(source) AS source, max(host) AS host, max(url) AS url, max(n_chars) AS n_chars FROM documents WHERE url IS NOT NULL AND url <> '' GROUP BY doc_id))"""
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("url is not null and url <> ''").select("doc_id", "source", "host", "url", "n_chars").distinct()
-    d = d.groupBy("doc_id").agg(F.first("source").alias("source"), F.first("host").alias("host"), F.max("url").alias("url"), F.max("n_chars").alias("n_chars"), F.count("*").alias("c")).where("c = 1")
+    d = table(spark, sf_dir, "documents").where("url is not null and url <> ''").select("doc_id", "source", "host", "url", "n_chars")
+    d = d.groupBy("doc_id").agg(*(F.max(c).alias(c) for c in ("source", "host", "url", "n_chars")))
     who = F.when(F.col("doc_id") % 2 == 1, F.coalesce(F.trim("source"), F.lit("x")))
     title = F.concat(F.coalesce("host", F.lit("h")), F.lit(" "), F.col("doc_id").cast("string"), F.lit(".mp3"))
     url, n = F.when(F.col("doc_id") % 7 != 0, F.col("url")), F.coalesce("n_chars", F.lit(0))

@@ -178,12 +178,29 @@ def chunk_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunk_table(books(spark, sf_dir), "book_id", "text", 60)
 
 
-@register("chunk_lead")
+LEAD = f"""WITH c60 AS ({chunk_sql(60)}), f AS (SELECT * FROM c60 WHERE i = 0 AND words > 25),
+s25 AS ({chunk_sql(25).replace(Q.BOOKS, "b AS (SELECT book_id, text FROM f)")}), m AS (SELECT book_id, max(i) AS more FROM s25 GROUP BY book_id)
+SELECT s.book_id, s.i, s.text, f.chapter_index, f.ends_chapter AND s.i = m.more AS ends_chapter, s.words FROM s25 s JOIN f ON f.book_id = s.book_id JOIN m ON m.book_id = s.book_id UNION ALL
+SELECT c.book_id, CASE WHEN c.i = 0 THEN 0 ELSE c.i + coalesce(m.more, 0) END, c.text, c.chapter_index, c.ends_chapter, c.words FROM c60 c LEFT JOIN m ON m.book_id = c.book_id WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.book_id = c.book_id AND c.i = 0)"""
+
+
+@register("chunk_lead", LEAD)
 def chunk_lead(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.chunk_lead(books(spark, sf_dir), "book_id", "text", 60, 25)
 
 
-@register("capped_pieces")
+CAPPED = f"""WITH RECURSIVE {Q.BOOKS}, t0 AS (SELECT book_id, md5(text) AS d, {Q.trim('text')} AS t FROM b), tt AS (SELECT * FROM t0 WHERE t <> ''), lo AS (SELECT * FROM tt WHERE length(t) > 400), {Q.sentence_rows('lo', 'book_id, d')},
+cl AS (SELECT book_id, d, sent_idx, unnest(CASE WHEN length(sentence) <= 400 THEN [sentence] ELSE string_split(regexp_replace(sentence, {Q.q('([,;:])' + Q.WS + '+')}, '\\1' || chr(1), 'g'), chr(1)) END) AS c,
+  unnest(range(CASE WHEN length(sentence) <= 400 THEN 1 ELSE len(string_split(regexp_replace(sentence, {Q.q('([,;:])' + Q.WS + '+')}, '\\1' || chr(1), 'g'), chr(1))) END)) AS m FROM s),
+wd AS (SELECT book_id, d, sent_idx, m, unnest(CASE WHEN length(c) <= 400 THEN [c] ELSE {Q.words('c')} END) AS w, unnest(range(CASE WHEN length(c) <= 400 THEN 1 ELSE len({Q.words('c')}) END)) AS k FROM cl),
+hc AS (SELECT book_id, d, sent_idx, m, k, w, unnest(range(greatest(1, CAST(ceil(length(w) / 400.0) AS BIGINT)))) AS h FROM wd),
+o AS (SELECT book_id, d, substring(w, CAST(h * 400 + 1 AS BIGINT), 400) AS x, row_number() OVER (PARTITION BY book_id, d ORDER BY sent_idx, m, k, h) AS n FROM hc),
+r AS (SELECT book_id, d, n, 0 AS k, length(x) AS acc FROM o WHERE n = 1 UNION ALL SELECT o.book_id, o.d, o.n, CASE WHEN r.acc + 1 + length(o.x) <= 400 THEN r.k ELSE r.k + 1 END, CASE WHEN r.acc + 1 + length(o.x) <= 400 THEN r.acc + 1 + length(o.x) ELSE length(o.x) END
+ FROM r JOIN o ON o.book_id = r.book_id AND o.d = r.d AND o.n = r.n + 1)
+SELECT r.book_id, CAST(k AS INTEGER) AS piece_no, string_agg(x, ' ' ORDER BY r.n) AS piece FROM r JOIN o ON o.book_id = r.book_id AND o.d = r.d AND o.n = r.n GROUP BY r.book_id, r.d, k UNION ALL SELECT book_id, 0, t FROM tt WHERE length(t) <= 400"""
+
+
+@register("capped_pieces", CAPPED)
 def capped_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.capped_pieces(books(spark, sf_dir), "book_id", "text", 400)
 
