@@ -89,7 +89,26 @@ def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_chapter_containers": p3_chapter_containers, "p3_piece_containers": p3_piece_containers, "p4_found": p4_found, "p4_mended": p4_mended, "p4_titles": p4_titles, "p5_found": p5_found, "p5_quality": p5_quality, "p6_found": p6_found, "p6_tiles": p6_tiles, "p7_chosen": p7_chosen, "p7_report": p7_report, "p8_found": p8_found, "p8_spans": p8_spans}
 
+def _form_sql(x: str, look: bool = True) -> str:
+    """The consistent form in SQL: characters of no width out, single characters replaced, composition by the database."""
+    import unicodedata
+
+    swap = {}
+    for c in [*range(0x80, 0x3100), *range(0xAB30, 0xABC0), *range(0xFE00, 0xFFF0), *range(0x13A0, 0x1400)]:
+        to = unicodedata.normalize("NFC", normalise._plain(chr(c), look))
+        if len(to) == 1 and to != chr(c) and not any(a <= c <= b for a, b in normalise.NO_WIDTH):
+            swap[chr(c)] = to
+    hidden = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in normalise.NO_WIDTH if a != 0xAD) + "\\x{e0100}-\\x{e01ef}"
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+    # a soft hyphen at the end of a line shows
+    soft = f"regexp_replace(regexp_replace(regexp_replace({x}, '[{hidden}]', '', 'g'), '\\x{{ad}}(\\n|$)', chr(1) || '\\1', 'g'), '\\x{{ad}}', '', 'g')"
+    return f"nfc_normalize(translate(replace({soft}, chr(1), chr(173)), {quote(''.join(swap))}, {quote(''.join(swap.values()))}))"
+
+
 SQL: dict[str, str] = {
+    "p1_found": f"""
+WITH b AS (SELECT DISTINCT book_id, text FROM books WHERE text IS NOT NULL AND book_id IS NOT NULL), f AS (SELECT book_id, md5(text) AS raw, md5({_form_sql('text')}) AS form FROM b)
+SELECT DISTINCT least(x.book_id, y.book_id) AS book_id_a, greatest(x.book_id, y.book_id) AS book_id_b FROM f x JOIN f y ON x.form = y.form AND x.raw < y.raw AND x.book_id <> y.book_id""",
     "p3_found": """
 WITH lim AS (SELECT max_size FROM size_limits WHERE limit_name = 'chapter_container'),
 c AS (SELECT DISTINCT book_id, idx, line_idx, word_count FROM chapters),
@@ -99,6 +118,16 @@ w AS (SELECT book_id, idx, len(list_filter(regexp_split_to_array(array_to_string
       FROM (SELECT book_id, idx, line_idx, coalesce(nxt, 1000000000) AS nxt FROM n) JOIN b USING (book_id)),
 s AS (SELECT book_id, idx, word_count AS size FROM c WHERE word_count IS NOT NULL UNION ALL SELECT book_id, idx, size FROM w)
 SELECT DISTINCT book_id, idx FROM s, lim WHERE size > max_size""",
+    "p6_found": f"""
+WITH i AS (SELECT DISTINCT item_id, text FROM eval_items WHERE text IS NOT NULL), d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+iw AS (SELECT item_id, regexp_extract_all(lower({_form_sql('text', False)}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM i), dw AS (SELECT doc_id, regexp_extract_all(lower({_form_sql('text', False)}), '[\\p{{L}}\\p{{N}}\\p{{M}}]+') AS w FROM d),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM iw WHERE len(w) >= 12)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM dw WHERE len(w) >= 12))
+SELECT DISTINCT item_id, doc_id FROM ig JOIN dg ON ig.g = dg.g""",
+    "p8_found": """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 400), k AS (SELECT doc_id, text, unnest(range(1, length(text) - 398)) AS i FROM d),
+w AS (SELECT doc_id, hash(substring(text, i, 400)) AS h FROM k), s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
+SELECT DISTINCT doc_id FROM w WHERE h IN (SELECT h FROM s)""",
     "p2_found": """
 WITH lim AS (SELECT max_size FROM size_limits WHERE limit_name = 'book_line'),
 v AS (SELECT voice_id, max(max_chars) AS m FROM voices GROUP BY voice_id),
