@@ -30,7 +30,8 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.chapter_containers(spark, sf_dir).where("n_parts > 1").select("book_id", "idx").distinct()
+    """Chapters of which a second part was put into a container."""
+    return packing.chapter_containers(spark, sf_dir).where("part > 0 and container is not null").select("book_id", "idx").distinct()
 
 
 def p3_chapter_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
