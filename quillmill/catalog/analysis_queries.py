@@ -228,3 +228,12 @@ def upper_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_returnflag", "l_linestatus")
     r = h.withColumn("upto", F.sum("c").over(w.orderBy("l_quantity"))).withColumn("n", F.sum("c").over(w))
     return r.where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("l_returnflag", "l_linestatus").agg(F.min("l_quantity").alias("median"))
+
+
+@register("conditioned_sounds", """WITH l AS (SELECT vec_id, embedding, len(embedding) AS n, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE)) > 0.0031622776601683794::DOUBLE) AS loud FROM embeddings),
+e AS (SELECT *, list_position(loud, true) AS a, n + 1 - list_position(list_reverse(loud), true) AS b FROM l), t AS (SELECT vec_id, embedding[greatest(1, a - 3):least(n, b + 10)] AS x, a FROM e)
+SELECT vec_id, CAST(CASE WHEN a > 0 THEN len(x) ELSE 0 END AS INTEGER) AS samples, CASE WHEN a > 0 THEN round(list_max(list_transform(x, lambda v: abs(CAST(v AS DOUBLE)))), 6) ELSE 0 END AS raw_peak FROM t""")
+def conditioned_sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as sounds of 100 samples a second, trimmed, levelled, faded and padded: how much of each is speech, and its peak."""
+    c = S.conditioned(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", 100, gap=0.5)
+    return c.select("vec_id", (F.floor(F.length("pcm") / 2) - 50).cast("int").alias("samples"), F.round("raw_peak", 6).alias("raw_peak"))

@@ -24,7 +24,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("layout_lines", f"""WITH b AS (SELECT DISTINCT book_id || ':' || left(md5(text), 8) AS book_id, text FROM books WHERE text IS NOT NULL){Q.LINES[len(Q.BOOKS):]}, w AS (SELECT book_id, line_idx, {Q.words('line')} AS ws FROM l), n AS (SELECT * FROM w WHERE len(ws) > 0)
-SELECT book_id, CAST(line_idx // 40 AS INTEGER) AS page, row_number() OVER (PARTITION BY book_id, line_idx // 40 ORDER BY line_idx) - 1 AS line, array_to_string(ws, ' ') AS text, 0.0::DOUBLE AS x0, length(array_to_string(ws, ' ')) * 6.0::DOUBLE AS x1,
+SELECT book_id, CAST(line_idx // 40 AS INTEGER) AS page, row_number() OVER (PARTITION BY book_id, line_idx // 40 ORDER BY line_idx) - 1 AS line, CASE WHEN len(ws) >= 4 AND len(list_filter(ws, lambda x: regexp_matches(x, '^[A-Za-z]$'))) >= 0.6 * len(ws) THEN array_to_string(ws, '') ELSE array_to_string(ws, ' ') END AS text, 0.0::DOUBLE AS x0, length(array_to_string(ws, ' ')) * 6.0::DOUBLE AS x1,
 600.0::DOUBLE - (line_idx % 40) * 12 AS y, 10.0::DOUBLE AS size FROM n""")
 def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.lines(tokens(spark, sf_dir))
@@ -37,6 +37,15 @@ def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.paragraphs(Y.without_repeated_edges(Y.without_margins(lines, m)), m)
 
 
+@register("layout_blocks")
+def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages on which the lines in capitals are set in large letters."""
+    capitals = F.col("str") == F.upper("str")
+    t = tokens(spark, sf_dir).withColumn("h", F.when(capitals & F.col("str").rlike("[A-Z]{2}"), 14.0).otherwise(F.col("h")))
+    l = Y.lines(t)
+    return Y.page_blocks(l, Y.page_measures(l))
+
+
 @register("chunk_segments")
 def chunk_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each delivered chunk's segments, with pauses placed by rule at every full stop of its text."""

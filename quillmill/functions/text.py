@@ -110,6 +110,10 @@ def title_like(c: Column | str) -> Column:
     return F.length(t).between(1, 80) & t.rlike("[A-Za-z0-9]") & ~t.rlike("[.!?,;:\"”’]\\z") & ~t.rlike("^[\"“‘'(]") & ~t.rlike(LIST_MARKER)
 
 
+def text_has_letters(c: Column | str) -> Column:
+    return col(c).rlike(r"\p{L}")
+
+
 def is_real_heading(c: Column | str) -> Column:
     """Not a quotation, a sentence, two sentences, an index entry or an alphabet strip."""
     t = col(c)

@@ -10,24 +10,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import text as T
+from quillmill.functions.maths import level_from_ratio
 
 PAGE = ["book_id", "page"]
 # Tolerances of the layout, in points or in parts of the letter size.
 BASELINE, SPACE, MARGIN_GAP, PARA_GAP, INDENT = 3.0, 0.25, 1.8, 1.35, 0.5
+LETTERS, LEAST_JUMP, HEADING, HEAD_CHARS = 0.6, 0.2, 1.15, 80
 
 
 def lines(tokens: DataFrame) -> DataFrame:
-    """(book_id, page, line, text, x0, x1, y, size): tokens on one baseline, blanks put in where a gap shows."""
+    """(book_id, page, line, text, x0, x1, y, size): tokens on one baseline, blanks put in where a gap shows.
+
+    A gap shows from a quarter of the letter size on. In a line of single letters, set with space between them, it
+    shows beyond the widest jump between its gaps; where there is no jump, such a line holds no gap at all.
+    """
     down = Window.partitionBy(*PAGE).orderBy(F.col("y").desc(), "x", "ord")
     t = tokens.where(F.col("str") != "").withColumn("new", F.coalesce((F.lag("y").over(down) - F.col("y") > BASELINE).cast("int"), F.lit(1)))
     t = t.withColumn("line", F.sum("new").over(down) - 1)
-    along = Window.partitionBy(*PAGE, "line").orderBy("x", "ord")
-    gap = F.col("x") - F.lag(F.col("x") + F.col("w")).over(along)
-    joint = F.when(F.lag("str").over(along).isNull(), "").when((gap > SPACE * F.col("h")) & ~F.lag("str").over(along).endswith(" ") & ~F.col("str").startswith(" "), " ").otherwise("")
-    t = t.withColumn("piece", F.concat(joint, F.col("str")))
     size = F.max(F.struct(F.length("str").alias("n"), F.col("h").alias("h")))["h"]
-    parts = F.sort_array(F.collect_list(F.struct("x", "ord", "piece")))
-    return t.groupBy(*PAGE, "line").agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("y").alias("y"), size.alias("size"))
+    g = t.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x", "ord", "str", "w"))).alias("t"), F.min("x").alias("x0"), F.max(F.col("x") + F.col("w")).alias("x1"), F.max("y").alias("y"), size.alias("size"))
+    n = F.size("t")
+    rest = F.slice(F.col("t"), F.lit(2), F.greatest(n - 1, F.lit(0)))
+    gaps = F.zip_with(rest, F.slice(F.col("t"), F.lit(1), F.greatest(n - 1, F.lit(0))), lambda b, a: b["x"] - (a["x"] + a["w"]))
+    g = g.withColumns({"gaps": gaps, "usual": SPACE * F.col("size")}).withColumn("sorted", F.array_sort("gaps"))
+    single = F.size(F.filter("t", lambda x: F.trim(x["str"]).rlike(r"^[A-Za-z]\z")))
+    jumps = F.zip_with(F.slice(F.col("sorted"), F.lit(2), F.greatest(n - 2, F.lit(0))), F.slice(F.col("sorted"), F.lit(1), F.greatest(n - 2, F.lit(0))), lambda b, a: F.struct((b - a).alias("jump"), (-a).alias("first"), ((a + b) / 2).alias("middle")))
+    best = F.array_max(jumps)
+    tracked = F.when(best["jump"] >= LEAST_JUMP * F.col("size"), best["middle"]).when(F.get("sorted", F.lit(0)) > F.col("usual"), F.element_at("sorted", -1) + 1).otherwise(F.col("usual"))
+    g = g.withColumn("from", F.when((n >= 4) & (single >= LETTERS * n), tracked).otherwise(F.col("usual")))
+    joint = lambda x, i: F.when((i > 0) & (F.get("gaps", i - 1) > F.col("from")) & ~F.get("t", i - 1)["str"].endswith(" ") & ~x["str"].startswith(" "), " ").otherwise("")
+    text = F.array_join(F.transform("t", lambda x, i: F.concat(joint(x, i), x["str"])), "")
+    return g.select(*PAGE, "line", text.alias("text"), "x0", "x1", "y", "size")
 
 
 def modal_size(rows: DataFrame, keys: list[str], value: str, weight: str, order: str) -> DataFrame:
@@ -49,11 +62,18 @@ def page_measures(lines_: DataFrame) -> DataFrame:
 
 
 def without_margins(lines_: DataFrame, measures: DataFrame) -> DataFrame:
-    """Lines but for page numbers that stand apart at the top or bottom of pages of four lines or more."""
+    """Lines without page numbers that stand apart at the top or bottom of pages of four lines or more.
+
+    A line that is a page number goes; from another short one in letters of the body's size its number is cut off.
+    """
     w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc())
-    l = lines_.join(measures.select(*PAGE, "leading"), PAGE).withColumns({"up": F.lag("y").over(w) - F.col("y"), "down": F.col("y") - F.lead("y").over(w), "n": F.count("*").over(Window.partitionBy(*PAGE))})
-    edge = (F.col("up").isNull() & (F.col("down") > MARGIN_GAP * F.col("leading"))) | (F.col("down").isNull() & (F.col("up") > MARGIN_GAP * F.col("leading")))
-    return l.where(~((F.col("n") >= 4) & edge & T.is_folio("text"))).drop("up", "down", "n", "leading")
+    l = lines_.join(measures.select(*PAGE, "leading", "body"), PAGE).withColumns({"up": F.lag("y").over(w) - F.col("y"), "down": F.col("y") - F.lead("y").over(w), "n": F.count("*").over(Window.partitionBy(*PAGE))})
+    far = MARGIN_GAP * F.col("leading")
+    edge = (F.col("n") >= 4) & ((F.col("up").isNull() & (F.col("down") >= far)) | (F.col("down").isNull() & (F.col("up") >= far)))
+    edge = F.coalesce(edge & (F.length("text") <= HEAD_CHARS) & (F.col("size") <= HEADING * F.col("body")), F.lit(False))
+    bare = T.trim(F.regexp_replace("text", r"^\d{1,4}\s+|\s+\d{1,4}\z", ""))
+    kept = l.where(~(edge & T.is_folio("text")))
+    return kept.withColumn("text", F.when(edge & (F.length(bare) >= 3), bare).otherwise(F.col("text"))).drop("up", "down", "n", "leading", "body")
 
 
 def without_repeated_edges(lines_: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
@@ -88,3 +108,37 @@ def paragraphs(lines_: DataFrame, measures: DataFrame) -> DataFrame:
     parts = F.transform(F.sort_array(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"])
     joined = F.regexp_replace(F.array_join(parts, "\n"), r"(?<=[a-z])-\n(?=[a-z])", "")
     return l.groupBy(*PAGE, "para").agg(F.replace(joined, F.lit("\n"), F.lit(" ")).alias("text"))
+
+
+def with_caps(lines_: DataFrame, measures: DataFrame) -> DataFrame:
+    """Lines with each large first letter put in front of the line it stands beside."""
+    caps = drop_caps(lines_, measures)
+    letters = lines_.select(*PAGE, F.col("line").alias("cap"), T.trim("text").alias("letter"))
+    held = caps.join(letters, [*PAGE, "cap"])
+    rest = lines_.join(caps.select(*PAGE, F.col("cap").alias("line")), [*PAGE, "line"], "left_anti")
+    out = rest.join(held.select(*PAGE, "line", "letter"), [*PAGE, "line"], "left")
+    return out.withColumn("text", F.concat(F.coalesce("letter", F.lit("")), "text")).drop("letter")
+
+
+def page_blocks(lines_: DataFrame, measures: DataFrame) -> DataFrame:
+    """(book_id, page, block, kind, level, text): headings by letter size, list items by their mark, paragraphs by indent, gap and short line.
+
+    Lines of one heading and level are one block, a list item takes the lines behind it that start further in; dashes at
+    line ends go where a small letter follows; a large first letter joins its line.
+    """
+    w = Window.partitionBy(*PAGE).orderBy(F.col("y").desc())
+    l = with_caps(lines_, measures).join(measures, PAGE)
+    ratio = F.col("size") / F.col("body")
+    kind = F.when((ratio >= HEADING) & T.text_has_letters("text"), "heading").when(T.list_marker("text").isNotNull(), "list").otherwise("paragraph")
+    l = l.withColumn("kind", kind).withColumn("level", F.when(F.col("kind") == "heading", level_from_ratio(ratio)))
+    before = lambda c: F.lag(c).over(w)
+    wide = before("y") - F.col("y") > PARA_GAP * F.col("leading")
+    indent = F.col("x0") - F.col("left") > INDENT * F.col("body")
+    short = before("x1") < F.col("right") - 3 * F.col("body")
+    l = l.withColumns({"was": before("kind"), "same": (before("level") == F.col("level")) & ~wide, "parts": indent | wide | short, "goes_on": (before("kind") == "list") & (F.col("x0") > before("x0")) & ~wide})
+    joins = F.when(F.col("kind") == "heading", (F.col("was") == "heading") & F.col("same")).when(F.col("kind") == "list", F.lit(False)).otherwise(F.when(F.col("was") == "list", F.col("goes_on")).otherwise((F.col("was") == "paragraph") & ~F.col("parts")))
+    l = l.withColumn("block", F.sum(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).over(w) - 1)
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"])
+    joined = F.replace(F.regexp_replace(F.array_join(parts, "\n"), r"(?<=[a-z])-\n(?=[a-z])", ""), F.lit("\n"), F.lit(" "))
+    first = lambda c: F.min_by(c, "line")
+    return l.groupBy(*PAGE, "block").agg(first("kind").alias("kind"), first("level").alias("level"), joined.alias("text"))

@@ -107,6 +107,49 @@ def quiet_runs(x: np.ndarray, floor: float, least_run: int, bridge: int, least:
     return list(zip(a[ok].tolist(), b[ok].tolist()))
 
 
+# Level aimed at and ceiling in decibels, and spans in seconds, of a conditioned sound.
+TARGET_DB, CEILING_DB, FLOOR_DB, FADE, LEAST_PAUSE = -20.0, -1.0, -50.0, 0.01, 0.12
+
+
+def condition(x: np.ndarray, rate: int, lead: float = 0.03, tail: float = 0.1, gap: float = 0.0, floor_db: float = FLOOR_DB) -> tuple[np.ndarray, dict]:
+    """16-bit samples of a sound trimmed to its speech, levelled, faded and followed by ``gap`` seconds of silence; what was measured.
+
+    ``lead`` and ``tail`` seconds stay around the speech; the gain brings the level to the target unless the peak would pass
+    the ceiling. A silent sound keeps its gap alone.
+    """
+    x = np.nan_to_num(np.asarray(x, np.float64))
+    floor, quiet = 10 ** (floor_db / 20), np.zeros(round(gap * rate), np.int16)
+    loud = np.flatnonzero(np.abs(x) > floor)
+    if not len(loud):
+        return quiet, {"speech_sec": 0.0, "gap_sec": gap, "gain_db": 0.0, "raw_peak": 0.0, "pauses": []}
+    x = x[max(0, loud[0] - round(lead * rate)) : loud[-1] + 1 + round(tail * rate)]
+    level, top = np.sqrt((x**2).mean()), np.abs(x).max()
+    gain = min(10 ** (TARGET_DB / 20) / level, 10 ** (CEILING_DB / 20) / top)
+    runs = quiet_runs(x, floor, max(1, rate // 100), max(1, rate // 200), round(LEAST_PAUSE * rate))
+    n, fade = len(x), max(1, round(FADE * rate))
+    ramp = np.minimum(1.0, np.minimum(np.arange(1, n + 1), np.arange(n, 0, -1)) / fade)
+    pcm = np.clip(np.floor(x * gain * ramp * 32767 + 0.5), -32768, 32767).astype(np.int16)
+    measured = {"speech_sec": n / rate, "gap_sec": gap, "gain_db": float(20 * np.log10(gain)), "raw_peak": float(top), "pauses": [(a / rate, (b + 1) / rate) for a, b in runs]}
+    return np.concatenate([pcm, quiet]), measured
+
+
+def conditioned(df: DataFrame, keys: list[str], samples: str, rate: int, gap: float = 0.0) -> DataFrame:
+    """(keys, pcm binary, speech_sec, gap_sec, gain_db, raw_peak, pauses) of every sound; null sounds have no row."""
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", pcm binary, speech_sec double, gap_sec double, gain_db double, raw_peak double, pauses array<struct<start:double,end:double>>"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            sounds = batch.column(len(keys))
+            made = [condition(sounds[r].values.to_numpy(zero_copy_only=False), rate, gap=gap) for r in range(batch.num_rows)]
+            cols = {"pcm": [p.astype("<i2").tobytes() for p, _ in made], "pauses": [[{"start": a, "end": b} for a, b in m["pauses"]] for _, m in made]}
+            cols |= {c: [m[c] for _, m in made] for c in ("speech_sec", "gap_sec", "gain_db", "raw_peak")}
+            yield pa.RecordBatch.from_arrays([batch.column(k) if k in keys else pa.array(cols[k], wanted.field(k).type) for k in wanted.names], schema=wanted)
+
+    return df.select(*keys, samples).where(F.col(samples).isNotNull()).mapInArrow(run, schema)
+
+
 def gain_and_fade(c: Column | str, gain: Column, fade: int) -> Column:
     """Samples times gain with a linear fade at both ends, as 16-bit numbers."""
     n = F.size(col(c))
