@@ -40,11 +40,12 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("text").where("text is not null")
 
 
-@register("number_check", f"""WITH s AS (SELECT DISTINCT item_id AS id, {NUM.format(x=NUMS)} AS number FROM eval_items), h AS (SELECT DISTINCT {NUM.format(x=NUMS)} AS number FROM books)
+@register("number_check", f"""WITH s AS (SELECT DISTINCT doc_id AS id, {NUM.format(x=NUMS)} AS number FROM documents), h AS (SELECT DISTINCT {NUM.format(x=NUMS)} AS number FROM eval_items)
 SELECT id, number FROM s WHERE length(regexp_replace(number, '[^0-9]', '', 'g')) >= 2 AND number NOT IN (SELECT number FROM h)""")
 def number_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers of the items that no book has."""
-    return G.number_issues(claims(spark, sf_dir), table(spark, sf_dir, "books").select("text").where("text is not null"))
+    """Numbers of the documents that no item has."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").where("text is not null")
+    return G.number_issues(d, claims(spark, sf_dir))
 
 
 @register("quote_check", f"""WITH q AS (SELECT DISTINCT item_id AS id, unnest(regexp_extract_all(text, {Q.q(G.QUOTE)}, 1)) AS quote FROM eval_items),

@@ -80,9 +80,10 @@ PLANNED = """t AS (SELECT job_key, max(total) AS total FROM jobs WHERE total > 0
 c AS (SELECT DISTINCT job_key, i FROM chunks)"""
 
 
-@register("pending_chunks", f"WITH {PLANNED} SELECT job_key, i FROM pl ANTI JOIN c USING (job_key, i)")
+@register("pending_chunks", f"WITH {PLANNED}, f AS (SELECT DISTINCT job_key, i FROM chunks WHERE len(pieces) > 0) SELECT job_key, i FROM pl ANTI JOIN f USING (job_key, i)")
 def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.pending(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "chunks"))
+    """Planned chunks that never came with a piece."""
+    return C.pending(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "chunks").where(F.size("pieces") > 0))
 
 
 @register("finished_chunks", f"WITH {PLANNED} SELECT job_key, count(*) AS done FROM pl SEMI JOIN c USING (job_key, i) GROUP BY job_key")

@@ -88,8 +88,8 @@ SELECT sn.id, sn.number AS detail, coalesce(h.sentence, sn.number) AS sentence F
 def issue_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sentence around each number of a claim."""
     claims = parts(spark, sf_dir)[0]
-    n = claims.select("id", "text", F.explode("numbers").alias("detail")) if "numbers" in claims.columns else claims.select("id", "text", F.explode(G.T.numbers_in("text")).alias("detail"))
-    return n.select("id", "detail", G.sentence_of(F.col("text"), F.col("detail")).alias("sentence"))
+    n = claims.select("id", F.explode(G.T.numbers_in("text")).alias("detail"))
+    return G.with_sentence(n, claims, "detail").select("id", "detail", "sentence")
 
 
 @register("kept_issues", f"WITH {ISSUES}, kp AS (SELECT id, left(t, CAST(floor(length(t) / 2) AS INTEGER)) AS t FROM cc) SELECT names.* FROM names JOIN kp ON kp.id = names.id WHERE contains(kp.t, names.sentence)")

@@ -85,17 +85,17 @@ def narration_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("title", N.reserve(F.col("title"), F.lit("A. B.")).alias("words"))
 
 
-@register("masks", """SELECT vec_id, list_transform(range(8), lambda j: CASE WHEN j < vec_id % 9 THEN 1 ELSE 0 END) AS mask, CAST(len(embedding) * 2 + 5 AS INTEGER) AS joined FROM embeddings""")
+@register("masks", """SELECT vec_id, array_to_string(list_transform(range(8), lambda j: CASE WHEN j < vec_id % 9 THEN 1 ELSE 0 END), '') AS mask, CAST(len(embedding) * 2 + 5 AS INTEGER) AS joined FROM embeddings""")
 def masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of lengths, and two sounds joined with five silent samples."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", G.length_mask((F.col("vec_id") % 9).cast("int"), F.lit(8)).alias("mask"), F.size(G.concat_waves(F.array("embedding", "embedding"), 5)).alias("joined"))
+    return e.select("vec_id", F.array_join(G.length_mask((F.col("vec_id") % 9).cast("int"), F.lit(8)).cast("array<string>"), "").alias("mask"), F.size(G.concat_waves(F.array("embedding", "embedding"), 5)).alias("joined"))
 
 
-@register("code_units", "SELECT DISTINCT label, list_concat(list_transform(string_split(left(label, 12), ''), lambda c: ascii(c)), list_transform(range(12 - length(left(label, 12))), lambda i: 0)) AS units FROM voices WHERE label IS NOT NULL AND label <> ''")
+@register("code_units", "SELECT DISTINCT label, array_to_string(list_concat(list_transform(string_split(left(label, 12), ''), lambda c: ascii(c)), list_transform(range(12 - length(left(label, 12))), lambda i: 0)), ',') AS units FROM voices WHERE label IS NOT NULL AND label <> ''")
 def code_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first twelve characters of each label as numbers."""
-    return table(spark, sf_dir, "voices").where("label is not null and label <> ''").select("label").distinct().select("label", G.code_units("label", 12).alias("units"))
+    return table(spark, sf_dir, "voices").where("label is not null and label <> ''").select("label").distinct().select("label", F.array_join(G.code_units("label", 12).cast("array<string>"), ",").alias("units"))
 
 
 @register("cache_actions", "SELECT job_key, i, CASE WHEN words % 3 = 2 THEN 'hit' WHEN words % 2 = 0 THEN 'retime' ELSE 'render' END AS action FROM (SELECT DISTINCT job_key, i, words FROM chunks WHERE words IS NOT NULL)")
@@ -134,11 +134,11 @@ def word_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("word", T.normalise_token("word").alias("token"), T.normalise_word("word").alias("spoken"))
 
 
-@register("distinct_titles", "WITH c AS (SELECT book_id, title, min(line_idx) AS first FROM chapters WHERE title IS NOT NULL GROUP BY ALL) SELECT book_id, list(title ORDER BY first, title) AS titles FROM c GROUP BY book_id")
+@register("distinct_titles", "WITH c AS (SELECT book_id, title, min(line_idx) AS first FROM chapters WHERE title IS NOT NULL GROUP BY ALL) SELECT book_id, string_agg(title, ' | ' ORDER BY first, title) AS titles FROM c GROUP BY book_id")
 def distinct_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book's titles in reading order, each once."""
     c = table(spark, sf_dir, "chapters").where("title is not null").groupBy("book_id").agg(F.sort_array(F.collect_set(F.struct("line_idx", "title"))).alias("t"))
-    return c.select("book_id", F.array_distinct(F.transform("t", lambda x: x["title"])).alias("titles"))
+    return c.select("book_id", F.array_join(F.array_distinct(F.transform("t", lambda x: x["title"])), " | ").alias("titles"))
 
 
 @register("clean_paragraphs", f"WITH {Q.PARAGRAPHS} SELECT book_id, len(ps) AS paragraphs, sum(length({Q.collapse('t')})) AS chars FROM (SELECT book_id, ps, unnest(ps) AS t FROM p0) GROUP BY book_id, ps")

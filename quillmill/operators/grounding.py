@@ -73,9 +73,12 @@ def name_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> DataF
     return unknown.select(key, "name").distinct()
 
 
-def sentence_of(text: Column, needle: Column) -> Column:
-    """The first sentence that holds ``needle``, else ``needle`` itself."""
-    return F.coalesce(F.get(F.filter(S.sentences(text), lambda s: s.contains(needle)), F.lit(0)), needle)
+def with_sentence(found: DataFrame, claims: DataFrame, needle: str, key: str = "id") -> DataFrame:
+    """found (key, needle) with ``sentence``: the first of the claim's sentences that holds the needle, else the needle itself."""
+    s = S.per_text(claims.join(found.select(key).distinct(), key, "left_semi"), key, "text", "n int, s string", lambda t: list(enumerate(S.sentence_list(t))))
+    asked = found.select(key, needle).distinct()
+    hit = asked.join(s, key).where(F.col("s").contains(F.col(needle))).groupBy(key, needle).agg(F.min(F.struct("n", "s"))["s"].alias("sentence"))
+    return found.join(hit, [key, needle], "left").withColumn("sentence", F.coalesce("sentence", F.col(needle)))
 
 
 def passage_issues(claims: DataFrame, passages: DataFrame, books: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -88,11 +91,12 @@ def passage_issues(claims: DataFrame, passages: DataFrame, books: DataFrame, all
     told = claims.select("id", "text").join(passages.select("id", F.concat(F.lit(" "), T.norm_text("text"), F.lit(" ")).alias("n")), "id")
     q = told.select("id", "text", "n", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(QUOTE), F.lit(0)).alias("whole"), F.regexp_extract_all("text", F.lit(QUOTE), F.lit(1)).alias("quote"))).alias("q"))
     q = q.withColumn("norm", T.norm_text("q.quote")).where((F.size(F.split("norm", " ")) >= 3) & ~F.col("n").contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))
-    quote = q.select("id", F.lit("quote").alias("kind"), T.trim("q.quote").alias("detail"), sentence_of(F.col("text"), F.col("q.whole")).alias("sentence"))
+    q = with_sentence(q.select("id", F.col("q.whole").alias("whole"), T.trim("q.quote").alias("detail")), claims, "whole")
+    quote = q.select("id", F.lit("quote").alias("kind"), "detail", "sentence")
     numbers = lambda df: df.select("id", F.explode(T.numbers_in("text")).alias("detail")).distinct()
-    said = claims.select("id", "text", F.explode(T.numbers_in("text")).alias("detail")).where(F.length(F.regexp_replace("detail", r"\D", "")) >= 2)
+    said = claims.select("id", F.explode(T.numbers_in("text")).alias("detail")).where(F.length(F.regexp_replace("detail", r"\D", "")) >= 2)
     number = said.join(numbers(passages.select("id", "text").unionByName(allowed.select("id", "text"))), ["id", "detail"], "left_anti")
-    number = number.select("id", F.lit("number").alias("kind"), "detail", sentence_of(F.col("text"), F.col("detail")).alias("sentence"))
+    number = with_sentence(number, claims, "detail").select("id", F.lit("number").alias("kind"), "detail", "sentence")
     parts = names_in(claims).join(claims.select("id", "book").distinct(), "id").select("id", "book", "name", "sentence", F.explode("parts").alias("word"))
     words = lambda df, k: df.select(k, F.explode(F.array_distinct(F.split(T.norm_text("text"), " "))).alias("word")).distinct()
     unknown = parts.join(words(books, "book"), ["book", "word"], "left_anti").join(words(allowed, "id"), ["id", "word"], "left_anti")
