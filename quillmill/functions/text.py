@@ -4,6 +4,7 @@ Every function takes and returns Columns, so Catalyst sees through it. Null text
 a docstring says otherwise.
 """
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -357,21 +358,25 @@ def highlight(text: Column | str, needles: Column) -> Column:
 
 
 def norm_text(c: Column | str) -> Column:
-    """Small letters without accents, everything but letters and digits as one blank (for grounding checks)."""
-    return trim(F.regexp_replace(strip_accents(F.lower(col(c))), "[^a-z0-9]+", " "))
+    """Small letters without accents, everything but letters and digits as one blank (for grounding checks).
 
-
-def strip_accents(c: Column | str) -> Column:
-    """Compatibility pieces without their accents; an Arrow UDF, as there is no built-in for it, for texts that are not ASCII."""
-    c = col(c)
-    plain = ~c.rlike("[^\\x00-\\x7F]")
-    return F.when(plain, c).otherwise(_strip_accents(F.when(~plain, c)))
+    One Arrow UDF, as there is no built-in for accents; its result is computed once however often it is used.
+    """
+    return _norm_text(col(c))
 
 
 @F.pandas_udf(StringType())
-def _strip_accents(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: unicodedata.normalize("NFKD", t), na_action="ignore").str.translate(MARKS)
+def _norm_text(s: pd.Series) -> pd.Series:
+    return s.map(plain_words, na_action="ignore")
 
 
 #: Combining accents, to be dropped.
 MARKS = dict.fromkeys(range(0x300, 0x370))
+PLAIN = re.compile("[a-z0-9]+")
+
+
+def plain_words(text: str) -> str:
+    text = text.lower()
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", text).translate(MARKS)
+    return " ".join(PLAIN.findall(text))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from quillmill.functions import text as T
 from quillmill.operators import sentences as S
+from quillmill.session import spread
 
 # Fixed value: a quoted span.
 QUOTE = "[“\"]([^”\"]{3,600})[”\"]"
@@ -27,6 +32,18 @@ def quotes(claims: DataFrame, key: str = "id") -> DataFrame:
     return q.withColumn("norm", T.norm_text("quote")).where(F.size(F.split("norm", " ")) >= 3)
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _grams(s: pd.Series) -> pd.Series:
+    """Hashes of the runs of three words of normalised texts, each once."""
+
+    def one(text: str) -> list[int]:
+        w = text.split(" ")
+        runs = {" ".join(x).encode() for x in zip(w, w[1:], w[2:])}
+        return [zlib.crc32(r) | zlib.adler32(r) << 31 for r in runs]
+
+    return s.map(one, na_action="ignore")
+
+
 def quote_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
     """(key, quote): quotations that no source holds word for word.
 
@@ -34,10 +51,9 @@ def quote_issues(claims: DataFrame, sources: DataFrame, key: str = "id") -> Data
     those that have a quotation's first three words are looked at. What is shuffled are hashes of those
     runs with a hash of their text; a text itself travels only if it is a candidate.
     """
-    asked = quotes(claims, key).withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("norm", " "), 1, 3), " ")))
-    norm = sources.select(T.norm_text("text").alias("n")).where("n <> ''").withColumns({"w": F.split("n", " "), "h": F.xxhash64("n")})
-    pairs = F.zip_with(F.zip_with("w", F.slice(F.col("w"), F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b)), F.slice(F.col("w"), F.lit(3), F.size("w")), lambda a, b: F.xxhash64(F.concat(a, F.lit(" "), b)))
-    grams = norm.where(F.size("w") >= 3).select("h", F.explode(F.array_distinct(pairs)).alias("gram"))
+    asked = quotes(claims, key).withColumn("gram", F.get(_grams(F.array_join(F.slice(F.split("norm", " "), 1, 3), " ")), F.lit(0)))
+    norm = spread(sources.select("text")).select(T.norm_text("text").alias("n")).where("n <> ''").withColumn("h", F.xxhash64("n"))
+    grams = norm.select("h", F.explode(_grams("n")).alias("gram"))
     near = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
     texts = norm.select("h", "n").join(near.select("h").distinct(), "h", "left_semi").distinct()
     found = asked.join(near, "gram").join(texts, "h").where(F.concat(F.lit(" "), F.col("n"), F.lit(" ")).contains(F.concat(F.lit(" "), F.col("norm"), F.lit(" "))))

@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its source has fewer parts than those (one small file); larger sources stay as they are."""
+    wide = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wide) if df.rdd.getNumPartitions() < wide else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
