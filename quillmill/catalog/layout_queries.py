@@ -11,7 +11,7 @@ from quillmill.operators import layout as Y
 from quillmill.operators import lines as L
 from quillmill.operators import timeline as TL
 from quillmill.queries import register
-from quillmill.session import table
+from quillmill.session import cut, table
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +32,9 @@ def layout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("layout_paragraphs")
 def layout_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = Y.lines(tokens(spark, sf_dir))
-    m = Y.page_measures(lines)
-    return Y.paragraphs(Y.without_repeated_edges(Y.without_margins(lines, m)), m)
+    lines = cut(Y.lines(tokens(spark, sf_dir)))  # read several times
+    m = cut(Y.page_measures(lines))
+    return Y.paragraphs(Y.with_caps(Y.without_repeated_edges(Y.without_margins(lines, m)), m), m)
 
 
 @register("layout_blocks")
@@ -42,8 +42,8 @@ def layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of pages on which the lines in capitals are set in large letters."""
     capitals = F.col("str") == F.upper("str")
     t = tokens(spark, sf_dir).withColumn("h", F.when(capitals & F.col("str").rlike("[A-Z]{2}"), 14.0).otherwise(F.col("h")))
-    l = Y.lines(t)
-    return Y.page_blocks(l, Y.page_measures(l))
+    l = cut(Y.lines(t))
+    return Y.page_blocks(l, cut(Y.page_measures(l)))
 
 
 @register("chunk_segments")

@@ -46,6 +46,13 @@ def narrated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("sections")
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text between its chapters' headings, made whole."""
+    return P.sections_of(books(spark, sf_dir), table(spark, sf_dir, "chapters").where("title is not null").select("book_id", "line_idx"))
+
+
+@register("marked_sections")
+def marked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by windows over lines, with headings as they stand."""
     return X.sections(table(spark, sf_dir, "books"), table(spark, sf_dir, "chapters").where("title is not null").select("book_id", "line_idx", "title"))
 
 

@@ -201,7 +201,8 @@ def headings(lines: list[str], levels: dict[str, int]) -> list[list[int]]:
             continue
         word = 3 <= len(t) <= 80 and bool(WORD.match(t))
         capitals = 3 <= len(t) <= 80 and t == t.upper() and re.search("[A-Za-z]", t) and len(t.split()) <= 12 and t[-1] not in ".,;:"
-        level = levels.get(key_of(x)) if (k := key_of(x)) else None
+        key = key_of(x)
+        level = levels.get(key) if key else None
         if word:
             chapters.append(i)
         if level is not None or (word and t[-1] not in ".,;:") or capitals:
@@ -209,7 +210,6 @@ def headings(lines: list[str], levels: dict[str, int]) -> list[list[int]]:
                 first.append(i)
             if (level or 2) <= 2:
                 second.append(i)
-        del k
     return [chapters, first, second]
 
 
@@ -236,8 +236,7 @@ def plan(body: str, reserve: int, levels: dict[str, int], minutes: float, speed:
     if code:
         return head | {"code": code}
     lines = body.split("\n")
-    vocabulary = {w for w in re.findall("[a-z]+", body.lower()) if len(w) > 1} if re.search("[A-Za-z]{10,}", body) else set()
-    vocabulary = {w for w, n in Counter(re.findall("[a-z]+", body.lower())).items() if n >= 2} & vocabulary
+    vocabulary = known_words(body)
     options = [absorbed(cut_sections(lines, at, vocabulary)) for at in headings(lines, levels)]
     sections = options[choose(options, max(1, (target - reserve) // SMALL))]
     if not chapters:
@@ -265,6 +264,33 @@ def plan(body: str, reserve: int, levels: dict[str, int], minutes: float, speed:
     return head | {"code": None, "items": items}
 
 
+def sections_of(books: DataFrame, marks: DataFrame) -> DataFrame:
+    """(book_id, section, title, words) of texts (book_id, text) cut at headings that start on the lines of marks (book_id, line_idx).
+
+    Headings are made whole and repaired by the book's own words first; front and back matter and lists at both ends go.
+    """
+    at = marks.groupBy("book_id").agg(F.sort_array(F.collect_set("line_idx")).alias("at"))
+    both = books.select("book_id", "text").where("text is not null").join(at, "book_id", "left")
+    schema = f"book_id {dict(books.dtypes)['book_id']}, section int, title string, words int"
+    wanted = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            rows = []
+            for book, text, starts in zip(*(batch.column(c).to_pylist() for c in ("book_id", "text", "at"))):
+                lines = text.split("\n")
+                cut = cut_sections(lines, [i for i in starts or [] if 0 <= i < len(lines) and lines[i].strip()], known_words(text))
+                rows += [(book, n, s.titles[0] if s.titles else None, s.words) for n, s in enumerate(cut)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(wanted)], schema=wanted)
+
+    return both.mapInArrow(run, schema)
+
+
+def known_words(text: str) -> set[str]:
+    """The words that a text has twice or more."""
+    return {w for w, n in Counter(re.findall("[a-z]+", text.lower())).items() if n >= 2 and len(w) > 1}
+
+
 def prepared(books: DataFrame) -> DataFrame:
     """(book_id, title, author, certain, body) of books (book_id, text, filename): what a summary starts from.
 

@@ -24,16 +24,23 @@ def moved(state: str, commands: list[str]) -> str:
     return state
 
 
-def lifecycle(commands: DataFrame, key: str = "job", at: str = "ts") -> DataFrame:
+STATES = ("idle", *ACTIVE, "done", "cancelled", "error")
+
+
+def lifecycle(commands: DataFrame, key: str = "job", at: str = "ts", span: str = "1 hour") -> DataFrame:
     """(key, state, commands): where each job stands after its commands (key, at, command, and ``ord`` on a tie).
 
-    The commands of one job are folded inside an array; a job has few.
+    What the commands of one span of time do to every state is worked out first, span by span, and the spans of a job
+    are then gone through; so a job with very many commands is spread over tasks, and one row per span meets.
     """
     steps = F.create_map(*[F.lit(x) for (s, c), t in MOVES.items() for x in (f"{s} {c}", t)])
     listed = F.transform(F.sort_array(F.collect_list(F.struct(at, "ord", "command"))), lambda x: x["command"])
-    g = commands.groupBy(key).agg(listed.alias("c"))
-    state = F.aggregate("c", F.lit("idle"), lambda s, c: F.coalesce(F.element_at(steps, F.concat(s, F.lit(" "), c)), s))
-    return g.select(key, state.alias("state"), F.size("c").cast("long").alias("commands"))
+    spans = commands.groupBy(key, F.date_trunc(span.split()[-1], F.col(at).cast("timestamp")).alias("__span")).agg(listed.alias("c"))
+    after = lambda s0: F.aggregate("c", F.lit(s0), lambda s, c: F.coalesce(F.element_at(steps, F.concat(s, F.lit(" "), c)), s))
+    done = spans.select(key, "__span", F.size("c").alias("n"), F.create_map(*[x for s in STATES for x in (F.lit(s), after(s))]).alias("to"))
+    g = done.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__span", F.map_entries("to").alias("to")))).alias("x"), F.sum("n").alias("commands"))
+    state = F.aggregate("x", F.lit("idle"), lambda s, x: F.element_at(F.map_from_entries(x["to"]), s))
+    return g.select(key, state.alias("state"), "commands")
 
 
 def lifecycle_stream(commands: DataFrame, key: str = "job", at: str = "ts") -> DataFrame:
@@ -86,12 +93,19 @@ def lanes(units: DataFrame, order: list[str | Column], slots: int) -> DataFrame:
     return units.withColumn("__n", n).withColumns({"lane": F.col("__n") % slots, "turn": F.floor(F.col("__n") / slots).cast("int")}).drop("__n")
 
 
-def carried(results: DataFrame, key: str, order: str, text: str = "text") -> DataFrame:
-    """results with ``tail``: the last paragraph of the unit before, of the last one that has any text."""
+def carried(results: DataFrame, key: str, order: str, text: str = "text", block: int = 1000) -> DataFrame:
+    """results with ``tail``: the last paragraph of the unit before, of the last one that has any text.
+
+    The last one of each block of ``block`` units is found first, so that no task sees a whole feed.
+    """
     last = F.element_at(F.filter(F.split(text, "\n{2,}"), lambda p: F.trim(p) != ""), -1)
-    some = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", last)
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return results.withColumn("tail", F.coalesce(F.last(some, ignorenulls=True).over(w), F.lit("")))
+    some = F.when(F.trim(F.coalesce(F.col(text), F.lit(""))) != "", F.struct(F.col(order).alias("o"), last.alias("p")))
+    r = results.withColumns({"__b": F.floor(F.col(order) / block), "__p": some})
+    per = r.groupBy(key, "__b").agg(F.max("__p").alias("__p"))
+    before = per.select(key, "__b", F.max("__p").over(Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    inside = F.max("__p").over(Window.partitionBy(key, "__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    out = r.withColumn("__in", inside).join(before, [key, "__b"])
+    return out.withColumn("tail", F.coalesce(F.col("__in.p"), F.col("__before.p"), F.lit(""))).drop("__b", "__p", "__in", "__before")
 
 
 def shown(states: DataFrame, now: Column, patience: int = 60, at: str = "last_at") -> DataFrame:

@@ -149,6 +149,14 @@ def book(chapters, words=400):
     return "\n".join(x for n in range(chapters) for x in (f"Chapter {n + 1}", body))
 
 
+def test_sections_of_texts(spark):
+    text = "Preface words here.\nChapter\n\nI\n\nThe Start\n" + "Plain words go on. " * 40 + "\nIndex\nZebra, see the horse of the field.\n"
+    marks = spark.createDataFrame([("a", 1), ("a", 3), ("a", 7), ("a", 99)], "book_id string, line_idx int")
+    books = spark.createDataFrame([("a", text), ("b", "No mark at all."), ("c", None), ("d", "")], "book_id string, text string")
+    got = [(r.book_id, r.section, r.title, r.words) for r in P.sections_of(books, marks).orderBy("book_id", "section").collect()]
+    assert got == [("a", 0, None, 3), ("a", 1, "Chapter I: The Start", 160), ("b", 0, None, 4), ("d", 0, None, 0)]
+
+
 def test_plan_holds_its_budget():
     p = P.plan(book(6), 300, {}, 6)
     assert p["code"] is None and [i["titles"] for i in p["items"]] == [[f"Chapter {n + 1}"] for n in range(6)]
