@@ -17,7 +17,7 @@ from quillmill.session import cut, table
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of every line as a positioned token: 40 lines a page, 6 points a character, 12 a line; each text is a book."""
     b = table(spark, sf_dir, "books").where("text is not null").select(F.concat_ws(":", "book_id", F.substring(F.md5("text"), 1, 8)).alias("book_id"), "text")
-    rows = L.line_table(b).where("kind <> 'blank'").select("book_id", "line_idx", F.posexplode(T.words("line")).alias("ord", "str"))
+    rows = L.line_table(b).where(T.trim("line") != "").select("book_id", "line_idx", F.posexplode(T.words("line")).alias("ord", "str"))
     start = F.coalesce(F.sum(F.length("str") + 1).over(Window.partitionBy("book_id", "line_idx").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     y = 600.0 - (F.col("line_idx") % 40) * 12
     return rows.select("book_id", F.floor(F.col("line_idx") / 40).cast("int").alias("page"), "ord", "str", (start * 6.0).alias("x"), y.alias("y"), (F.length("str") * 6.0).alias("w"), F.lit(10.0).alias("h"))

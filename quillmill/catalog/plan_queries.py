@@ -63,7 +63,7 @@ r AS (SELECT *, sum(words) OVER (PARTITION BY book_id) AS total, coalesce(sum(wo
 SELECT book_id, CAST(line_idx AS INTEGER) AS line_idx, CAST(least(3, floor(before * 4 / greatest(total, 1))) AS INTEGER) AS piece FROM r""",
 )
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.line_table(table(spark, sf_dir, "books")).where("kind <> 'blank'").select("book_id", "line_idx", T.count_words("line").alias("words"))
+    rows = L.line_table(table(spark, sf_dir, "books")).where(T.trim("line") != "").select("book_id", "line_idx", T.count_words("line").alias("words"))
     return X.split_lines(rows, "book_id", "line_idx", "words", 4).select("book_id", "line_idx", "piece")
 
 

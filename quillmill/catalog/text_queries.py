@@ -236,7 +236,7 @@ array_to_string(list_slice({Q.words('text')}, 1, 120), ' ') AS opening FROM a JO
 def text_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and lines before and after running heads are removed, and the first 120 words."""
     src = table(spark, sf_dir, "books")
-    rows = L.line_table(src).where("kind <> 'blank'").select("book_id", T.heading_key("line").alias("key"), T.count_words("line").alias("w"))
+    rows = L.line_table(src).where(T.trim("line") != "").select("book_id", T.heading_key("line").alias("key"), T.count_words("line").alias("w"))
     heads = L.running_heads(src).select("book_id", "key", F.lit(True).alias("head"))
     kept = F.col("head").isNull()
     agg = rows.join(heads, ["book_id", "key"], "left").groupBy("book_id").agg(

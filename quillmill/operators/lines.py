@@ -37,7 +37,8 @@ def outline(books: DataFrame, entries: DataFrame) -> DataFrame:
     A line whose key was measured as a heading is one whatever its shape, unless it is a list item;
     headings without a measured level get level 2.
     """
-    lines = line_table(books).where("kind <> 'blank'").withColumn("key", T.heading_key("line"))
+    # blank lines go by their text: the kind would be worked out once more for the filter
+    lines = line_table(books).where(T.trim("line") != "").withColumn("key", T.heading_key("line"))
     seen = entries.where("kind = 'heading' and level between 1 and 3").groupBy("book_id", "line_idx").agg(F.min("level").alias("seen"))
     # lines without a key are apart from one another, so that no book's rules and dots make one large group
     group = F.when(F.col("key") == "", F.concat(F.lit(" "), F.col("line_idx").cast("string"))).otherwise(F.col("key"))
@@ -53,20 +54,20 @@ def outline(books: DataFrame, entries: DataFrame) -> DataFrame:
 
 def prose_share(books: DataFrame) -> DataFrame:
     """(book_id, lines, prose_lines, is_prose): whether 0.4 of the lines with text read like prose."""
-    rows = line_table(books).where("kind <> 'blank'")
+    rows = line_table(books).where(T.trim("line") != "")
     agg = rows.groupBy("book_id").agg(F.count("*").alias("lines"), F.count_if(T.is_prose_line("line")).alias("prose_lines"))
     return agg.withColumn("is_prose", F.col("prose_lines") >= 0.4 * F.col("lines"))
 
 
 def running_heads(books: DataFrame, least: int = 3) -> DataFrame:
     """(book_id, key, repeats): short lines that come ``least`` times or more, by their key."""
-    rows = line_table(books).where("kind <> 'blank'").where(F.length("line") <= 80).withColumn("key", T.heading_key("line"))
+    rows = line_table(books).where(T.trim("line") != "").where(F.length("line") <= 80).withColumn("key", T.heading_key("line"))
     return rows.where("key <> ''").groupBy("book_id", "key").agg(F.count("*").alias("repeats")).where(F.col("repeats") >= least)
 
 
 def without_running_heads(books: DataFrame, least: int = 3) -> DataFrame:
     """(book_id, kept): lines with text that are no running head."""
-    rows = line_table(books).where("kind <> 'blank'").withColumn("key", T.heading_key("line"))
+    rows = line_table(books).where(T.trim("line") != "").withColumn("key", T.heading_key("line"))
     heads = running_heads(books, least).select("book_id", "key")
     return rows.join(heads, ["book_id", "key"], "left_anti").groupBy("book_id").agg(F.count("*").alias("kept"))
 
@@ -89,7 +90,7 @@ def hard_wrapped(books: DataFrame) -> DataFrame:
 
     The median comes from a histogram of lengths, so no list of lines is gathered.
     """
-    rows = line_table(books).where("kind <> 'blank'").select("book_id", F.length(T.trim("line")).alias("n"))
+    rows = line_table(books).where(T.trim("line") != "").select("book_id", F.length(T.trim("line")).alias("n"))
     hist = rows.groupBy("book_id", "n").agg(F.count("*").alias("c"))
     w = Window.partitionBy("book_id")
     run = hist.withColumn("upto", F.sum("c").over(w.orderBy("n"))).withColumn("total", F.sum("c").over(w))
