@@ -52,20 +52,25 @@ def chapter_at(points: DataFrame, marks: DataFrame, key: str) -> DataFrame:
     return out.select(key, "at", F.coalesce("__c", "__first").alias("chapter"))
 
 
-def seek(points: DataFrame, clock: DataFrame) -> DataFrame:
+def seek(points: DataFrame, clock: DataFrame, width: float = 3600.0) -> DataFrame:
     """points (job_key, at) with the first chunk of clock (job_key, i, start_sec, end_sec) that ends after it, and the seconds into it.
 
-    Before the start it is the first chunk, from the end on the last one.
+    Before the start it is the first chunk, from the end on the last one. Windows run from the latest time back, so
+    that all that ends after a point is a growing frame and each row is added once. The open feed is one job: stretches
+    of ``width`` seconds come first, then one row of each stretch with the points, and no task sees a whole feed.
     """
     at = F.greatest(F.lit(0.0), F.col("at"))
-    both = clock.select("job_key", F.col("end_sec").alias("__t"), F.lit(1).alias("__side"), "i", "start_sec", F.lit(None).cast("double").alias("at"))
-    both = both.unionByName(points.select("job_key", at.alias("__t"), F.lit(2).alias("__side"), F.lit(None).cast("int").alias("i"), F.lit(None).cast("double").alias("start_sec"), F.col("at").cast("double").alias("at")))
-    w = Window.partitionBy("job_key")
-    ahead = w.orderBy("__t", "__side", "i").rowsBetween(1, Window.unboundedFollowing)
-    chunk = F.struct("i", "start_sec")
-    some = F.when(F.col("__side") == 1, chunk)
-    out = both.withColumns({"__n": F.first(some, ignorenulls=True).over(ahead), "__last": F.max(some).over(w)}).where("__side = 2")
-    hit = F.coalesce("__n", "__last")
+    both = clock.select("job_key", F.col("end_sec").alias("__t"), F.lit(2).alias("__side"), F.struct("i", "start_sec").alias("__c"), F.lit(None).cast("double").alias("at"))
+    both = both.unionByName(points.select("job_key", at.alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dict(both.dtypes)["__c"]).alias("__c"), F.col("at").cast("double").alias("at")))
+    stretch = Window.partitionBy("job_key", "__b")
+    back = stretch.orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    ends = both.withColumn("__b", F.rint(F.col("__t") / width)).withColumns({"__n": F.min("__c").over(back), "__k": F.count("__c").over(back), "__min": F.min("__c").over(stretch), "__max": F.max("__c").over(stretch)})
+    few = ends.where("__side = 1 or __k = 1").withColumn("__min", F.when(F.col("__side") == 2, F.col("__min")))
+    job = Window.partitionBy("job_key")
+    # a stretch's points come before its own row, so only later stretches are in their frame
+    later = job.orderBy(F.desc("__b"), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    out = few.withColumns({"__later": F.min("__min").over(later), "__last": F.max("__max").over(job)}).where("__side = 1")
+    hit = F.coalesce(F.least("__n", "__later"), "__last")
     return out.select("job_key", "at", hit["i"].alias("i"), F.round(F.greatest(F.lit(0.0), F.col("at")) - hit["start_sec"], 2).alias("into"))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 
 import numpy as np
 import pandas as pd
@@ -323,3 +324,33 @@ def test_weights_of_nothing(spark, words, target):
 def test_carried_text(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * 4, "i": [0, 1, 2, 3], "text": ["One.\n\nTwo.", " ", "Three.", "Four."]}))
     assert [r.tail for r in J.carried(df, "k", "i").orderBy("i").collect()] == ["", "Two.", "Two.", "Three."]
+
+
+def test_seek_looks_at_each_chunk_once(spark):
+    """A feed over many stretches: chunks of no length, one longer than stretches, points on ends and outside."""
+    words = [0, 0, 3, 0, 900, 5, 5, 0, 0, 700, 1, 0] * 9 + [0]
+    ends = np.cumsum(words).astype(float)
+    clock = [(k, i, float(e - w), float(e)) for k in ("feed", "other") for i, (w, e) in enumerate(zip(words, ends)) if k == "feed" or i < 5] + [("silent", 0, 0.0, 0.0), ("silent", 1, 0.0, 0.0)]
+    at = sorted({-1.0, 0.0, 1e9, *ends, *(ends - 0.5), *(ends + 250)})
+    points = spark.createDataFrame([(k, float(t)) for k in ("feed", "other", "silent") for t in at], "job_key string, at double")
+    out = K.seek(points, spark.createDataFrame(clock, "job_key string, i int, start_sec double, end_sec double"), 100.0)
+    want = {}
+    for k in ("feed", "other", "silent"):
+        own = [c for c in clock if c[0] == k]
+        for t in at:
+            _, i, start, _ = next((c for c in own if c[3] > max(0, t)), own[-1])
+            want[k, t] = (i, round(max(0, t) - start, 2))
+    got = [((r.job_key, r["at"]), (r.i, r["into"])) for r in out.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    # a frame that shrinks at its start is summed up anew for each of its rows: the square of a feed's chunks
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "unboundedpreceding$()" in plan and "specifiedwindowframe(RowFrame, 1, unboundedfollowing$())" not in plan
+
+
+def test_seek_takes_a_long_feed(spark):
+    n = 30_000
+    clock = spark.range(n).selectExpr("'feed' as job_key", "cast(id as int) as i", "id * 10.0D as start_sec", "id * 10.0D + 10 as end_sec")
+    points = spark.range(n).selectExpr("'feed' as job_key", "id * 10.0D + 4 as at")
+    began = time.monotonic()
+    assert K.seek(points, clock).where("into = 4 and i * 10.0D + 4 = at").count() == n
+    assert time.monotonic() - began < 30
